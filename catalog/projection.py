@@ -219,6 +219,76 @@ select c_custkey as filter_id,
 from customer"""
 
 
+def link_text(d: Dialect) -> str:
+    """Link labels with a date in rotating spellings, made from the order dates."""
+    names = ["January", "February", "March", "April", "May", "June", "July", "August",
+             "September", "October", "November", "December"]
+    long = "case m " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(names, 1)) + " end"
+    dd, mm = d.txt("d"), d.txt("m")
+    return f"""
+select idx, y, m, d, iso, 'https://b.example.org/list/' as base,
+       case idx % 8 when 0 then 'Bulletin ' || {long} || ' ' || {dd} || ', ' || {d.txt("y")}
+            when 1 then {dd} || ' ' || substr({long}, 1, 3) || ' ' || substr(iso, 3, 2)
+            when 2 then 'bulletin-' || iso || '.pdf' when 3 then {mm} || '-' || {dd} || '-' || substr(iso, 3, 2)
+            when 4 then 'for ' || {mm} || '/' || {dd} when 5 then 'Sunday, ' || {long} || ' ' || {dd} || 'th'
+            when 6 then 'no date here' else 'Feb 31 1998 then ' || {long} || ' ' || {dd} || ' ' || {d.txt("y")}
+       end as text
+from (select o_orderkey as idx, {d.iso("o_orderdate")} as iso, cast(substr({d.iso("o_orderdate")}, 1, 4) as int) as y,
+             cast(substr({d.iso("o_orderdate")}, 6, 2) as int) as m, cast(substr({d.iso("o_orderdate")}, 9, 2) as int) as d
+      from orders) o"""
+
+
+def payload(d: Dialect) -> str:
+    """One extraction payload per bulletin with events: nested JSON text, some of it damaged.
+
+    ``id % 10``: 0 has an extra key in the root, 1 has one slot with a numeric slug, 2 is not
+    JSON at all, 3 is flagged as the wrong bulletin; the others are well formed.
+    """
+    agg = "array_join(array_sort(collect_list({0})), ',')" if d.spark else "coalesce(string_agg({0}, ',' order by {0}), '')"
+    q = lambda name, expr: f"'\"{name}\":\"' || {expr} || '\"'"
+    clock = f"{d.pad2(d.div('start_time', 60))} || ':' || {d.pad2('start_time % 60')}"
+    slug = f"'c-' || {d.txt('church_id')}"
+    page = f"',\"page_number\":' || {d.txt('page_number')}"
+    weekly = "'{' || " + " || ',' || ".join([q("church_slug", slug), q("day_of_week", "day_of_week"),
+                                            q("start_time", clock)]) + f" || {page} || '}}'"
+    dated = "'{' || " + " || ',' || ".join([q("church_slug", slug), q("date", "date"),
+                                           q("start_time", clock)]) + f" || {page} || '}}'"
+    slots = {}
+    for kind, section, cancelled in (("weekly", "weekly_schedule", None), ("specific_date", "single_events", 0),
+                                     ("specific_date", "cancellations", 1)):
+        for event_type, bucket in (("mass", "masses"), ("confession", "confessions"), ("adoration", "adorations")):
+            test = f"event_kind = '{kind}' and event_type = '{event_type}'"
+            test += " and day_of_week is not null" if kind == "weekly" else f" and cancelled = {cancelled}"
+            body = weekly if kind == "weekly" else dated
+            slots[section, bucket] = agg.format(f"case when {test} then {body} end")
+    def section(name: str) -> str:
+        parts = [f"'\"{b}\":[' || {slots[name, b]} || ']'" for b in ("masses", "confessions", "adorations")]
+        if name == "weekly_schedule":
+            odd = "case when bulletin_id % 10 = 1 then '{\"church_slug\":5,\"day_of_week\":\"Monday\",\"start_time\":\"8:00\"},' else '' end"
+            empty = slots[name, "masses"]
+            parts[0] = (f"'\"masses\":[' || case when {empty} = '' then replace({odd}, '}},', '}}') "
+                        f"else {odd} || {empty} end || ']'")
+        return f"'\"{name}\":{{' || " + " || ',' || ".join(parts) + " || '}'"
+    body = " || ',' || ".join(section(n) for n in ("weekly_schedule", "single_events", "cancellations"))
+    return f"""
+select bulletin_id as id,
+       case when bulletin_id % 10 = 2 then 'no schedule found' else '{{' || {body} ||
+            ',"published_date":"' || max(b_date) || '","wrong_bulletin":' ||
+            case when bulletin_id % 10 = 3 then 'true' else 'false' end ||
+            ',"church_list_needs_review":' || case when bulletin_id % 4 = 0 then '"yes"' else 'false' end ||
+            case when bulletin_id % 10 = 0 then ',"comment":"extra"' else '' end || '}}' end as payload
+from (select e.*, coalesce(b.published_date, 'soon') as b_date from event e join bulletin b on e.bulletin_id = b.id) j
+group by bulletin_id"""
+
+
+def geo_result(d: Dialect) -> str:
+    """Geocoder output for some addresses; repeats and out-of-range rows included."""
+    return """
+select id as idx, address_line1 as line1, address_line2 as line2, city, state, postal_code,
+       cast(id % 100 - 5 as double) as latitude, cast(id % 200 - 10 as double) as longitude
+from church where address_line1 <> '' and id % 5 = 1"""
+
+
 def page_link(d: Dialect) -> str:
     """Pages of the corpus with the parish they belong to (page_id spread over the parishes)."""
     return """
@@ -238,6 +308,9 @@ TABLES = {
     "run_manifest": (run_manifest, ["bulletin"]),
     "snapshot_event": (snapshot_event, ["event", "bulletin"]),
     "saved_filter": (saved_filter, ["customer"]),
+    "link_text": (link_text, ["orders"]),
+    "payload": (payload, ["event", "bulletin"]),
+    "geo_result": (geo_result, ["church"]),
     "page_link": (page_link, ["pages", "customer"]),
 }
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

@@ -27,7 +27,7 @@ class Domain:
         if key not in self._written:
             build, deps = TABLES[name]
             frames = {dep: (self.table(dep) if dep in TABLES else self.base(dep)) for dep in deps}
-            sql = build(SPARK)
+            sql = build(SPARK).replace("{", "{{").replace("}", "}}")
             for dep in deps:
                 sql = re.sub(rf"\b(from|join) {dep}\b", rf"\1 {{{dep}}}", sql)
             path = scratch_path(self.spark, name)
@@ -53,6 +53,11 @@ def define(name: str, body: str) -> None:
     EXTRA[name] = (name, body)
 
 
+def oracles() -> dict[str, str]:
+    """Complete DuckDB text per query."""
+    return {name: full_sql(sql) for name, sql in ORACLES.items()}
+
+
 def _mentioned(text: str, names) -> set[str]:
     return {n for n in names if re.search(rf"\b{n}\b", text)}
 
@@ -81,7 +86,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Domain(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = full_sql(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
