@@ -24,48 +24,50 @@ TRUE_WORDS = ["1", "true", "t", "yes", "y", "on"]
 FALSE_WORDS = ["0", "false", "f", "no", "n", "off"]
 
 
-def get(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "variant")
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def kind_of(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def as_map(v: Column) -> Column:
+    """The fields of an object value; null for anything that is not an object."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(kind_of(v).startswith("OBJECT"), F.lit(False))
+def get(fields: Column, key: str) -> Column:
+    return F.try_element_at(fields, F.lit(key))
 
 
-def is_array(v: Column) -> Column:
-    return F.coalesce(kind_of(v).startswith("ARRAY"), F.lit(False))
+def kind_of(v: Column) -> Column:
+    return F.schema_of_variant(v)
 
 
 def is_missing(v: Column) -> Column:
     """Absent, or JSON null."""
-    return v.isNull() | F.coalesce(kind_of(v) == "VOID", F.lit(False))
+    return v.isNull() | F.is_variant_null(v)
 
 
 def text_of(v: Column) -> Column:
     """The text when the value is text, else null."""
-    return F.when(kind_of(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(kind_of(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def int_of(v: Column) -> Column:
     """Whole numbers; booleans count as 1 and 0."""
-    return (F.when(kind_of(v) == "BIGINT", F.try_variant_get(v, "$", "int"))
-            .when(kind_of(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int")))
+    return let(v, lambda x: F.when(kind_of(x) == "BIGINT", F.try_variant_get(x, "$", "int"))
+               .when(kind_of(x) == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("int")))
 
 
 def truthy(v: Column) -> Column:
     """False for absent, null, false, zero and empty values."""
-    number = F.try_variant_get(v, "$", "double")
-    k = kind_of(v)
-    return F.coalesce(
-        F.when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when(k == "STRING", F.try_variant_get(v, "$", "string") != "")
-        .when(k.startswith("OBJECT") | k.startswith("ARRAY"), ~F.to_json(v).isin("{}", "[]"))
-        .when(k == "VOID", F.lit(False))
-        .otherwise(number != 0), F.lit(False))
+    def test(x: Column) -> Column:
+        k = kind_of(x)
+        return (F.when(k == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
+                .when(k == "STRING", F.try_variant_get(x, "$", "string") != "")
+                .when(k.startswith("OBJECT") | k.startswith("ARRAY"), ~F.to_json(x).isin("{}", "[]"))
+                .when(k == "VOID", F.lit(False))
+                .otherwise(F.try_variant_get(x, "$", "double") != 0))
+    return F.coalesce(let(v, test), F.lit(False))
 
 
 def items_of(v: Column) -> Column:
@@ -73,10 +75,14 @@ def items_of(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
+def objects_of(v: Column) -> Column:
+    """Field maps of the elements of an array value, null for elements that are no objects."""
+    return F.transform(items_of(v), as_map)
+
+
 def parse_object(text: Column) -> Column:
-    """JSON object as VARIANT; unparsable text and other top-level values become ``{}``."""
-    v = F.try_parse_json(text)
-    return F.when(is_object(v), v).otherwise(F.parse_json(F.lit("{}")))
+    """Fields of a JSON object; unparsable text and other top-level values have none."""
+    return F.coalesce(as_map(F.try_parse_json(text)), F.create_map().cast("map<string,variant>"))
 
 
 def _fixed(fn, *args):
@@ -84,152 +90,163 @@ def _fixed(fn, *args):
     return lambda element: fn(element, *args)
 
 
-def _slot(item: Column, bucket: str, kind: str, cancelled: bool, page_of) -> Column:
-    weekly = kind == "weekly"
-    nothing = F.lit(None).cast("string")
-    return F.struct(
-        text_of(get(item, "church_slug")).alias("church_slug"), F.lit(bucket).alias("type"),
-        F.lit(kind).alias("kind"),
-        (text_of(get(item, "day_of_week")) if weekly else nothing).alias("day_of_week"),
-        (nothing if weekly else text_of(get(item, "date"))).alias("date"),
-        text_of(get(item, "start_time")).alias("start_time"),
-        text_of(get(item, "end_time")).alias("end_time"),
-        F.lit(cancelled).alias("cancelled"), page_of(get(item, "page_number")).alias("page_number"),
-        blank_to_null(text_of(get(item, "note"))).alias("note"))
-
-
-def _sections(root: Column, keep, page_of) -> Column:
-    """Weekly, single and cancelled slots as one flat event array, in section order."""
+def slots_of(root: Column) -> Column:
+    """Every slot with its bucket's meaning, in section order: type, kind, cancelled, when_key, slot."""
+    def tag(slot: Column, event_type: str, kind: str, cancelled: bool) -> Column:
+        return F.struct(
+            F.lit(event_type).alias("type"), F.lit(kind).alias("kind"), F.lit(cancelled).alias("cancelled"),
+            F.lit("day_of_week" if kind == "weekly" else "date").alias("when_key"), slot.alias("slot"))
+
     parts = []
     for section, kind, cancelled in SECTIONS:
-        when_key = "day_of_week" if kind == "weekly" else "date"
         for bucket, event_type in BUCKETS:
-            slots = items_of(get(get(root, section), bucket))
-            kept = F.filter(slots, _fixed(keep, when_key))
-            parts.append(F.transform(kept, _fixed(_slot, event_type, kind, cancelled, page_of)))
-    return F.concat(*parts).cast(f"array<{EXTRACTED_EVENT}>")
+            found = objects_of(get(as_map(get(root, section)), bucket))
+            parts.append(F.transform(found, _fixed(tag, event_type, kind, cancelled)))
+    return F.concat(*parts)
 
 
-def lenient_result(root: Column) -> Column:
-    """Keep the slots that are usable, drop the rest."""
-    def usable(slot: Column, when_key: str) -> Column:
-        named = [text_of(get(slot, k)) for k in ("church_slug", "start_time", when_key)]
-        ok = is_object(slot)
-        for value in named:
-            ok = ok & ~is_blank(value)
-        return ok
+def when_of(s: Column) -> Column:
+    """The weekday of a weekly slot, the date of a dated one."""
+    return text_of(F.try_element_at(s["slot"], s["when_key"]))
+
+
+def _events(slots: Column, page_of) -> Column:
+    def build(s: Column) -> Column:
+        value = lambda key: get(s["slot"], key)
+        weekly = s["kind"] == "weekly"
+        return F.struct(
+            text_of(value("church_slug")).alias("church_slug"), s["type"].alias("type"), s["kind"].alias("kind"),
+            F.when(weekly, when_of(s)).alias("day_of_week"), F.when(~weekly, when_of(s)).alias("date"),
+            text_of(value("start_time")).alias("start_time"), text_of(value("end_time")).alias("end_time"),
+            s["cancelled"].alias("cancelled"), page_of(value("page_number")).alias("page_number"),
+            blank_to_null(text_of(value("note"))).alias("note"))
+    return F.transform(slots, build)
+
 
+def _result(root: Column, events: Column, flag) -> Column:
     return F.struct(
-        _sections(root, usable, int_of).alias("events"),
-        truthy(get(root, "church_list_needs_review")).alias("church_list_needs_review"),
+        events.cast(f"array<{EXTRACTED_EVENT}>").alias("events"),
+        F.coalesce(flag(get(root, "church_list_needs_review")), F.lit(False)).alias("church_list_needs_review"),
         iso_shape(text_of(get(root, "published_date"))).alias("published_date"),
-        truthy(get(root, "wrong_bulletin")).alias("wrong_bulletin")).cast(RESULT)
+        F.coalesce(flag(get(root, "wrong_bulletin")), F.lit(False)).alias("wrong_bulletin"))
+
+
+def lenient_result(root: Column, slots: Column) -> Column:
+    """Keep the slots that are usable, drop the rest."""
+    def usable(s: Column) -> Column:
+        return (s["slot"].isNotNull() & ~is_blank(text_of(get(s["slot"], "church_slug")))
+                & ~is_blank(text_of(get(s["slot"], "start_time"))) & ~is_blank(when_of(s)))
+
+    return _result(root, _events(F.filter(slots, usable), int_of), truthy)
 
 
 # --- strict reading ------------------------------------------------------------------------
 
-def _only_keys(v: Column, allowed: list[str]) -> Column:
-    keys = F.json_object_keys(F.to_json(v))
-    return F.coalesce(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))) == 0, F.lit(False))
+def _only_keys(fields: Column, allowed: list[str]) -> Column:
+    known = F.array(*[F.lit(k) for k in allowed])
+    return F.forall(F.map_keys(fields), lambda k: F.array_contains(known, k))
 
 
 def coerced_bool(v: Column) -> Column:
-    word = F.lower(F.coalesce(text_of(v), F.to_json(v)))
-    word = F.regexp_replace(word, r"^([01])\.0$", "$1")
-    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+    def read(x: Column) -> Column:
+        word = F.regexp_replace(F.lower(F.coalesce(text_of(x), F.to_json(x))), r"^([01])\.0$", "$1")
+        return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+    return let(v, read)
 
 
 def coerced_int(v: Column) -> Column:
     """Whole number, whole-valued fraction, boolean, or number text."""
-    text = F.coalesce(text_of(v), F.to_json(v))
-    whole = F.regexp_extract(F.trim(text), r"^([+-]?\d+)(?:\.0*)?$", 1)
-    return F.coalesce(int_of(v), F.when(whole.rlike(r"^[+-]?\d{1,9}$"), whole.cast("int")))
+    def read(x: Column) -> Column:
+        whole = F.regexp_extract(F.trim(F.coalesce(text_of(x), F.to_json(x))), r"^([+-]?\d{1,9})(?:\.0*)?$", 1)
+        return F.coalesce(int_of(x), F.when(whole != "", whole).cast("int"))
+    return let(v, read)
 
 
 def _text_or_missing(v: Column) -> Column:
     return is_missing(v) | text_of(v).isNotNull()
 
 
-def _valid_slot(slot: Column, when_key: str) -> Column:
-    ok = is_object(slot) & _only_keys(slot, SLOT_KEYS + [when_key])
-    for key in ("church_slug", "start_time", when_key):
-        ok = ok & F.coalesce(F.length(text_of(get(slot, key))) > 0, F.lit(False))
+def _valid_slot(s: Column) -> Column:
+    slot = s["slot"]
+    unknown = F.filter(F.map_keys(slot), lambda k: ~k.isin(*SLOT_KEYS) & (k != s["when_key"]))
     page = get(slot, "page_number")
-    ok = ok & _text_or_missing(get(slot, "end_time")) & _text_or_missing(get(slot, "note"))
-    return ok & (is_missing(page) | coerced_int(page).isNotNull())
+    ok = (slot.isNotNull() & (F.size(unknown) == 0) & (F.length(text_of(get(slot, "church_slug"))) > 0)
+          & (F.length(text_of(get(slot, "start_time"))) > 0) & (F.length(when_of(s)) > 0)
+          & _text_or_missing(get(slot, "end_time")) & _text_or_missing(get(slot, "note"))
+          & (is_missing(page) | coerced_int(page).isNotNull()))
+    return F.coalesce(ok, F.lit(False))
 
 
-def is_valid(root: Column) -> Column:
+def is_valid(root: Column, slots: Column) -> Column:
     """Does the whole payload satisfy the schema (no extra keys, right types, required text)?"""
-    ok = is_object(root) & _only_keys(root, ROOT_KEYS)
-    for section, kind, _ in SECTIONS:
-        v = get(root, section)
-        when_key = "day_of_week" if kind == "weekly" else "date"
-        inner = is_object(v) & _only_keys(v, [b for b, _ in BUCKETS])
-        for bucket, _ in BUCKETS:
-            slots = get(v, bucket)
-            inner = inner & (slots.isNull() | (is_array(slots) & F.forall(
-                items_of(slots), _fixed(_valid_slot, when_key))))
-        ok = ok & (v.isNull() | inner)
+    names, sections = [b for b, _ in BUCKETS], F.array(*[F.lit(n) for n, _, _ in SECTIONS])
+
+    def section_ok(name: Column) -> Column:
+        v = F.try_element_at(root, name)
+        lists = lambda m: F.forall(F.map_values(m), lambda x: F.try_variant_get(x, "$", "array<variant>").isNotNull())
+        good = let(as_map(v), lambda m: m.isNotNull() & _only_keys(m, names) & lists(m))
+        return v.isNull() | F.coalesce(good, F.lit(False))
+
+    ok = _only_keys(root, ROOT_KEYS) & F.forall(sections, section_ok) & F.forall(slots, _valid_slot)
     for flag in ("church_list_needs_review", "wrong_bulletin"):
         v = get(root, flag)
         ok = ok & (v.isNull() | coerced_bool(v).isNotNull())
-    return ok & _text_or_missing(get(root, "published_date"))
+    return F.coalesce(ok & _text_or_missing(get(root, "published_date")), F.lit(False))
 
 
-def strict_result(root: Column) -> Column:
+def strict_result(root: Column, slots: Column) -> Column:
     """Every slot of a payload that passed :func:`is_valid`."""
-    return F.struct(
-        _sections(root, lambda slot, key: is_object(slot), coerced_int).alias("events"),
-        F.coalesce(coerced_bool(get(root, "church_list_needs_review")), F.lit(False)).alias("church_list_needs_review"),
-        iso_shape(text_of(get(root, "published_date"))).alias("published_date"),
-        F.coalesce(coerced_bool(get(root, "wrong_bulletin")), F.lit(False)).alias("wrong_bulletin")).cast(RESULT)
+    return _result(root, _events(slots, coerced_int), coerced_bool)
+
+
+def read_payload(text: Column, read) -> Column:
+    """``read(root, slots)`` of a payload text, parsed once."""
+    return let(parse_object(text), lambda root: let(slots_of(root), lambda slots: read(root, slots)))
 
 
 def payload_result(text: Column) -> Column:
     """Payload text to result struct: strict when the whole document is valid, lenient otherwise."""
-    root = parse_object(text)
-    return F.when(is_valid(root), strict_result(root)).otherwise(lenient_result(root))
+    return read_payload(text, lambda root, slots: F.when(
+        is_valid(root, slots), strict_result(root, slots)).otherwise(lenient_result(root, slots)))
 
 
 # --- flat results (what extractors return and the cache stores) ------------------------------
 
 def guarded_result(text: Column) -> Column:
     """Flat result JSON (``events`` array and flags) to the typed result struct."""
-    root = parse_object(text)
-    slots = F.filter(items_of(get(root, "events")),
-                     lambda e: is_object(e) & text_of(get(e, "church_slug")).isNotNull())
-
     def plain(v: Column) -> Column:
-        return F.coalesce(text_of(v), F.try_variant_get(v, "$", "string"), F.lit(""))
-
-    events = F.transform(slots, lambda e: F.struct(
-        text_of(get(e, "church_slug")).alias("church_slug"), plain(get(e, "type")).alias("type"),
-        plain(get(e, "kind")).alias("kind"), text_of(get(e, "day_of_week")).alias("day_of_week"),
-        text_of(get(e, "date")).alias("date"), plain(get(e, "start_time")).alias("start_time"),
-        text_of(get(e, "end_time")).alias("end_time"), truthy(get(e, "cancelled")).alias("cancelled"),
-        int_of(get(e, "page_number")).alias("page_number"),
-        blank_to_null(text_of(get(e, "note"))).alias("note")))
-    return F.struct(
-        events.cast(f"array<{EXTRACTED_EVENT}>").alias("events"),
-        truthy(get(root, "church_list_needs_review")).alias("church_list_needs_review"),
-        text_of(get(root, "published_date")).alias("published_date"),
-        truthy(get(root, "wrong_bulletin")).alias("wrong_bulletin")).cast(RESULT)
+        return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+
+    def event(e: Column) -> Column:
+        return F.struct(
+            text_of(get(e, "church_slug")).alias("church_slug"), plain(get(e, "type")).alias("type"),
+            plain(get(e, "kind")).alias("kind"), text_of(get(e, "day_of_week")).alias("day_of_week"),
+            text_of(get(e, "date")).alias("date"), plain(get(e, "start_time")).alias("start_time"),
+            text_of(get(e, "end_time")).alias("end_time"), truthy(get(e, "cancelled")).alias("cancelled"),
+            int_of(get(e, "page_number")).alias("page_number"),
+            blank_to_null(text_of(get(e, "note"))).alias("note"))
+
+    def read(root: Column) -> Column:
+        slots = F.filter(objects_of(get(root, "events")), lambda e: text_of(get(e, "church_slug")).isNotNull())
+        return F.struct(
+            F.transform(slots, event).cast(f"array<{EXTRACTED_EVENT}>").alias("events"),
+            truthy(get(root, "church_list_needs_review")).alias("church_list_needs_review"),
+            text_of(get(root, "published_date")).alias("published_date"),
+            truthy(get(root, "wrong_bulletin")).alias("wrong_bulletin")).cast(RESULT)
+
+    return let(parse_object(text), read)
 
 
 # --- verification ----------------------------------------------------------------------------
 
 def verification_result(text: Column) -> Column:
     """Verification payload to typed arrays, dropping unusable entries."""
-    root = parse_object(text)
-
     def address(v: Column) -> Column:
-        return F.when(is_object(v), F.struct(*[
-            text_of(get(v, k)).alias(k) for k in ("line1", "line2", "city", "state", "postal_code")]))
+        return let(as_map(v), lambda m: F.when(m.isNotNull(), F.struct(*[
+            text_of(get(m, k)).alias(k) for k in ("line1", "line2", "city", "state", "postal_code")])))
 
     def verdict(v: Column) -> Column:
-        word = text_of(v)
-        return F.when(word.isin(*VERDICTS), word).otherwise("unverifiable")
+        return let(text_of(v), lambda word: F.when(word.isin(*VERDICTS), word).otherwise("unverifiable"))
 
     def existing(c: Column) -> Column:
         name, addr = verdict(get(c, "name_status")), verdict(get(c, "address_status"))
@@ -240,13 +257,17 @@ def verification_result(text: Column) -> Column:
             F.when(addr == "incorrect", address(get(c, "corrected_address"))).alias("corrected_address"),
             truthy(get(c, "slug_needs_review")).alias("slug_needs_review"))
 
+    def new_church(c: Column) -> Column:
+        return F.struct(text_of(get(c, "name")).alias("name"), text_of(get(c, "slug")).alias("slug"),
+                        address(get(c, "address")).alias("address"))
+
     def named(c: Column, key: str) -> Column:
-        return is_object(c) & ~is_blank(text_of(get(c, key)))
+        return c.isNotNull() & ~is_blank(text_of(get(c, key)))
 
-    old = F.filter(items_of(get(root, "existing_churches")), lambda c: named(c, "church_slug"))
-    new = F.filter(items_of(get(root, "new_churches")), lambda c: named(c, "name"))
-    return F.struct(
-        F.transform(old, existing).alias("existing_churches"),
-        F.transform(new, lambda c: F.struct(
-            text_of(get(c, "name")).alias("name"), text_of(get(c, "slug")).alias("slug"),
-            address(get(c, "address")).alias("address"))).alias("new_churches")).cast(VERIFICATION)
+    def read(root: Column) -> Column:
+        old = F.filter(objects_of(get(root, "existing_churches")), _fixed(named, "church_slug"))
+        new = F.filter(objects_of(get(root, "new_churches")), _fixed(named, "name"))
+        return F.struct(F.transform(old, existing).alias("existing_churches"),
+                        F.transform(new, new_church).alias("new_churches")).cast(VERIFICATION)
+
+    return let(parse_object(text), read)

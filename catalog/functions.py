@@ -362,7 +362,7 @@ def _(d):
 def _(d):
     doc = F.when(F.expr("id % 3 = 0"), F.concat(F.lit('{"v":"'), F.col("slug"), F.lit('"}'))).otherwise(
         F.concat(F.lit('{"v":'), F.col("id").cast("string"), F.when(F.expr("id % 3 = 2"), ".5").otherwise(""), F.lit("}")))
-    v = payload.get(F.try_parse_json(doc), "v")
+    v = payload.get(payload.parse_object(doc), "v")
     number = F.when(payload.kind_of(v) != "STRING", F.try_variant_get(v, "$", "double"))
     return d.church.select("id", payload.text_of(v).alias("as_text"), number.alias("as_number"))
 
@@ -497,14 +497,15 @@ def _events_of(result, df):
 
 @query("fn_reconstruct", f"select {_EVENT_COLS} from payload_event where id % 10 > 2")
 def _(d):
-    root = payload.parse_object(F.col("payload"))
-    valid = d.payload.where(payload.is_valid(root))
-    return _events_of(payload.strict_result(root), valid.where("id % 10 > 2"))
+    read = payload.read_payload(F.col("payload"), lambda root, slots: F.struct(
+        payload.is_valid(root, slots).alias("valid"), payload.strict_result(root, slots)["events"].alias("events")))
+    return _events_of(F.col("r"), d.payload.select("id", read.alias("r")).where("r.valid"))
 
 
 @query("fn_reconstruct_lenient", f"select {_EVENT_COLS} from payload_event")
 def _(d):
-    return _events_of(payload.lenient_result(payload.parse_object(F.col("payload"))), d.payload)
+    read = payload.read_payload(F.col("payload"), payload.lenient_result)
+    return _events_of(read, d.payload)
 
 
 @query("fn_strict_or_lenient", """select p.id, p.id % 10 > 2 as valid, count(e.id) as n_events, p.id % 10 = 3 as wrong_bulletin,
@@ -513,9 +514,9 @@ def _(d):
     from (select distinct bulletin_id as id from event where bulletin_id is not null) p
     join bulletin b on p.id = b.id left join payload_event e on e.id = p.id group by all""")
 def _(d):
-    root = payload.parse_object(F.col("payload"))
+    valid = payload.read_payload(F.col("payload"), payload.is_valid)
     rows = d.payload.select("id", payload.payload_result(F.col("payload")).alias("r"),
-                            (F.try_parse_json("payload").isNotNull() & payload.is_valid(root)).alias("valid"))
+                            (F.try_parse_json("payload").isNotNull() & valid).alias("valid"))
     return rows.select("id", "valid", F.size("r.events").alias("n_events"), "r.wrong_bulletin",
                        F.col("r.church_list_needs_review").alias("needs_review"), "r.published_date")
 
@@ -523,8 +524,7 @@ def _(d):
 @query("fn_parse_json_object", """select id, case when id % 10 = 2 then 0 when id % 10 = 0 then 7 else 6 end as n_keys
     from (select distinct bulletin_id as id from event where bulletin_id is not null)""")
 def _(d):
-    root = payload.parse_object(F.col("payload"))
-    return d.payload.select("id", F.size(F.json_object_keys(F.to_json(root))).alias("n_keys"))
+    return d.payload.select("id", F.size(payload.parse_object(F.col("payload"))).alias("n_keys"))
 
 
 @query("fn_flatten", """select id, church_slug, 'https://b.example.org/' || id || '.pdf' as bulletin_source_url, event_type, event_kind,
