@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from belfry.functions.text import empty_to_null, strip, title_case
+from belfry.functions.text import empty_to_null, let, strip, title_case
 from belfry.functions.times import two_digits
 
 # Month and weekday names, date spellings, the evening boundary.
@@ -60,7 +60,11 @@ def iso_shape(text: Column) -> Column:
 
 def event_date(text: Column) -> Column:
     """Written date to ISO text: ISO, ``April 5, 2026``, ``Apr 5, 2026``, ``4/5/2026``, ``4/5/26``."""
-    raw = strip(text)
+    return let(strip(text), event_date_of_clean)
+
+
+def event_date_of_clean(raw: Column) -> Column:
+    """:func:`event_date` of already trimmed text."""
     iso = safe_date(*[_group(raw, ISO_SHAPE, i) for i in (1, 2, 3)])
     word = F.lower(F.regexp_extract(raw, LONG_DATE, 1))
     month = F.when(word != "sept", month_number(word))
@@ -93,7 +97,10 @@ def relaxed_date(text: Column, reference: Column) -> Column:
     """
     n = F.regexp_replace(F.lower(text), r"(\d+)(st|nd|rd|th)", "$1")
     n = strip(F.regexp_replace(F.replace(n, F.lit(","), F.lit(" ")), r"(?U)\s+", " "))
+    return let(n, lambda clean: _first_date(clean, reference))
+
 
+def _first_date(n: Column, reference: Column) -> Column:
     def first(pattern: str, build) -> Column:
         hits = F.transform(F.regexp_extract_all(n, F.lit(pattern), F.lit(0)),
                            lambda m: build(lambda i: F.regexp_extract(m, pattern, i)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from belfry.functions.dates import iso_shape
-from belfry.functions.text import blank_to_null, is_blank
+from belfry.functions.text import blank_to_null, is_blank, let
 from belfry.schemas import EXTRACTED_EVENT, RESULT, VERDICTS, VERIFICATION
 
 # Payload sections, buckets and the keys each level allows.
@@ -24,11 +24,6 @@ TRUE_WORDS = ["1", "true", "t", "yes", "y", "on"]
 FALSE_WORDS = ["0", "false", "f", "no", "n", "off"]
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def as_map(v: Column) -> Column:
     """The fields of an object value; null for anything that is not an object."""
     return F.try_variant_get(v, "$", "map<string,variant>")

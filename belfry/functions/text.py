@@ -15,6 +15,11 @@ KEY_PARTS = ["church_slug", "event_type", "event_kind", "day_of_week", "date",
              "start_time", "end_time", "cancelled"]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -66,13 +71,14 @@ def address_key(*parts: Column) -> Column:
 
 def parse_address(text: Column) -> Column:
     """Struct of line1, line2, city, state, postal_code."""
-    clean = strip(text)
-    split = clean.rlike(ADDRESS_PATTERN)
-    part = lambda i: F.when(split, strip(F.regexp_extract(clean, ADDRESS_PATTERN, i)))
-    whole = F.when(~split, empty_to_null(clean))
-    return F.struct(
-        F.coalesce(part(1), whole).alias("line1"), F.lit(None).cast("string").alias("line2"),
-        part(2).alias("city"), part(3).alias("state"), part(4).alias("postal_code"))
+    def read(clean: Column) -> Column:
+        split = clean.rlike(ADDRESS_PATTERN)
+        part = lambda i: F.when(split, strip(F.regexp_extract(clean, ADDRESS_PATTERN, i)))
+        whole = F.when(~split, empty_to_null(clean))
+        return F.struct(
+            F.coalesce(part(1), whole).alias("line1"), F.lit(None).cast("string").alias("line2"),
+            part(2).alias("city"), part(3).alias("state"), part(4).alias("postal_code"))
+    return let(strip(text), read)
 
 
 def event_key() -> Column:

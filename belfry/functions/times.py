@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from belfry.functions.text import strip
+from belfry.functions.text import let, strip
 
 DAY_MINUTES = 24 * 60
 LAST_MINUTE = DAY_MINUTES - 1
@@ -20,18 +20,20 @@ def _int(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("int")
 
 
-def minutes_of_day(text: Column) -> Column:
-    """Free-form time text to minutes, null when unreadable.
-
-    Meridiem spellings are not range-checked (``8:75 AM`` is 555): the loader's
-    range rule deals with what comes out above 1439.
-    """
+def clean_time(text: Column) -> Column:
+    """Trimmed time text with ``a.m.`` / ``p.m.`` spellings made ``AM`` / ``PM``."""
     raw = strip(text)
     for letter in "ap":
         raw = F.regexp_replace(raw, rf"(?i){letter}\.m\.?(?=\s|$)", f"{letter.upper()}M")
+    return raw
+
+
+def minutes_of_clean(raw: Column) -> Column:
+    """Minutes of an already cleaned time text; see :func:`minutes_of_day`."""
     hour = _int(raw, MERIDIEM_FORM, 1)
     pm = F.upper(F.regexp_extract(raw, MERIDIEM_FORM, 3)) == "PM"
-    hour24 = (F.when(pm & (hour != 12), hour + 12).when(~pm & (hour == 12), F.lit(0)).otherwise(hour))
+    hour24 = F.when(pm, F.when(hour == 12, 12).otherwise(hour + 12)).otherwise(
+        F.when(hour == 12, 0).otherwise(hour))
 
     def checked(pattern: str) -> Column:
         h, m = _int(raw, pattern, 1), _int(raw, pattern, 2)
@@ -43,6 +45,15 @@ def minutes_of_day(text: Column) -> Column:
             .otherwise(F.coalesce(checked(CLOCK_FORM), checked(MILITARY_FORM))))
 
 
+def minutes_of_day(text: Column) -> Column:
+    """Free-form time text to minutes, null when unreadable.
+
+    Meridiem spellings are not range-checked (``8:75 AM`` is 555): the loader's
+    range rule deals with what comes out above 1439.
+    """
+    return let(clean_time(text), minutes_of_clean)
+
+
 def _hm(minutes: Column) -> tuple[Column, Column]:
     return F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int")
 

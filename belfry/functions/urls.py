@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from belfry.functions.text import empty_to_null, is_blank, strip
+from belfry.functions.text import empty_to_null, is_blank, let, strip
 
 # URL grammar, provider hosts and link shapes.
 URL_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -129,28 +129,36 @@ def detect_provider(html: Column, keywords=None, id_provider: str = "parishes_on
 
 
 def ecatholic_url(base: Column, href: Column, allowed_host: str = ECATHOLIC_HOST) -> Column:
-    url = resolve_url(base, href)
-    p = F.lower(path(url))
-    return F.when((F.lower(host(url)) == allowed_host) & p.contains("bulletins") & p.endswith(".pdf"), url)
+    def accept(url: Column) -> Column:
+        p = F.lower(path(url))
+        return F.when((F.lower(host(url)) == allowed_host) & p.contains("bulletins") & p.endswith(".pdf"), url)
+    return let(resolve_url(base, href), accept)
 
 
 def discover_url(base: Column, href: Column) -> Column:
-    url = resolve_url(base, href)
-    ok = ((F.lower(host(url)) == DISCOVER_HOST) & (F.lower(path(url)) == DISCOVER_PATH)
-          & ~is_blank(query_value(url, "bulletin")))
-    return F.when(ok, url)
+    def accept(url: Column) -> Column:
+        ok = ((F.lower(host(url)) == DISCOVER_HOST) & (F.lower(path(url)) == DISCOVER_PATH)
+              & ~is_blank(query_value(url, "bulletin")))
+        return F.when(ok, url)
+    return let(resolve_url(base, href), accept)
 
 
 def parishes_online_url(base: Column, href: Column, org_id: Column) -> Column:
     """Struct (source_url, fetch_url): the publication page and the file embedded in it."""
-    url = resolve_url(base, href)
-    inner = query_value(url, "selectedPublication")
-    for _ in range(2):  # percent-decoded twice more; a plus sign stays a plus sign
-        inner = F.coalesce(F.try_url_decode(F.replace(inner, F.lit("+"), F.lit("%2B"))), inner)
-    ok = ((host(url) == PARISHES_ONLINE_HOST)
-          & (path(url) == F.concat(F.lit("/publication-page/"), org_id))
-          & F.lower(inner).startswith(PARISHES_ONLINE_FILES) & F.lower(inner).endswith(".pdf"))
-    return F.when(ok, F.struct(url.alias("source_url"), inner.alias("fetch_url")))
+    def decoded(url: Column) -> Column:
+        inner = query_value(url, "selectedPublication")
+        for _ in range(2):  # percent-decoded twice more; a plus sign stays a plus sign
+            inner = let(inner, lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
+        return F.struct(url.alias("source_url"), inner.alias("fetch_url"))
+
+    def accept(link: Column) -> Column:
+        url, inner = link["source_url"], F.lower(link["fetch_url"])
+        ok = ((host(url) == PARISHES_ONLINE_HOST)
+              & (path(url) == F.concat(F.lit("/publication-page/"), org_id))
+              & inner.startswith(PARISHES_ONLINE_FILES) & inner.endswith(".pdf"))
+        return F.when(ok, link)
+
+    return let(let(resolve_url(base, href), decoded), accept)
 
 
 def percent_encode(text: Column) -> Column:

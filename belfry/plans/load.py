@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from belfry.functions.dates import event_date
-from belfry.functions.text import blank_to_null
-from belfry.functions.times import minutes_of_day
+from belfry.functions.dates import event_date_of_clean
+from belfry.functions.text import blank_to_null, strip
+from belfry.functions.times import clean_time, minutes_of_clean
 from belfry.operators import unique
 from belfry.operators.quality import range_problem
 
@@ -57,11 +57,14 @@ def typed_events(raw: DataFrame, church: DataFrame, bulletin: DataFrame) -> Data
     places = church.select(F.col("slug").alias("church_slug"), F.col("id").alias("church_id"), "parish_id")
     issues = bulletin.where(F.col("source_url").isNotNull()).select(
         "parish_id", F.col("source_url").alias("bulletin_source_url"), F.col("id").alias("bulletin_id"))
-    typed = raw.withColumns({
-        "start_minutes": minutes_of_day(F.col("start_time")),
-        "end_minutes": minutes_of_day(F.col("end_time")),
+    # cleaned text becomes columns first: the parsers mention it many times
+    clean = raw.withColumns({"start_time": clean_time(F.col("start_time")), "end_time": clean_time(F.col("end_time")),
+                             "date": strip(F.col("date"))})
+    typed = clean.withColumns({
+        "start_minutes": minutes_of_clean(F.col("start_time")),
+        "end_minutes": minutes_of_clean(F.col("end_time")),
         "event_kind": F.coalesce("event_kind", F.lit("")),
-        "iso_date": event_date(F.col("date")),
+        "iso_date": event_date_of_clean(F.col("date")),
     })
     joined = typed.join(places, "church_slug", "left").join(issues, ["parish_id", "bulletin_source_url"], "left")
     dated = F.col("event_kind") == "specific_date"

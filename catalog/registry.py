@@ -73,7 +73,7 @@ def full_sql(sql: str) -> str:
                     extras.append(n)
 
     pull(sql)
-    text = sql + " ".join(EXTRA[n][1] for n in extras)
+    text = sql + " " + " ".join(EXTRA[n][1] for n in extras)
     extra = ", ".join(f"{n} as materialized ({EXTRA[n][1]})" for n in extras)
     return with_prefix(sql, _mentioned(text, TABLES), extra)
 
