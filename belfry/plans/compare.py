@@ -109,21 +109,18 @@ def markdown(report: Report, names: list[str]) -> DataFrame:
     d = report.per_bulletin
     title = F.coalesce(empty_to_null(F.concat_ws(" - ", empty_to_null(F.col("parish_slug")),
                                                  empty_to_null(F.col("published_date")))), F.col(URL))
-    lines = F.array(
-        F.struct(F.lit(1).alias("step"), F.lit("").alias("line")),
-        F.struct(F.lit(2), F.concat(F.lit("#### "), title)),
-        F.struct(F.lit(3), F.concat(F.lit("- Source URL: "), F.col(URL))),
-        F.struct(F.lit(4), F.concat(F.lit("- Source PDF: `"), F.col("pdf_path"), F.lit("`"))),
-        F.struct(F.lit(5), F.concat(
-            F.lit("- Counts: same "), _text("same_count"), F.lit(", only "), F.col("a"), F.lit(" "),
-            _text("only_a_count"), F.lit(", only "), F.col("b"), F.lit(" "), _text("only_b_count"),
-            F.lit(", Jaccard "), _text("jaccard"))),
-        *[F.struct(F.lit(10 * (i + 1)), F.lit("")) for i in range(3)],
-        F.struct(F.lit(11), F.lit("**Same**")),
-        F.struct(F.lit(21), F.concat(F.lit("**Only "), F.col("a"), F.lit("**"))),
-        F.struct(F.lit(31), F.concat(F.lit("**Only "), F.col("b"), F.lit("**"))),
-        *[F.struct(F.lit(10 * (i + 1) + 2), F.when(F.col(c) == 0, "- None"))
-          for i, c in enumerate(("same_count", "only_a_count", "only_b_count"))])
+    texts = {
+        1: F.lit(""), 2: F.concat(F.lit("#### "), title), 3: F.concat(F.lit("- Source URL: "), F.col(URL)),
+        4: F.concat(F.lit("- Source PDF: `"), F.col("pdf_path"), F.lit("`")),
+        5: F.concat(F.lit("- Counts: same "), _text("same_count"), F.lit(", only "), F.col("a"), F.lit(" "),
+                    _text("only_a_count"), F.lit(", only "), F.col("b"), F.lit(" "), _text("only_b_count"),
+                    F.lit(", Jaccard "), _text("jaccard")),
+        11: F.lit("**Same**"), 21: F.concat(F.lit("**Only "), F.col("a"), F.lit("**")),
+        31: F.concat(F.lit("**Only "), F.col("b"), F.lit("**"))}
+    for step, count in ((10, "same_count"), (20, "only_a_count"), (30, "only_b_count")):
+        texts[step] = F.lit("")
+        texts[step + 2] = F.when(F.col(count) == 0, "- None")
+    lines = F.array(*[F.struct(F.lit(i).alias("step"), t.alias("line")) for i, t in texts.items()])
     doc = {"parish": F.coalesce("parish_slug", blank), "published": F.coalesce("published_date", blank)}
     bulletins = (d.withColumns(doc).select(F.lit(5).alias("part"), F.col("pair").cast("bigint").alias("pos"), "parish",
                                            "published", URL, F.explode(lines).alias("l"))
@@ -135,7 +132,6 @@ def markdown(report: Report, names: list[str]) -> DataFrame:
               .select(F.lit(5).alias("part"), F.col("pair").cast("bigint").alias("pos"), "parish", "published", URL,
                       step.alias("step"), F.concat_ws("\u0001", *agreement.sort_parts()).alias("key"),
                       F.concat(F.lit("- "), event_line(F.coalesce("event_a", "event_b"))).alias("line")))
-    # document lines sort after their pair heading: headings carry empty document columns
     return reduce(DataFrame.unionByName, [head, tables, bulletins, events])
 
 

@@ -152,24 +152,9 @@ def _(d):
     return d.parish.orderBy("id")
 
 
-@query("srt_names", """select id, slug, name, city, state, row_number() over (order by name nulls first, id) as by_name,
-    row_number() over (order by city nulls first, name nulls first, id) as by_city from church""")
-def _(d):
-    def numbered(order, out):
-        return d.church.orderBy(*order).select("id", F.monotonically_increasing_id().alias("at")).select(
-            "id", "at").transform(lambda x: positions(x, out))
-    base = d.church.select("id", "slug", "name", "city", "state")
-    return base.join(numbered(["name", "id"], "by_name"), "id").join(numbered(["city", "name", "id"], "by_city"), "id")
-
-
-def positions(ordered, out):
-    """1-based positions of a sorted frame from its per-partition numbering."""
-    size = ordered.select(F.shiftright("at", 33).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    sizes = size.select("part", "n")
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(
-        F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    local = ordered.withColumn("part", F.shiftright("at", 33)).withColumn("i", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    return local.join(F.broadcast(before), "part").select("id", (F.col("i") + F.col("before") + 1).alias(out))
+@query("srt_names", "select id, slug, name, city, state from church order by city nulls first, name nulls first, id")
+def _(d):
+    return d.church.orderBy("city", "name", "id").select("id", "slug", "name", "city", "state")
 
 
 # --- loader joins ----------------------------------------------------------------------------
