@@ -122,7 +122,9 @@ def _first_date(n: Column, reference: Column) -> Column:
 
 
 def relaxed_date_multi(texts: list[Column], reference: Column) -> Column:
-    return F.coalesce(*[relaxed_date(t, reference) for t in texts])
+    """Date of the first text that holds one."""
+    return F.aggregate(F.array(*texts), F.lit(None).cast("date"),
+                       lambda found, text: F.coalesce(found, relaxed_date(text, reference)))
 
 
 def within_days(day: Column, reference: Column, days: int = NEARBY_DAYS) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from belfry.functions import urls
 from belfry.operators import filters
 from belfry.plans import links
+from belfry.session import written
 from belfry.sources.documents import store_documents
 
 
@@ -50,8 +51,10 @@ def current_links(sources: DataFrame, pages: DataFrame, reference, keyword: str
         return targets.join(pages.select(F.col("url").alias("target"), "html"), "target").select(
             "parish_id", F.col("target").alias("url"), "html")
 
-    listing = visit(links.navigation_link(at.where(F.col("provider") == "other"), keyword, suffix, "parish_id"))
-    on_list = links.pdf_candidates(listing, reference, suffix, keep="parish_id")
+    # link lists are small next to the pages they come from: written once, page text is not
+    nav = links.navigation_link(at.where(F.col("provider") == "other"), keyword, suffix, "parish_id")
+    listing = visit(written(nav, "nav-links"))
+    on_list = written(links.pdf_candidates(listing, reference, suffix, keep="parish_id"), "candidates")
     bare = listing.join(on_list.select("parish_id"), "parish_id", "left_anti")
     post = visit(links.latest_post(bare, reference, keyword, suffix, "parish_id"))
     candidates = on_list.unionByName(links.pdf_candidates(post, reference, suffix, keep="parish_id"))
@@ -81,13 +84,14 @@ def fetch_bulletins(parish: DataFrame, pages: DataFrame, documents: DataFrame, m
     """New metadata rows and blobs.  ``documents`` is (url, content) of what the links lead to."""
     if parish_name is not None:
         parish = filters.require_rows(parish.where(F.col("name") == parish_name), f"Parish not found: {parish_name}")
-    found = current_links(fetchable(parish), pages, reference, keyword, suffix)
-    fresh = new_links(found, metadata)
+    found = written(current_links(fetchable(parish), pages, reference, keyword, suffix), "current-links")
+    fresh = written(new_links(found, metadata), "new-links")
     got = fresh.join(documents.withColumnRenamed("url", "fetch_url"), "fetch_url").withColumn("fetched_at", F.lit(now))
     blobs, rows = store_documents(got, stored)
     offset = metadata.agg(F.coalesce(F.max("idx"), F.lit(-1))).first()[0] + 1
     rows = rows.join(got.select("source_url", (F.col("parish_id") + offset).alias("idx")), "source_url")
-    counts = (found.select(F.lit("found").alias("k")).unionByName(got.select(F.lit("fetched").alias("k")))
+    here = fresh.join(documents.select(F.col("url").alias("fetch_url")), "fetch_url", "left_semi")
+    counts = (found.select(F.lit("found").alias("k")).unionByName(here.select(F.lit("fetched").alias("k")))
               .unionByName(fresh.select(F.lit("fresh").alias("k"))))
     n = lambda k: F.count_if(F.col("k") == k)
     summary = counts.agg(n("fetched").alias("fetched_bulletins"), (n("found") - n("fresh")).alias("skipped_existing_urls"))

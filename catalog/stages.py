@@ -36,7 +36,7 @@ class LineExtractor:
         return {
             "events": [{"church_slug": c["slug"], "type": "mass", "kind": "weekly", "day_of_week": "Sunday",
                         "start_time": f"{8 + len(content) % 4}:00 AM", "page_number": i + 1} for i, c in enumerate(churches)],
-            "church_list_needs_review": len(content) % 5 == 0,
+            "church_list_needs_review": len(content) % 2 == 0,
             "published_date": today.isoformat() if len(content) % 3 == 0 else " ",
             "wrong_bulletin": len(content) % 2 == 1 and len(content) < 2000,
         }
@@ -186,7 +186,7 @@ def _(d):
 
 # --- extractor -------------------------------------------------------------------------------
 
-define("ready_row", "select w.idx, w.parish_slug, w.parish_id, w.doc_id, length(encode(d.text)) as n from work_row w join documents d using (doc_id) where reason is null")
+define("ready_row", "select w.idx, w.parish_slug, w.parish_id, w.doc_id, strlen(d.text) as n from work_row w join documents d using (doc_id) where reason is null")
 define("outcome_row", """select idx, case when n < 200 then 'error' else 'extracted' end as status from ready_row
     union all select idx, 'skipped' from work_row where reason is not null""")
 
@@ -225,9 +225,9 @@ def seeded_cache(d):
 _CACHED = "content_hash in (select content_hash from bulletin where content_hash is not null and id % 3 = 0)"
 # one row per latest document with what the stand-in extractor or the cache gives for it
 define("run_status", f"""select w.idx, w.parish_slug, w.source_url, w.content_hash, w.processed_at, w.published_date,
-    case when {_CACHED} then 'hit' when w.content_hash is null then 'hashless' when d.doc_id is null then 'skipped' when length(encode(d.text)) < 200 then 'error' else 'extracted' end as status,
-    case when {_CACHED} then length(w.content_hash) = 3 else length(encode(d.text)) % 2 = 1 and length(encode(d.text)) < 2000 end as wrong,
-    case when {_CACHED} then 1 else (select count(*) from church c where 'p-' || c.parish_id = w.parish_slug) end as n_rows, length(encode(d.text)) as n
+    case when {_CACHED} then 'hit' when w.content_hash is null then 'hashless' when d.doc_id is null then 'skipped' when strlen(d.text) < 200 then 'error' else 'extracted' end as status,
+    case when {_CACHED} then length(w.content_hash) = 3 else strlen(d.text) % 2 = 1 and strlen(d.text) < 2000 end as wrong,
+    case when {_CACHED} then 1 else (select count(*) from church c where 'p-' || c.parish_id = w.parish_slug) end as n_rows, strlen(d.text) as n
     from work_choice w left join documents d on w.pdf_path = '/docs/' || d.doc_id || '.pdf'""")
 
 
@@ -254,7 +254,7 @@ def _(d):
     return run(d).manifest.select("bulletin_source_url", "parish_slug", "event_count", "wrong_bulletin")
 
 
-@query("snk_run", "select 'line' as classifier, count(*) as n_served, sum(case when wrong then 0 else n_rows end) as n_events from run_status where status in ('hit', 'extracted')")
+@query("snk_run", "select 'line' as classifier, count(source_url) as n_served, sum(case when wrong then 0 else n_rows end) as n_events from run_status where status in ('hit', 'extracted')")
 def _(d):
     from belfry.sources.runs import read_runs
     root = scratch_path(d.spark, "run")
@@ -267,7 +267,7 @@ def _(d):
 # --- process ---------------------------------------------------------------------------------
 
 # pending documents of the process stage; rows without a hash are extracted as well
-define("pending_row", f"""select idx, parish_slug, source_url, case when status = 'hashless' then case when d.doc_id is null then 'skipped' when length(encode(d.text)) < 200 then 'error' else 'extracted' end
+define("pending_row", f"""select idx, parish_slug, source_url, case when status = 'hashless' then case when d.doc_id is null then 'skipped' when strlen(d.text) < 200 then 'error' else 'extracted' end
     else status end as status, wrong, n_rows, s.n from run_status s left join documents d on s.idx = d.doc_id where processed_at is null""")
 define("merged_meta", f"""select m.idx, m.parish_slug, m.source_url, m.fetched_at, case when p.idx is not null then '{NOW}' else m.processed_at end as processed_at,
     case when p.status = 'extracted' and p.n % 3 = 0 then '{REF}' else m.published_date end as published_date
@@ -301,7 +301,7 @@ def _(d):
     return processed(d).summary
 
 
-@query("flt_needs_review", "select distinct parish_slug from pending_row where status = 'extracted' and n % 5 = 0")
+@query("flt_needs_review", "select distinct parish_slug from pending_row where status = 'extracted' and n % 2 = 0")
 def _(d):
     return processed(d).review
 
@@ -400,7 +400,7 @@ def stream_of(d, df, name: str):
 @query("str_ingest_dedupe", """select source_url, 1 as n from bulletin where source_url is not null group by source_url
     union all select null, count(*) from bulletin where source_url is null""")
 def _(d):
-    rows = d.bulletin.select("id", "source_url").unionByName(d.bulletin.where("source_url is not null and id % 4 = 0").select(-F.col("id").alias("id"), "source_url"))
+    rows = d.bulletin.select("id", "source_url").unionByName(d.bulletin.where("source_url is not null and id % 4 = 0").select((-F.col("id")).alias("id"), "source_url"))
     out, state = scratch_path(d.spark, "stream-out"), scratch_path(d.spark, "stream-state")
     ingest.write_parquet(ingest.new_urls(stream_of(d, rows, "stream-in")), out, state).awaitTermination()
     return d.spark.read.schema("id bigint, source_url string").parquet(out).groupBy("source_url").agg(F.count(F.lit(1)).alias("n"))
