@@ -37,9 +37,9 @@ def _group(text: Column, pattern: str, i: int) -> Column:
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:
     """Date, or null when the parts name no calendar day."""
-    text = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
-    known = year.isNotNull() & month.isNotNull() & day.isNotNull() & (year.cast("int") >= 1)
-    return F.when(known, F.try_to_date(text, "yyyy-MM-dd"))
+    y, m, d = (c.cast("int") for c in (year, month, day))
+    text = F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), two_digits(m), F.lit("-"), two_digits(d))
+    return F.when(y.between(1, 9999) & m.between(1, 12) & d.between(1, 31), text.try_cast("date"))
 
 
 def month_number(name: Column) -> Column:
@@ -65,14 +65,14 @@ def event_date(text: Column) -> Column:
 
 def event_date_of_clean(raw: Column) -> Column:
     """:func:`event_date` of already trimmed text."""
-    iso = safe_date(*[_group(raw, ISO_SHAPE, i) for i in (1, 2, 3)])
     word = F.lower(F.regexp_extract(raw, LONG_DATE, 1))
     month = F.when(word != "sept", month_number(word))
     long = safe_date(_group(raw, LONG_DATE, 3), month, _group(raw, LONG_DATE, 2))
     y = _group(raw, SLASH_DATE, 3)
     century = F.when(F.length(y) == 4, 0).when(y.cast("int") >= 69, 1900).otherwise(2000)
     slash = safe_date(y.cast("int") + century, _group(raw, SLASH_DATE, 1), _group(raw, SLASH_DATE, 2))
-    return F.coalesce(iso, long, slash).cast("string")
+    iso = F.when(~raw.startswith("0000"), raw.try_cast("date"))
+    return (F.when(raw.rlike(ISO_SHAPE), iso).when(raw.contains("/"), slash).otherwise(long)).cast("string")
 
 
 def normalize_year(text: Column, reference: Column) -> Column:
@@ -113,12 +113,12 @@ def _first_date(n: Column, reference: Column) -> Column:
             return F.when(g(3) != "", dated).otherwise(yearless_date(month, day, reference))
         return build
 
-    return F.coalesce(
+    return F.when(n.rlike(r"\d"), F.coalesce(
         first(MONTH_DAY, named(1, 2)),
         first(DAY_MONTH, named(2, 1)),
         first(YEAR_FIRST, lambda g: safe_date(g(1), g(2), g(3))),
         first(YEAR_LAST, lambda g: safe_date(normalize_year(g(3), reference), g(1), g(2))),
-        first(NO_YEAR, lambda g: yearless_date(g(1), g(2), reference)))
+        first(NO_YEAR, lambda g: yearless_date(g(1), g(2), reference))))
 
 
 def relaxed_date_multi(texts: list[Column], reference: Column) -> Column:

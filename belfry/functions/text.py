@@ -11,6 +11,10 @@ CACHE_UNSAFE = r"[^\p{L}\p{N}._-]"
 CACHE_READABLE_CHARS = 80
 CACHE_DIGEST_CHARS = 12
 
+# The characters that count as white space.
+WHITE_SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+               "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 KEY_PARTS = ["church_slug", "event_type", "event_kind", "day_of_week", "date",
              "start_time", "end_time", "cancelled"]
 
@@ -22,7 +26,7 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def empty_to_null(text: Column) -> Column:

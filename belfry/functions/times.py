@@ -11,38 +11,40 @@ DAY_MINUTES = 24 * 60
 LAST_MINUTE = DAY_MINUTES - 1
 
 # The accepted time spellings.
-MERIDIEM_FORM = r"(?i)^(\d{1,2})(?::(\d{2}))?\s*(AM|PM)$"
-CLOCK_FORM = r"^(\d{1,2}):(\d{2})$"
-MILITARY_FORM = r"^(\d{2})(\d{2})$"
-
-
-def _int(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("int")
+MERIDIEM_HOURS = r"^\d{1,2}(:\d{2})?$"
+CLOCK_FORM = r"^\d{1,2}:\d{2}$"
+MILITARY_FORM = r"^\d{4}$"
 
 
 def clean_time(text: Column) -> Column:
     """Trimmed time text with ``a.m.`` / ``p.m.`` spellings made ``AM`` / ``PM``."""
     raw = strip(text)
+    spelled = raw
     for letter in "ap":
-        raw = F.regexp_replace(raw, rf"(?i){letter}\.m\.?(?=\s|$)", f"{letter.upper()}M")
-    return raw
+        spelled = F.regexp_replace(spelled, rf"(?i){letter}\.m\.?(?=\s|$)", f"{letter.upper()}M")
+    return F.when(F.lower(raw).contains(".m"), spelled).otherwise(raw)
 
 
 def minutes_of_clean(raw: Column) -> Column:
     """Minutes of an already cleaned time text; see :func:`minutes_of_day`."""
-    hour = _int(raw, MERIDIEM_FORM, 1)
-    pm = F.upper(F.regexp_extract(raw, MERIDIEM_FORM, 3)) == "PM"
-    hour24 = F.when(pm, F.when(hour == 12, 12).otherwise(hour + 12)).otherwise(
-        F.when(hour == 12, 0).otherwise(hour))
+    def parts(clock: Column) -> tuple[Column, Column]:
+        return (F.split_part(clock, F.lit(":"), F.lit(1)).try_cast("int"),
+                F.split_part(clock, F.lit(":"), F.lit(2)).try_cast("int"))
 
-    def checked(pattern: str) -> Column:
-        h, m = _int(raw, pattern, 1), _int(raw, pattern, 2)
+    def checked(h: Column, m: Column) -> Column:
         return F.when((h <= 23) & (m <= 59), h * 60 + m)
 
-    return (F.when(F.lower(raw) == "midnight", F.lit(0))
-            .when(F.lower(raw) == "noon", F.lit(720))
-            .when(raw.rlike(MERIDIEM_FORM), hour24 * 60 + F.coalesce(_int(raw, MERIDIEM_FORM, 2), F.lit(0)))
-            .otherwise(F.coalesce(checked(CLOCK_FORM), checked(MILITARY_FORM))))
+    half = F.upper(F.right(raw, F.lit(2)))
+    body = strip(F.left(raw, F.length(raw) - 2))
+    hour, minute = parts(body)
+    hour24 = F.when(half == "PM", F.when(hour == 12, 12).otherwise(hour + 12)).otherwise(
+        F.when(hour == 12, 0).otherwise(hour))
+    military = (raw.substr(1, 2).try_cast("int"), raw.substr(3, 2).try_cast("int"))
+    return (F.when(half.isin("AM", "PM"), F.when(body.rlike(MERIDIEM_HOURS), hour24 * 60 + F.coalesce(minute, F.lit(0))))
+            .when(raw.rlike(CLOCK_FORM), checked(*parts(raw)))
+            .when(raw.rlike(MILITARY_FORM), checked(*military))
+            .when(F.lower(raw) == "midnight", F.lit(0))
+            .when(F.lower(raw) == "noon", F.lit(720)))
 
 
 def minutes_of_day(text: Column) -> Column:
@@ -90,7 +92,8 @@ def to_hhmm(minutes: Column) -> Column:
 
 def from_hhmm(text: Column, fallback: int) -> Column:
     """``HHMM`` with hour up to 24, clamped to the last minute; anything else is ``fallback``."""
-    raw = strip(text)
-    h, m = _int(raw, MILITARY_FORM, 1), _int(raw, MILITARY_FORM, 2)
-    ok = (h <= 24) & (m < 60)
-    return F.coalesce(F.when(ok, F.least(h * 60 + m, F.lit(LAST_MINUTE))), F.lit(fallback))
+    def read(raw: Column) -> Column:
+        h, m = raw.substr(1, 2).try_cast("int"), raw.substr(3, 2).try_cast("int")
+        ok = raw.rlike(MILITARY_FORM) & (h <= 24) & (m < 60)
+        return F.when(ok, F.least(h * 60 + m, F.lit(LAST_MINUTE)))
+    return F.coalesce(let(strip(text), read), F.lit(fallback))

@@ -2,7 +2,8 @@
 
 A field matches when it holds at least 60 % of the query's letter pairs.  A matching
 field must then contain one of the query's rarest pairs, so only those are probed: the
-join stays an equality join on uncommon keys and no match is lost.
+join stays an equality join on uncommon keys and no match is lost.  Matching runs over
+the distinct field texts; only texts that can still reach the top go on to the churches.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from belfry.functions.text import strip
 from belfry.operators.filters import has_coords
-from belfry.session import broadcast_if_small
+from belfry.session import broadcast_if_small, written
 
 # Field weights, match threshold, result size, shortest query.
 WEIGHTS = {"name": 0.62, "city": 0.13, "state": 0.08, "postal_code": 0.08,
@@ -30,40 +31,65 @@ def letter_pairs(text: Column) -> Column:
     return F.when(F.length(low) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
-def field_pairs(church: DataFrame) -> DataFrame:
-    """(church_id, field, pairs) for named churches that have coordinates."""
+def field_texts(church: DataFrame) -> DataFrame:
+    """(church_id, field, text) for named churches that have coordinates."""
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in WEIGHTS]))
     return (church.where(has_coords() & (F.col("name") != ""))
             .select(F.col("id").alias("church_id"), fields.alias("f"))
-            .where(F.length("f.text") >= 2)
-            .select("church_id", "f.field", letter_pairs(F.col("f.text")).alias("pairs")))
+            .where(F.length("f.text") >= 2).select("church_id", "f.field", "f.text"))
 
 
-def search(queries: DataFrame, church: DataFrame, top: int = TOP) -> DataFrame:
-    """(query_id, rank, church_id, score) of the best ``top`` churches per query."""
-    fields = field_pairs(church)
-    by_pair = fields.select("church_id", "field", "pairs", F.explode("pairs").alias("pair"))
+def text_matches(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, field, text, n, similarity) of the distinct field texts that match a query."""
+    pairs = texts.withColumn("pairs", letter_pairs(F.col("text")))
+    by_pair = pairs.withColumn("pair", F.explode("pairs"))
     clean = strip(F.col("query"))
     asked = (queries.where(F.length(clean) >= MIN_QUERY)
              .select("query_id", letter_pairs(clean).alias("wanted"))
-             .withColumn("n", F.size("wanted"))
-             .withColumn("need", F.ceil(F.round(F.col("n") * (1 - MAX_DISTANCE), 6)).cast("int")))
+             .withColumn("size", F.size("wanted"))
+             .withColumn("need", F.ceil(F.round(F.col("size") * (1 - MAX_DISTANCE), 6)).cast("int")))
     common = by_pair.groupBy("pair").agg(F.count(F.lit(1)).alias("df"))
-    rare_first = Window.partitionBy("query_id").orderBy("df", "pair")
-    probes = (asked.select("query_id", "wanted", "n", "need", F.explode("wanted").alias("pair"))
-              .join(common, "pair")
-              .withColumn("at", F.row_number().over(rare_first)))
-    # pairs absent from every field rank first: they only shorten the probe list
-    absent = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    probes = (probes.withColumn("absent", absent)
-              .where(F.col("at") + F.col("absent") <= F.col("n") - F.col("need") + 1)
-              .select("query_id", "wanted", "n", "need", "pair"))
+    mine = Window.partitionBy("query_id")
+    # pairs no text holds count as the rarest: they only shorten the probe list
+    probes = (asked.select("*", F.explode("wanted").alias("pair")).join(common, "pair")
+              .withColumn("at", F.row_number().over(mine.orderBy("df", "pair")))
+              .withColumn("absent", F.col("size") - F.count(F.lit(1)).over(mine))
+              .where(F.col("at") + F.col("absent") <= F.col("size") - F.col("need") + 1)
+              .select("query_id", "wanted", "size", "need", "pair"))
     shared = F.size(F.array_intersect("wanted", "pairs"))
-    hits = (by_pair.join(broadcast_if_small(probes), "pair")
-            .withColumn("shared", shared).where(F.col("shared") >= F.col("need")))
-    similarity = F.col("shared") / F.col("n")
+    hits = by_pair.join(broadcast_if_small(probes), "pair").withColumn("shared", shared)
+    return (hits.where(F.col("shared") >= F.col("need"))
+            .groupBy("query_id", "field", "text").agg(F.max("n").alias("n"), F.max(F.col("shared") / F.col("size")).alias("similarity")))
+
+
+def contenders(matches: DataFrame, top: int) -> DataFrame:
+    """Matches that can still lead into the best ``top``; exact, nothing that could win is lost.
+
+    A church holding a matching text scores at least that field's share, so the field
+    alone shows which score ``top`` churches reach for sure.  A match whose best possible
+    total stays below that score cannot win.
+    """
+    weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
+    weighted = matches.withColumn("share", F.try_element_at(weight, F.col("field")) * F.col("similarity"))
+    levels = weighted.groupBy("query_id", "field", "share").agg(F.sum("n").alias("n"))
+    down = Window.partitionBy("query_id", "field").orderBy(F.desc("share"))
+    sure = levels.withColumn("reached", F.sum("n").over(down)).groupBy("query_id").agg(
+        F.coalesce(F.max(F.when(F.col("reached") >= top, F.col("share"))), F.lit(0.0)).alias("sure"))
+    best = levels.groupBy("query_id", "field").agg(F.max("share").alias("best"))
+    total = best.groupBy("query_id").agg(F.sum("best").alias("total"))
+    bound = F.col("share") + F.col("total") - F.col("best")
+    return (weighted.join(best, ["query_id", "field"]).join(total, "query_id").join(sure, "query_id")
+            .where(bound + 1e-9 >= F.col("sure")).select("query_id", "field", "text", "similarity"))
+
+
+def search(queries: DataFrame, church: DataFrame, top: int = TOP) -> DataFrame:
+    """(query_id, rank, church_id, score) of the best ``top`` churches per query."""
+    fields = field_texts(church)
+    texts = fields.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"))
+    matches = written(text_matches(queries, texts), "text-matches")
+    hits = fields.join(broadcast_if_small(contenders(matches, top)), ["field", "text"])
     per_church = hits.groupBy("query_id", "church_id").agg(*[
-        F.coalesce(F.max(F.when(F.col("field") == f, similarity)), F.lit(0.0)).alias(f) for f in WEIGHTS])
+        F.coalesce(F.max(F.when(F.col("field") == f, F.col("similarity"))), F.lit(0.0)).alias(f) for f in WEIGHTS])
     score = sum((F.col(f) * F.lit(w) for f, w in WEIGHTS.items()), F.lit(0.0))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "church_id")
     return (per_church.select("query_id", "church_id", F.round(score, 6).alias("score"))

@@ -22,11 +22,16 @@ class Domain:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Inputs with fewer splits than cores are dealt out evenly; larger ones stay as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def table(self, name: str) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in self._written:
             build, deps = TABLES[name]
-            frames = {dep: (self.table(dep) if dep in TABLES else self.base(dep)) for dep in deps}
+            frames = {dep: (self.table(dep) if dep in TABLES else self.spread(self.base(dep))) for dep in deps}
             sql = build(SPARK).replace("{", "{{").replace("}", "}}")
             for dep in deps:
                 sql = re.sub(rf"\b(from|join) {dep}\b", rf"\1 {{{dep}}}", sql)

@@ -217,7 +217,8 @@ def seeded_cache(d):
     """Results for the hashes of every third bulletin, as an earlier run would have left them."""
     hashes = d.bulletin.where("content_hash is not null and id % 3 = 0").select("content_hash").distinct()
     doc = F.concat(F.lit('{"events":[{"church_slug":"c-0","type":"mass","kind":"weekly","day_of_week":"Monday","start_time":"7:00 AM"}],"wrong_bulletin":'),
-                   F.when(F.length("content_hash") == 3, "true").otherwise("false"), F.lit("}"))
+                   F.when(F.length("content_hash") == 3, "true").otherwise("false"),
+                   F.lit(',"church_list_needs_review":'), F.when(F.length("content_hash") == 4, "true").otherwise("false"), F.lit("}"))
     return hashes.select(F.lit("line").alias("classifier"), cache_version(F.lit("v1")).alias("version"), "content_hash",
                          guarded_result(doc).alias("result"))
 
@@ -267,7 +268,7 @@ def _(d):
 # --- process ---------------------------------------------------------------------------------
 
 # pending documents of the process stage; rows without a hash are extracted as well
-define("pending_row", f"""select idx, parish_slug, source_url, case when status = 'hashless' then case when d.doc_id is null then 'skipped' when strlen(d.text) < 200 then 'error' else 'extracted' end
+define("pending_row", f"""select idx, parish_slug, source_url, content_hash, case when status = 'hashless' then case when d.doc_id is null then 'skipped' when strlen(d.text) < 200 then 'error' else 'extracted' end
     else status end as status, wrong, n_rows, s.n from run_status s left join documents d on s.idx = d.doc_id where processed_at is null""")
 define("merged_meta", f"""select m.idx, m.parish_slug, m.source_url, m.fetched_at, case when p.idx is not null then '{NOW}' else m.processed_at end as processed_at,
     case when p.status = 'extracted' and p.n % 3 = 0 then '{REF}' else m.published_date end as published_date
@@ -301,7 +302,7 @@ def _(d):
     return processed(d).summary
 
 
-@query("flt_needs_review", "select distinct parish_slug from pending_row where status = 'extracted' and n % 2 = 0")
+@query("flt_needs_review", "select distinct parish_slug from pending_row where (status = 'extracted' and n % 2 = 0) or (status = 'hit' and length(content_hash) = 4)")
 def _(d):
     return processed(d).review
 
