@@ -199,10 +199,18 @@ def read_payload(text: Column, read) -> Column:
     return let(parse_object(text), lambda root: let(slots_of(root), lambda slots: read(root, slots)))
 
 
+def payload_reading(text: Column) -> Column:
+    """Struct (valid, result): strict when the whole document is valid, lenient otherwise."""
+    def read(root: Column, slots: Column) -> Column:
+        return let(is_valid(root, slots), lambda valid: F.struct(
+            valid.alias("valid"),
+            F.when(valid, strict_result(root, slots)).otherwise(lenient_result(root, slots)).alias("result")))
+    return read_payload(text, read)
+
+
 def payload_result(text: Column) -> Column:
-    """Payload text to result struct: strict when the whole document is valid, lenient otherwise."""
-    return read_payload(text, lambda root, slots: F.when(
-        is_valid(root, slots), strict_result(root, slots)).otherwise(lenient_result(root, slots)))
+    """Payload text to result struct."""
+    return payload_reading(text)["result"]
 
 
 # --- flat results (what extractors return and the cache stores) ------------------------------

@@ -8,10 +8,12 @@ An extractor is an object with ``name``, ``version`` and
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 from datetime import date
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,10 @@ def outcomes(items: DataFrame, extractor, today: date, key: str = "idx",
                     rows.append((k, "error", repr(exc), None))
             yield pd.DataFrame(rows, columns=[key, "status", "error", "result_json"])
 
+    # the extractor class travels with the job: executors need no copy of its module
+    home = type(extractor).__module__
+    if home != "__main__":
+        cloudpickle.register_pickle_by_value(sys.modules[home])
     ready = items.select(key, "content", "churches_json")
     if parallelism:
         ready = ready.repartition(parallelism)

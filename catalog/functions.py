@@ -514,11 +514,11 @@ def _(d):
     from (select distinct bulletin_id as id from event where bulletin_id is not null) p
     join bulletin b on p.id = b.id left join payload_event e on e.id = p.id group by all""")
 def _(d):
-    valid = payload.read_payload(F.col("payload"), payload.is_valid)
-    rows = d.payload.select("id", payload.payload_result(F.col("payload")).alias("r"),
-                            (F.try_parse_json("payload").isNotNull() & valid).alias("valid"))
-    return rows.select("id", "valid", F.size("r.events").alias("n_events"), "r.wrong_bulletin",
-                       F.col("r.church_list_needs_review").alias("needs_review"), "r.published_date")
+    rows = d.payload.select("id", payload.payload_reading(F.col("payload")).alias("p"),
+                            F.try_parse_json("payload").isNotNull().alias("json"))
+    return rows.select("id", (F.col("json") & F.col("p.valid")).alias("valid"), F.size("p.result.events").alias("n_events"),
+                       "p.result.wrong_bulletin", F.col("p.result.church_list_needs_review").alias("needs_review"),
+                       "p.result.published_date")
 
 
 @query("fn_parse_json_object", """select id, case when id % 10 = 2 then 0 when id % 10 = 0 then 7 else 6 end as n_keys
