@@ -63,15 +63,17 @@ def apply_verify(roster: DataFrame, results: DataFrame) -> DataFrame:
         "new_at", F.lit(None).cast(fresh.schema["new_at"].dataType))
     everyone = old.unionByName(fresh, allowMissingColumns=True)
     verdicts = _verdicts(results).withColumn("slug", F.col("v.church_slug"))
-    born = everyone.select("slug", "since")
+    born = everyone.groupBy("slug").agg(F.max("since").alias("since"), F.max("idx").alias("last_idx"))
     v = verdicts.join(born, "slug").where(F.col("doc") > F.col("since"))
     folded = v.groupBy("slug").agg(
         F.max_by("v", "order").alias("last"),
         F.max_by("named", "order").alias("last_named"), F.max_by("placed", "order").alias("last_placed"),
         F.max_by("v.corrected_name", F.when(F.col("named"), F.col("order"))).alias("new_name"),
         F.max_by("v.corrected_address", F.when(F.col("placed"), F.col("order"))).alias("new_address"),
-        F.max(F.col("named") | F.col("placed")).alias("corrected"))
-    out = everyone.join(folded, "slug", "left")
+        F.max(F.col("named") | F.col("placed")).alias("corrected"), F.max("last_idx").alias("last_idx"))
+    # where a roster repeats a slug, its last row is the one that is corrected
+    folded = folded.withColumn("target_idx", F.coalesce("last_idx", F.lit(-1))).drop("last_idx")
+    out = everyone.withColumn("target_idx", F.coalesce("idx", F.lit(-1))).join(folded, ["slug", "target_idx"], "left")
     hit = F.col("last").isNotNull()
     flags = {
         "name_verified": F.when(F.col("last_named"), "true").otherwise(verify_flag(F.col("last.name_status"))),

@@ -186,6 +186,15 @@ def test_verdicts_are_applied_in_document_order(spark):
     assert merge.verify_counters(out).first().asDict() == {"corrections_applied": 2, "new_churches_added": 1}
 
 
+def test_repeated_roster_slug_is_corrected_in_its_last_row(spark):
+    row = lambda i, name: (i, "p", "a", name, "", "", "", "", "", "", "", "", "")
+    roster = spark.createDataFrame([row(0, "One"), row(1, "Two")], ROSTER)
+    value = ([("a", "incorrect", "verified", "Better", None, False)], [])
+    results = spark.createDataFrame([(0, "p", value)], f"idx bigint, slug string, value {schemas.VERIFICATION}")
+    got = {r["idx"]: (r["name"], r["name_verified"]) for r in merge.apply_verify(roster, results).collect()}
+    assert got == {0: ("One", ""), 1: ("Better", "true")}
+
+
 def test_geocode_last_usable_result_wins(spark):
     cols = "line1 string, line2 string, city string, state string, postal_code string"
     roster = spark.createDataFrame([(1, "1 A", None, "T", None, None, None, None), (2, "1 A", "", "T", "", "", None, None), (3, "9", "", "", "", "", 5.0, 6.0)],
