@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belfry.llm import quality
+from belfry.llm import quality, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,15 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (quality.with_quality_score(documents, model)
             .select("doc_id", F.coalesce(~quality.learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
+@_register("op4_warc", """
+    with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages),
+         w as (select d, max(page_id) as top from p where n >= 1000 group by d)
+    select page_id, n as payload_bytes, p.d as payload_digest,
+           case when n >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+           case when n >= 1000 and page_id < top then top end as refers_to
+    from p left join w on p.d = w.d""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
