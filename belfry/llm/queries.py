@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belfry.llm import quality, warc
+from belfry.llm import byte_dedup, quality, token_counts, warc, word_bpe, word_dedup
 
+TOKEN_LIMIT = 4096
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 @_register("op7_quality_classifier")
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,3 +49,27 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_register("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.removal_digest(_table(spark, sf_dir, "documents"))
+
+
+@_register("op3_bpe_coding")
+def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = word_bpe.coding_digest(F.col("text"), tokenizer_path("word_bpe_49k.json"))
+    return _table(spark, sf_dir, "documents").select("doc_id", coded.alias("c")).select("doc_id", "c.*")
+
+
+@_register("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_dedup.removal_digest(_table(spark, sf_dir, "documents"))
+
+
+@_register("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = token_counts.token_count(F.col("text"), tokenizer_path("piece_bpe_32k.model"))
+    return (_table(spark, sf_dir, "documents")
+            .select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), count.alias("n_tokens"))
+            .withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT))
