@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belfry.llm import byte_dedup, quality, token_counts, warc, word_bpe, word_dedup
+from belfry.llm import byte_dedup, forest, leaks, licenses, near_dups, quality, token_counts, warc, word_bpe, word_dedup
 
 TOKEN_LIMIT = 4096
 QUERIES: dict = {}
@@ -73,3 +73,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (_table(spark, sf_dir, "documents")
             .select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), count.alias("n_tokens"))
             .withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT))
+
+
+@_register("op2_dart_minhash")
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_dup_classes(_table(spark, sf_dir, "documents"))
+
+
+@_register("op6_hash_prefix_forest")
+def op6_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+@_register("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+@_register("op9_benchmark_leaks")
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
