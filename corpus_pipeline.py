@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belfry.llm import quality
+from belfry.llm import byte_dedup, leaks, near_dups, quality, word_bpe
+from belfry.llm.queries import tokenizer_path
 from belfry.session import written
 
 
@@ -18,8 +19,35 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.with_quality_score(docs, model, score="__score").where(F.col("__score") >= 0.3).drop("__score")
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near copies."""
+    return near_dups.one_per_class(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 400 bytes or more that also occur elsewhere; ``n_chars`` follows the text."""
+    cut = byte_dedup.with_repeats_removed(docs, keep_text=True)
+    return (cut.withColumn("text", F.col("__cut.kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns))
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    return leaks.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, their number, and the text they decode to."""
+    path = tokenizer_path("word_bpe_49k.json")
+    ids = docs.select("doc_id", "lang", "source", word_bpe.encoded(F.col("text"), path).alias("ids"))
+    return ids.select("*", F.size("ids").cast("long").alias("n_tokens"), word_bpe.decoded(F.col("ids"), path).alias("decoded"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", keep_good),
+    ("near-dedup", one_of_each),
+    ("repeats", cut_repeats),
+    ("benchmarks", without_benchmarks),
+    ("encoding", encode),
 ]
 
 ORACLE_SQL = None
