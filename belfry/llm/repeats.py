@@ -85,11 +85,12 @@ def _true_ranges(mask: np.ndarray) -> list[int]:
 
 
 def repeated_windows(docs: DataFrame, split: Callable, pack: Callable, judge: Callable,
-                     window: int, k: int, coarse: int, text: str = "text") -> DataFrame:
+                     window: int, k: int, coarse: int, shortest: int, text: str = "text") -> DataFrame:
     """(text_key, spans): per distinct text the [first, last) ranges of repeated window starts, flat, in no order.
 
     ``split(text) -> (parts, unit hashes)``, ``pack(parts, first, size) -> bytes`` is the string of units first ..
-    first + size, and ``judge(strings, window)`` marks per string the starts whose window occurs again among them.
+    first + size, and ``judge(strings, window)`` marks per string the starts whose window occurs again among them.  Texts of fewer
+    than ``shortest`` bytes hold no window.
     """
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,8 +106,11 @@ def repeated_windows(docs: DataFrame, split: Callable, pack: Callable, judge: Ca
                     rows = []
             yield pd.DataFrame(rows, columns=["text_key", "start", "size", "key", "looped", "digest"])
 
-    texts = docs.select(text_key().alias("text_key"), F.col(text).alias("text")).where(F.length("text") > 0)
-    every = written(texts.mapInPandas(found, RUN), "runs")
+    texts = docs.select(text_key(text).alias("text_key"), F.col(text).alias("text")).where(F.octet_length("text") >= shortest)
+    raw_runs = written(texts.mapInPandas(found, RUN), "runs")
+    # a key seen once cannot repeat: counting keys alone is narrow, and most runs end here
+    again = raw_runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("looped").alias("loops")).where("n > 1 or loops").select("key")
+    every = written(raw_runs.join(again, "key", "left_semi"), "repeated-runs")
     strings = written(every.groupBy("key", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.max("looped").alias("looped"), F.min(F.struct("text_key", "start", "size")).alias("at")), "run-strings")
     # only keys with two or more different strings, or with a looping one, need their contents
@@ -159,8 +163,8 @@ def repeated_windows(docs: DataFrame, split: Callable, pack: Callable, judge: Ca
 
 
 def text_key(text: str = "text"):
-    """Digest of the whole text (null: empty)."""
-    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    """128-bit digest of the whole text (null: empty)."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 def covered(n: int, spans, window: int) -> np.ndarray:
