@@ -7,8 +7,8 @@ only, so long texts cost little more than hashing their shingles.  Weights defau
 shingle (the weighted similarity is then the Jaccard similarity of the shingle sets); ``counted`` weighs
 by occurrence.
 
-Texts equal in one band meet at that band's leader; members it does not resemble choose a new leader
-among themselves, until all are settled.  So a bucket of n texts yields about n pairs, never n squared.
+Texts equal in one band meet at that band's leader; members that are not in its class then choose a new
+leader among themselves, until all are settled.  So a bucket of n texts yields about n pairs, never n squared.
 Every pair is verified on whole shingle sets; verified pairs are joined to classes.
 
 Edge cases: null text is the empty text; empty texts are one class; texts of one to four words have one
@@ -140,21 +140,21 @@ def links(docs: DataFrame, similar: float = SIMILAR, counted: bool = False) -> D
     involved = open_members.select("key").distinct()
     texts = docs.select(_key().alias("key"), "text").join(involved, "key", "left_semi")
     sets = written(_sets(texts).dropDuplicates(["key"]), "dart-sets")
-    found = None
-    while not open_members.isEmpty():
+    found = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    while True:
         leaders = open_members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         met = written(open_members.join(leaders, "bucket").where("key <> leader"), "dart-met")
+        if met.isEmpty():
+            return found
         pairs = met.select("key", "leader").distinct()
         scored = (pairs.join(sets, "key").join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("theirs")), "leader")
-                  .withColumn("similarity", jaccard("shingles", "theirs")))
-        checked = written(scored.select("key", "leader", (F.col("similarity") >= similar).alias("linked")), "dart-checked")
-        good = checked.where("linked").select(F.col("leader").alias("a"), F.col("key").alias("b"))
-        found = good if found is None else found.unionByName(good)
-        open_members = written(met.join(checked.where("not linked").select("key", "leader"), ["key", "leader"], "left_semi")
-                               .select("bucket", "key"), "dart-open")
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "a binary, b binary")
-    return written(found.distinct(), "dart-links")
+                  .where(jaccard("shingles", "theirs") >= similar).select(F.col("leader").alias("a"), F.col("key").alias("b")))
+        found = written(found.unionByName(scored), "dart-links")
+        # settled: already in the leader's class, through this bucket or any other
+        roots = components(found)
+        mine, theirs = roots.withColumnRenamed("root", "mine"), roots.select(F.col("key").alias("leader"), F.col("root").alias("theirs"))
+        open_members = written(met.join(mine, "key", "left").join(theirs, "leader", "left")
+                               .where(~F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False))).select("bucket", "key"), "dart-open")
 
 
 def components(pairs: DataFrame) -> DataFrame:
