@@ -9,7 +9,6 @@ from belfry.functions import dates, times
 from belfry.functions.text import empty_to_null, is_blank, strip, title_case
 from belfry.functions.urls import query_value
 from belfry.schemas import EVENT_TYPES, PROVIDERS
-from belfry.session import broadcast_if_small
 
 # Filter defaults, URL day names, place-result kinds, page cap.
 DEFAULT_TYPE = "mass"
@@ -127,7 +126,7 @@ def match_filters(events: DataFrame, filters: DataFrame) -> DataFrame:
                        hours.alias("hours"))
                .withColumn("hour", F.explode("hours")).drop("hours"))
     hit = F.col("start_time").between(F.col("time_from"), F.col("time_to"))
-    return (cells.join(broadcast_if_small(covered), ["event_type", "slot", "hour"]).where(hit)
+    return (cells.join(covered, ["event_type", "slot", "hour"]).where(hit)
             .groupBy("filter_id", "church_id").agg(F.sum("n").alias("n_events")))
 
 

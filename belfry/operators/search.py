@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from belfry.functions.text import strip
 from belfry.operators.filters import has_coords
-from belfry.session import broadcast_if_small, written
+from belfry.session import written
 
 # Field weights, match threshold, result size, shortest query.
 WEIGHTS = {"name": 0.62, "city": 0.13, "state": 0.08, "postal_code": 0.08,
@@ -57,7 +57,7 @@ def text_matches(queries: DataFrame, texts: DataFrame) -> DataFrame:
               .where(F.col("at") + F.col("absent") <= F.col("size") - F.col("need") + 1)
               .select("query_id", "wanted", "size", "need", "pair"))
     shared = F.size(F.array_intersect("wanted", "pairs"))
-    hits = by_pair.join(broadcast_if_small(probes), "pair").withColumn("shared", shared)
+    hits = by_pair.join(probes, "pair").withColumn("shared", shared)
     return (hits.where(F.col("shared") >= F.col("need"))
             .groupBy("query_id", "field", "text").agg(F.max("n").alias("n"), F.max(F.col("shared") / F.col("size")).alias("similarity")))
 
@@ -87,7 +87,7 @@ def search(queries: DataFrame, church: DataFrame, top: int = TOP) -> DataFrame:
     fields = field_texts(church)
     texts = fields.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"))
     matches = written(text_matches(queries, texts), "text-matches")
-    hits = fields.join(broadcast_if_small(contenders(matches, top)), ["field", "text"])
+    hits = fields.join(contenders(matches, top), ["field", "text"])
     per_church = hits.groupBy("query_id", "church_id").agg(*[
         F.coalesce(F.max(F.when(F.col("field") == f, F.col("similarity"))), F.lit(0.0)).alias(f) for f in WEIGHTS])
     score = sum((F.col(f) * F.lit(w) for f, w in WEIGHTS.items()), F.lit(0.0))

@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch folder, written stages, size-checked broadcast."""
+"""Session helpers: shared scratch folder, written stages."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-BROADCAST_ROW_LIMIT = 200_000
 
 
 def build_session(app: str = "belfry", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,9 +30,11 @@ def build_session(app: str = "belfry", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where the setting is absent (tests)."""
+    """The cluster's shared folder; without the setting a private one, in local mode only (tests)."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="belfry-")
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder.rstrip("/")
@@ -50,13 +50,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows + 1`` rows.
-
-    Above the bound the frame is returned unhinted and the join shuffles.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

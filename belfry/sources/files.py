@@ -24,11 +24,14 @@ def check_header(columns: list[str], required: list[str], name: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], required: list[str]) -> DataFrame:
-    """Text columns in file order plus ``idx``; extra columns are ignored, absent ones are null."""
+    """Text columns in file order plus ``idx``; extra columns are ignored, absent ones are null.
+
+    Files of one path must agree on their header: one with other columns fails the read.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in ["idx", *columns])).withColumn(
             "idx", F.col("idx").cast("bigint"))
-    options = {"header": True, "multiLine": True, "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
+    options = {"header": True, "multiLine": True, "enforceSchema": False, "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
     raw = spark.read.options(**options).csv(path)
     header = [] if raw.columns == [] else raw.columns
     check_header(header, required, path.rstrip("/").rsplit("/", 1)[-1])
