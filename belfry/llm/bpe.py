@@ -20,7 +20,8 @@ class Merger:
 
     def __init__(self, rank: Callable[[str, str], int | None], tokens: Iterable[str]):
         self.rank, self.tokens = rank, set(tokens)
-        self.longest = max((len(self.split(t)) for t in self.tokens), default=1)
+        self.sizes = {t: len(self.split(t)) for t in self.tokens}
+        self.longest = max(self.sizes.values(), default=1)
         self._beside: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -65,13 +66,20 @@ class Merger:
 
     def prefixes(self, symbols: list[str]) -> tuple[list[str], list[int]]:
         """Last token and token count of every non-empty prefix."""
+        whole, size = "".join(symbols), len(symbols)  # only the last symbol may be longer than one character
+        tokens, beside, longest, sizes = self.tokens, self.beside, self.longest, self.sizes
         last: list[str] = []
         count = [0]
-        for i in range(1, len(symbols) + 1):
-            low = max(0, i - self.longest)
-            token = self.step(symbols[low:i], last, low == 0)
+        for i in range(1, size + 1):
+            end = i if i < size else len(whole)
+            for n in range(min(longest, i), 1, -1):
+                token = whole[i - n:end]
+                if token in tokens and beside(last[i - n - 1] if n < i else "", token):
+                    break
+            else:
+                token = symbols[i - 1]
             last.append(token)
-            count.append(count[i - len(self.split(token))] + 1)
+            count.append(count[i - sizes.get(token, 1)] + 1)
         return last, count[1:]
 
     def encode(self, symbols: list[str]) -> list[str]:
@@ -79,7 +87,7 @@ class Merger:
         out, i = [], len(symbols)
         while i:
             out.append(last[i - 1])
-            i -= len(self.split(last[i - 1]))
+            i -= self.sizes.get(last[i - 1], 1)
         return out[::-1]
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:

@@ -63,7 +63,7 @@ class WordBpe:
             for piece in self.pieces.finditer(folded):
                 symbols = [self.letters[b] for b in piece.group().encode("utf-8", "replace")]
                 symbols[-1] += END
-                for token in self.merger.stream(symbols):
+                for token in (self.merger.encode(symbols) if len(symbols) <= SHORT_WORD else self.merger.stream(symbols)):
                     yield self.ids[token]
 
     def encode(self, text: str) -> Iterator[int]:
