@@ -7,9 +7,12 @@ only, so long texts cost little more than hashing their shingles.  Weights defau
 shingle (the weighted similarity is then the Jaccard similarity of the shingle sets); ``counted`` weighs
 by occurrence.
 
-Texts equal in one band meet at that band's leader; members that are not in its class then choose a new
-leader among themselves, until all are settled.  So a bucket of n texts yields about n pairs, never n squared.
-Every pair is verified on whole shingle sets; verified pairs are joined to classes.
+Texts equal in one band form a bucket.  In two rounds every bucket's members are compared with one leader,
+which brings most of a group of copies into one class at n pairs per bucket.  What is then left in buckets
+of more than one class is compared in blocks: a block holds a bounded number of rows and bytes, only pairs
+of different classes count, members of the bucket's largest class never meet one another, and a block
+returns at most one link per row.  So every pair of a bucket is either compared on whole shingle sets or
+already known to be in one class: no link that the bands find is lost.
 
 Edge cases: null text is the empty text; empty texts are one class; texts of one to four words have one
 shingle, all their words; equal texts share a class; repeated rows each get their row.
@@ -32,6 +35,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 LENGTH = 128
 BANDS = 32
+LEADER_ROUNDS = 2
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20  # of one side of a block; a bucket with more is cut into several
+COLUMNS = 4096  # shared shingles counted at once
 FIRST_RANK = 2.0 ** -4
 ONE = np.uint64(1)
 
@@ -141,20 +147,91 @@ def links(docs: DataFrame, similar: float = SIMILAR, counted: bool = False) -> D
     texts = docs.select(_key().alias("key"), "text").join(involved, "key", "left_semi")
     sets = written(_sets(texts).dropDuplicates(["key"]), "dart-sets")
     found = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    while True:
-        leaders = open_members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        met = written(open_members.join(leaders, "bucket").where("key <> leader"), "dart-met")
-        if met.isEmpty():
-            return found
-        pairs = met.select("key", "leader").distinct()
-        scored = (pairs.join(sets, "key").join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("theirs")), "leader")
-                  .where(jaccard("shingles", "theirs") >= similar).select(F.col("leader").alias("a"), F.col("key").alias("b")))
+    open_members = open_members.withColumn("root", F.col("key"))
+    for turn in range(LEADER_ROUNDS):
+        order = F.col("key") if turn == 0 else F.xxhash64("bucket", "key")  # later rounds: another leader in every bucket
+        leaders = open_members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "key", "root")).alias("first"))
+        met = written(open_members.join(leaders.select("bucket", F.col("first.key").alias("leader"), F.col("first.root").alias("theirs")), "bucket")
+                      .where("key <> leader"), "dart-met")
+        pairs = met.where("root <> theirs").select("key", "leader").distinct()
+        scored = (pairs.join(sets, "key").join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("others")), "leader")
+                  .where(jaccard("shingles", "others") >= similar).select(F.col("leader").alias("a"), F.col("key").alias("b")))
         found = written(found.unionByName(scored), "dart-links")
-        # settled: already in the leader's class, through this bucket or any other
-        roots = components(found)
-        mine, theirs = roots.withColumnRenamed("root", "mine"), roots.select(F.col("key").alias("leader"), F.col("root").alias("theirs"))
-        open_members = written(met.join(mine, "key", "left").join(theirs, "leader", "left")
-                               .where(~F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False))).select("bucket", "key"), "dart-open")
+        rest = (met.select("bucket", "key").join(components(found), "key", "left")
+                .select("bucket", "key", F.coalesce("root", "key").alias("root")))
+        mixed_buckets = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        open_members = written(rest.join(mixed_buckets, "bucket", "left_semi"), "dart-open")
+    return found.unionByName(_block_links(open_members, sets, similar))
+
+
+def _block_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(a, b): links that join different classes of a bucket, from all its pairs of different classes.
+
+    Blocks of the bucket's largest class (numbered last) meet the other blocks only.
+    """
+    sized = members.join(sets.select("key", F.octet_length("shingles").alias("bytes")), "key")
+    per_class = sized.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    top = per_class.groupBy("bucket").agg(F.max(F.struct("n", "bytes", "root")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+    def blocks(rows: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    plan = top.select("bucket", F.col("top.root").alias("largest"), blocks(F.col("top.n"), F.col("top.bytes")).alias("inner"),
+                      blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("outer"))
+    of_largest, h = F.col("root") == F.col("largest"), F.xxhash64("key")
+    block = F.when(of_largest, F.col("outer") + F.pmod(h, "inner")).otherwise(F.pmod(h, "outer")).cast("int")
+    meets = F.sequence(F.lit(0), F.when(of_largest, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+    cells = (members.join(plan, "bucket").select("bucket", "key", "root", block.alias("block"), F.explode(meets).alias("other"))
+             .select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "key", "root"))
+    place = ["bucket", "one", "two"]
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at = [], None
+        for batch in batches:
+            for row in zip(*(batch[c] for c in (*place, "key", "root", "shingles"))):
+                if row[:3] != at:
+                    yield linked(held)
+                    held, at = [], row[:3]
+                held.append(row[3:])
+        yield linked(held)
+
+    def linked(held: list[tuple]) -> pd.DataFrame:
+        keys = [row[0] for row in held]
+        roots = np.unique(np.array([row[1].hex() for row in held]), return_inverse=True)[1]
+        root = block_classes([np.frombuffer(row[2], dtype=np.uint64) for row in held], roots, similar)
+        return pd.DataFrame([(keys[r], keys[i]) for i, r in enumerate(root) if r != i], columns=["a", "b"])
+
+    return (cells.join(sets, "key").repartition(*place).sortWithinPartitions(*place)
+            .mapInPandas(compared, "a binary, b binary"))
+
+
+def block_classes(sets: list[np.ndarray], known: np.ndarray, similar: float) -> np.ndarray:
+    """Per set the first set it is connected to by pairs of at least ``similar`` whose ``known`` classes differ."""
+    n = len(sets)
+    label = np.arange(n)
+    if n < 2 or len(set(known.tolist())) < 2:
+        return label
+    sizes = np.array([len(x) for x in sets])
+    column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    shared = counts[column] > 1
+    row, column = np.repeat(np.arange(n), sizes)[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        grid = np.zeros((n, min(COLUMNS, int(column[-1]) + 1 - low)), dtype=np.float32)
+        grid[row[a:b], column[a:b] - low] = 1
+        both += grid @ grid.T
+    union = sizes[:, None] + sizes[None, :] - both
+    left, right = np.nonzero((both / np.maximum(union, 1) >= similar) & (known[:, None] != known[None, :]))
+    while len(left):
+        before = label.copy()
+        np.minimum.at(label, left, label[right])
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
 
 
 def components(pairs: DataFrame) -> DataFrame:
