@@ -23,6 +23,12 @@ class Merger:
         self.sizes = {t: len(self.split(t)) for t in self.tokens}
         self.longest = max(self.sizes.values(), default=1)
         self._beside: dict[tuple[str, str], bool] = {}
+        ends: dict[str, set[int]] = {}
+        for t in self.tokens:
+            if len(t) > 1:
+                ends.setdefault(t[-3:], set()).add(len(t))
+        #: lengths, longest first, of the tokens that end in these three characters (or are the last two of them)
+        self.ends = {end: tuple(sorted(found | ends.get(end[1:], set()) if len(end) > 2 else found, reverse=True)) for end, found in ends.items()}
 
     @staticmethod
     def split(token: str) -> list[str]:
@@ -64,26 +70,39 @@ class Merger:
                     return token
         return recent[-1]
 
-    def prefixes(self, symbols: list[str]) -> tuple[list[str], list[int]]:
-        """Last token and token count of every non-empty prefix."""
+    def last_tokens(self, symbols: list[str]) -> list[str]:
+        """Last token of every non-empty prefix."""
         whole, size = "".join(symbols), len(symbols)  # only the last symbol may be longer than one character
-        tokens, beside, longest, sizes = self.tokens, self.beside, self.longest, self.sizes
+        tokens, pairs, beside, ends = self.tokens, self._beside, self.beside, self.ends
         last: list[str] = []
-        count = [0]
         for i in range(1, size + 1):
             end = i if i < size else len(whole)
-            for n in range(min(longest, i), 1, -1):
+            # lengths worth trying: of tokens with the same last three characters, or else two
+            for n in ends.get(whole[max(0, end - 3):end]) or ends.get(whole[max(0, end - 2):end], ()):
+                n -= end - i  # in symbols
+                if not 1 < n <= i:
+                    continue
                 token = whole[i - n:end]
-                if token in tokens and beside(last[i - n - 1] if n < i else "", token):
-                    break
+                if token in tokens:
+                    left = last[i - n - 1] if n < i else ""
+                    known = pairs.get((left, token))
+                    if known or (known is None and beside(left, token)):
+                        break
             else:
                 token = symbols[i - 1]
             last.append(token)
+        return last
+
+    def prefixes(self, symbols: list[str]) -> tuple[list[str], list[int]]:
+        """Last token and token count of every non-empty prefix."""
+        last, sizes = self.last_tokens(symbols), self.sizes
+        count = [0]
+        for i, token in enumerate(last, 1):
             count.append(count[i - sizes.get(token, 1)] + 1)
         return last, count[1:]
 
     def encode(self, symbols: list[str]) -> list[str]:
-        last, _ = self.prefixes(symbols)
+        last = self.last_tokens(symbols)
         out, i = [], len(symbols)
         while i:
             out.append(last[i - 1])

@@ -11,6 +11,7 @@ the library's default; repeated rows and extra columns travel unchanged.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import regex
@@ -22,6 +23,7 @@ from belfry.llm.bpe import Merger
 SPACE = "▁"
 UNIT_CACHE = 300_000
 SHORT_UNIT = 64
+BLOCK = 4096  # units counted at once
 
 
 class PrefixCounter:
@@ -40,18 +42,14 @@ class PrefixCounter:
         self.units = regex.compile(f"{SPACE}*{inside}+|{SPACE}+|.", regex.DOTALL)
         self._units: dict[str, tuple[int, ...]] = {}
 
-    def _cost(self, token: str) -> int:
-        """Characters outside the vocabulary fall back to their bytes."""
-        return 1 if token in self.order else len(token.encode("utf-8"))
-
     def unit_counts(self, unit: str) -> tuple[int, ...]:
         """Token counts of every non-empty prefix of one unit."""
         known = self._units.get(unit)
         if known is None:
-            last, _ = self.merger.prefixes(list(unit))
-            counts = [0]
-            for i, token in enumerate(last, 1):
-                counts.append(counts[i - len(token)] + self._cost(token))
+            counts, order = [0], self.order
+            for i, token in enumerate(self.merger.last_tokens(list(unit)), 1):
+                # characters outside the vocabulary fall back to their bytes
+                counts.append(counts[i - len(token)] + (1 if token in order else len(token.encode("utf-8"))))
             known = tuple(counts[1:])
             if len(unit) <= SHORT_UNIT:
                 if len(self._units) >= UNIT_CACHE:
@@ -63,13 +61,12 @@ class PrefixCounter:
         return SPACE + text.replace(" ", SPACE)
 
     def total(self, text: str) -> int:
-        known, total = self._units, 0
         if not text:
             return 0
-        for found in self.units.finditer(self._marked(text)):
-            unit = found.group()
-            counts = known.get(unit) or self.unit_counts(unit)
-            total += counts[-1]
+        total, found = 0, (m.group() for m in self.units.finditer(self._marked(text)))
+        while units := list(islice(found, BLOCK)):
+            last = list(map(self._units.get, units))
+            total += sum((counts or self.unit_counts(unit))[-1] for unit, counts in zip(units, last))
         return total
 
     def prefixes(self, text: str) -> list[int]:
