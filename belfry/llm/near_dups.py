@@ -21,6 +21,7 @@ shingle, all their words; equal texts share a class; repeated rows each get thei
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,12 +56,13 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
 
 
-def _thrown(mean: float, u: np.ndarray) -> np.ndarray:
-    """Poisson numbers of the given mean for uniform values."""
+@lru_cache(maxsize=64)
+def _poisson(mean: float) -> np.ndarray:
+    """Cumulative Poisson probabilities, up to where the rest no longer matters."""
     top = int(mean + 12 * mean ** 0.5 + 12)
     k = np.arange(top)
     log_p = -mean + k * np.log(mean) - np.r_[0, np.cumsum(np.log(np.arange(1, top)))]
-    return np.searchsorted(np.cumsum(np.exp(log_p)), u)
+    return np.cumsum(np.exp(log_p))
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -73,16 +75,25 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, length: int = LENG
     owner = np.repeat(np.arange(len(elements)), layers)
     layer = np.arange(len(owner)) - np.repeat(np.cumsum(layers) - layers, layers)
     cell = mixed(elements[owner] + mixed(layer.astype(np.uint64) + ONE))
-    low, high, level = 0.0, FIRST_RANK, 0
+    enough = length * (np.log(length) + 2)  # darts that usually hit every coordinate; their levels are thrown at once
+    low, level = 0.0, 0
     while True:
-        here = mixed(cell ^ mixed(np.full(1, level + 1, dtype=np.uint64)))
-        number = np.minimum(_thrown(high - low, _uniform(here)), 1 << 20)
-        hit = np.flatnonzero(number)
-        source = np.repeat(hit, number[hit])
-        nth = np.arange(len(source)) - np.repeat(np.cumsum(number[hit]) - number[hit], number[hit])
-        dart = mixed(here[source] + mixed(nth.astype(np.uint64) + np.uint64(77)))
-        rank = low + (high - low) * _uniform(mixed(dart + ONE))
-        inside = layer[source] + _uniform(mixed(dart + np.uint64(2))) < weights[owner[source]]
+        ranges = []
+        while not ranges or len(cell) * low < enough:
+            high = low * 2 or FIRST_RANK
+            ranges.append((low, high))
+            low = high
+        lows, highs = np.array(ranges).T
+        levels = np.arange(level + 1, level + 1 + len(ranges), dtype=np.uint64)
+        level += len(ranges)
+        here = mixed(cell[None, :] ^ mixed(levels)[:, None])
+        number = np.concatenate([np.searchsorted(_poisson(b - a), u) for (a, b), u in zip(ranges, _uniform(here))])
+        source = np.repeat(np.arange(len(number)), number)
+        nth = np.arange(len(source)) - np.repeat(np.cumsum(number) - number, number)
+        dart = mixed(here.ravel()[source] + mixed(nth.astype(np.uint64) + np.uint64(77)))
+        at_level, at_cell = np.divmod(source, len(cell))
+        rank = lows[at_level] + (highs - lows)[at_level] * _uniform(mixed(dart + ONE))
+        inside = layer[at_cell] + _uniform(mixed(dart + np.uint64(2))) < weights[owner[at_cell]]
         dart, rank = dart[inside], rank[inside]
         place = (mixed(dart + np.uint64(3)) % np.uint64(length)).astype(np.int64)
         order = np.argsort(-rank, kind="stable")
@@ -92,7 +103,6 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, length: int = LENG
         name[place[better]] = dart[better]
         if np.isfinite(best).all():
             return name
-        low, high, level = high, high * 2, level + 1
 
 
 def _key() -> Column:
