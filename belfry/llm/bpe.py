@@ -25,10 +25,11 @@ class Merger:
         self._beside: dict[tuple[str, str], bool] = {}
         ends: dict[str, set[int]] = {}
         for t in self.tokens:
-            if len(t) > 1:
-                ends.setdefault(t[-3:], set()).add(len(t))
+            extra = len(END) if t.endswith(END) else 0
+            if len(t) > 1 + extra:
+                ends.setdefault(t[-3 - extra:], set()).add(len(t))
         #: lengths, longest first, of the tokens that end in these three characters (or are the last two of them)
-        self.ends = {end: tuple(sorted(found | ends.get(end[1:], set()) if len(end) > 2 else found, reverse=True)) for end, found in ends.items()}
+        self.ends = {end: tuple(sorted(found | ends.get(end[1:], set()), reverse=True)) for end, found in ends.items()}
 
     @staticmethod
     def split(token: str) -> list[str]:
@@ -78,7 +79,7 @@ class Merger:
         for i in range(1, size + 1):
             end = i if i < size else len(whole)
             # lengths worth trying: of tokens with the same last three characters, or else two
-            for n in ends.get(whole[max(0, end - 3):end]) or ends.get(whole[max(0, end - 2):end], ()):
+            for n in ends.get(whole[max(0, i - 3):end]) or ends.get(whole[max(0, i - 2):end], ()):
                 n -= end - i  # in symbols
                 if not 1 < n <= i:
                     continue

@@ -17,6 +17,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 import regex
@@ -27,6 +28,7 @@ from belfry.llm.bpe import END, Merger
 
 WORD_CACHE = 200_000
 SHORT_WORD = 64
+BLOCK = 4096  # words, or ids of one long word, handled at once
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,7 +52,9 @@ class WordBpe:
         self.runs = regex.compile(r"[^\p{White_Space}]+")
         self.letters = byte_letters()
         self.bytes = {c: b for b, c in self.letters.items()}
+        self._pieces: dict[str, list[int]] = {}
         self._words: dict[str, list[int]] = {}
+        self._written: dict[str, tuple[int, str, str]] = {}
 
     def _word_ids(self, run: str) -> Iterator[int]:
         parts = self.split_special.split(run) if self.split_special else [run]
@@ -61,10 +65,21 @@ class WordBpe:
             folded = unicodedata.normalize("NFC", part)
             folded = folded.lower() if folded.isascii() else "".join(c.lower() for c in folded)
             for piece in self.pieces.finditer(folded):
-                symbols = [self.letters[b] for b in piece.group().encode("utf-8", "replace")]
+                word = piece.group()
+                ids = self._pieces.get(word)
+                if ids is not None:
+                    yield from ids
+                    continue
+                symbols = [self.letters[b] for b in word.encode("utf-8", "replace")]
                 symbols[-1] += END
-                for token in (self.merger.encode(symbols) if len(symbols) <= SHORT_WORD else self.merger.stream(symbols)):
-                    yield self.ids[token]
+                if len(symbols) > SHORT_WORD:
+                    for token in self.merger.stream(symbols):
+                        yield self.ids[token]
+                    continue
+                if len(self._pieces) >= WORD_CACHE:
+                    self._pieces.clear()
+                ids = self._pieces[word] = [self.ids[token] for token in self.merger.encode(symbols)]
+                yield from ids
 
     def encode(self, text: str) -> Iterator[int]:
         """Ids of a text, emitted as they become final."""
@@ -80,6 +95,29 @@ class WordBpe:
                 ids = self._words[run] = list(self._word_ids(run))
             yield from ids
 
+    def written(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
+        """Blocks of (number of ids, ids as text, decoded text), parts of a whole joined by one space."""
+        known = self._written
+        found = (m.group() for m in self.runs.finditer(text))
+        while runs := list(islice(found, BLOCK)):
+            block = []
+            for run, part in zip(runs, map(known.get, runs)):
+                if part is not None:
+                    block.append(part)
+                    continue
+                ids = self._word_ids(run)
+                while some := list(islice(ids, BLOCK)):
+                    part = len(some), " ".join(map(str, some)), "".join(self.decoded(some))
+                    block.append(part)
+                if len(run) <= SHORT_WORD and part is not None:
+                    if len(known) >= WORD_CACHE:
+                        known.clear()
+                    known[run] = part
+                if len(block) >= BLOCK:
+                    yield block
+                    block = []
+            yield block
+
     def decoded(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of the library's decoded text."""
         gap = ""
@@ -148,21 +186,14 @@ def coding_digest(text: Column, path: str) -> Column:
             rows = []
             for value in batch:
                 n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-                block: list[int] = []
-
-                def flush(block: list[int], first: bool) -> None:
-                    gap = b"" if first else b" "
-                    ids_hash.update(gap + b" ".join(b"%d" % i for i in block))
-                    text_hash.update(gap + "".join(coder.decoded(block)).encode("utf-8"))
-
-                for i in coder.encode(value or ""):
-                    block.append(i)
-                    if len(block) == 4096:
-                        flush(block, n == 0)
-                        n, block = n + len(block), []
-                if block:
-                    flush(block, n == 0)
-                rows.append((n + len(block), ids_hash.hexdigest(), text_hash.hexdigest()))
+                for block in coder.written(value or ""):
+                    if block:
+                        numbers, ids_texts, texts = zip(*block)
+                        gap = " " if n else ""
+                        ids_hash.update((gap + " ".join(ids_texts)).encode("ascii"))
+                        text_hash.update((gap + " ".join(texts)).encode("utf-8"))
+                        n += sum(numbers)
+                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run(text)
