@@ -54,6 +54,23 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs):
     assert near_dups.one_per_class(odd_docs).columns == odd_docs.columns
 
 
+def test_links_past_the_leaders(spark, monkeypatch):
+    """Edits of one text in steps: most pairs lie below 0.8, and blocks of four rows cut every bucket."""
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", 4)
+    r = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for d in range(60):
+        words = list(base)
+        for i in r.choice(120, r.integers(0, 7), replace=False):
+            words[i] = f"x{r.integers(0, 4)}"
+        texts[d] = " ".join(words)
+    want = classes_of(texts)
+    assert 2 < len(set(want.values())) < 60
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in near_dups.near_dup_classes(docs).collect()} == want
+
+
 def test_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     weights = r.random(200) * 3
