@@ -58,6 +58,23 @@ def test_suffix_array_and_common_prefixes(monkeypatch):
             assert (before[b], shared[b]) == (a, n)
 
 
+def test_matches_that_run_past_a_string_end():
+    """Strings that share suffixes and prefixes: a match over the end of one must not shorten those of the next."""
+    r = random.Random(5)
+    text = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    suffix, prefix = text(390), text(450)
+    joined = [text(50) + suffix, prefix + text(30), text(50) + suffix, prefix + text(40)]
+    base, copies = text(600), []
+    for _ in range(20):
+        at = r.randrange(600)
+        copies.append(base[:at] + text(3) + base[at + 1:])
+    for strings, window in ((joined, 400), (copies, 400), (copies, 40)):
+        counts = windows(strings, window)
+        want = [[counts[tuple(t[i:i + window])] > 1 for i in range(max(0, len(t) - window + 1))] for t in strings]
+        assert sum(map(sum, want)) > 0
+        assert [m.tolist() for m in suffixes.repeated_starts(strings, window)] == want
+
+
 def compare(df, got, expected):
     rows = df.collect()
     assert Counter(map(tuple, got.collect())) == Counter((r.doc_id, *e) for r, e in zip(rows, expected([r.text for r in rows])))
