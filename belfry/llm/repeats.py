@@ -4,7 +4,9 @@ Every window has a minimiser (the smallest hash of its grams, leftmost on ties).
 hash with the coarse place of the gram in the window, so equal windows always have equal keys.
 Neighbouring windows with one key travel as one string.  Equal strings are counted before they move
 (so a group of copies is one row), only keys that hold two different strings are compared, and only
-those strings are fetched.  Nothing is sampled or capped.
+those strings are fetched.  A key with more than ``HEAVY`` bytes of different strings (a passage beside
+very many contexts) is not judged in one task: digests of its single windows are counted by an aggregation,
+in which equal windows agree and others part.  Nothing is sampled or capped.
 
 Rows are known by the digest of their whole text, so null or repeated ids do no harm.
 """
@@ -23,8 +25,9 @@ from belfry.session import written
 
 BLOCK = 1 << 20   # windows handled at once, so that very long texts need bounded memory
 MAX_RUN = 2048    # windows in one string
-SHARD = 2 << 20   # bytes compared at once (more only if one key has more)
-RUN = "text_key binary, start long, size int, key long, looped boolean, digest binary"
+SHARD = 2 << 20   # bytes compared at once (and one key more, of HEAVY bytes at most)
+HEAVY = 1 << 20   # bytes of different strings of one key, above which its windows are counted one by one
+RUN = "text_key binary, start long, size int, key long, looped boolean, digest binary, bytes int"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,20 +82,58 @@ def runs(units: np.ndarray, window: int, k: int, coarse: int) -> Iterator[tuple[
                 yield low + first, n, key, bool(at[first] != at[first + n - 1])
 
 
+def _window_digests(string: bytes, windows: Callable, window: int) -> np.ndarray:
+    """128-bit digest of every window of a string, as two signed integers each."""
+    raw = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in windows(string, window))
+    return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+
+
+def _place_ranges(lists: pd.Series) -> pd.Series:
+    """[first, last) ranges, flat, of the places in each list."""
+    out = []
+    for p in lists:
+        p = np.sort(np.asarray(p, dtype=np.int64))
+        cuts = np.flatnonzero(np.diff(p) > 1)
+        out.append(np.stack([p[np.r_[0, cuts + 1]], p[np.r_[cuts, len(p) - 1]] + 1], axis=1).ravel().tolist())
+    return pd.Series(out, dtype=object)
+
+
+def _counted_windows(contents: DataFrame, windows: Callable, window: int) -> DataFrame:
+    """(key, digest, spans) of the strings held once, by counting all windows of all strings of ``contents``."""
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                part = batch.iloc[low:low + 1000]
+                pairs = [_window_digests(bytes(t), windows, window) for t in part["string"]]
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "digest": part["digest"].to_numpy(), "once": (part["n"] == 1).to_numpy(),
+                                    "a": [p[:, 0] for p in pairs], "b": [p[:, 1] for p in pairs]})
+
+    ranges = F.pandas_udf(_place_ranges, "array<int>")
+    hashed = written(contents.mapInPandas(digests, "key long, digest binary, once boolean, a array<long>, b array<long>"), "heavy-windows")
+    each = hashed.select("key", "digest", "once", F.posexplode(F.arrays_zip("a", "b")).alias("at", "h")).select(
+        "key", "digest", "once", "at", "h.a", "h.b")
+    again = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    return (each.where("once").join(again, ["a", "b"], "left_semi").groupBy("key", "digest").agg(F.collect_list("at").alias("places"))
+            .select("key", "digest", ranges("places").alias("spans")))
+
+
 def _true_ranges(mask: np.ndarray) -> list[int]:
     edges = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
     return edges.tolist()
 
 
-def repeated_windows(docs: DataFrame, split: Callable, pack: Callable, judge: Callable,
+def repeated_windows(docs: DataFrame, split: Callable, pack: Callable, judge: Callable, windows: Callable,
                      window: int, k: int, coarse: int, shortest: int, text: str = "text") -> DataFrame:
     """(text_key, spans): per distinct text the [first, last) ranges of repeated window starts, flat, in no order.
 
     ``split(text) -> (parts, unit hashes)``, ``pack(parts, first, size) -> bytes`` is the string of units first ..
-    first + size, and ``judge(strings, window)`` marks per string the starts whose window occurs again among them.  Texts of fewer
-    than ``shortest`` bytes hold no window.
+    first + size, and ``judge(strings, window)`` marks per string the starts whose window occurs again among them;
+    ``windows(string, window)`` lists the windows of one string as bytes.  Texts of fewer than ``shortest`` bytes hold no window.
     """
 
+    columns = [c.split(" ")[0] for c in RUN.split(", ")]
+
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -100,11 +141,11 @@ def repeated_windows(docs: DataFrame, split: Callable, pack: Callable, judge: Ca
                 parts, units = split(value)
                 for first, n, key, looped in runs(units, window, k, coarse):
                     raw = pack(parts, first, n + window - 1)
-                    rows.append((key_of_text, first, n, key, looped, hashlib.blake2b(raw, digest_size=16).digest()))
+                    rows.append((key_of_text, first, n, key, looped, hashlib.blake2b(raw, digest_size=16).digest(), len(raw)))
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["text_key", "start", "size", "key", "looped", "digest"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows = []
-            yield pd.DataFrame(rows, columns=["text_key", "start", "size", "key", "looped", "digest"])
+            yield pd.DataFrame(rows, columns=columns)
 
     texts = docs.select(text_key(text).alias("text_key"), F.col(text).alias("text")).where(F.octet_length("text") >= shortest)
     raw_runs = written(texts.mapInPandas(found, RUN), "runs")
@@ -112,11 +153,11 @@ def repeated_windows(docs: DataFrame, split: Callable, pack: Callable, judge: Ca
     again = raw_runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("looped").alias("loops")).where("n > 1 or loops").select("key")
     every = written(raw_runs.join(again, "key", "left_semi"), "repeated-runs")
     strings = written(every.groupBy("key", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.max("looped").alias("looped"), F.min(F.struct("text_key", "start", "size")).alias("at")), "run-strings")
+        F.count(F.lit(1)).alias("n"), F.max("looped").alias("looped"), F.max("bytes").alias("bytes"), F.min(F.struct("text_key", "start", "size")).alias("at")), "run-strings")
     # only keys with two or more different strings, or with a looping one, need their contents
-    shared = (strings.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("looped").alias("looped"))
-              .where("kinds > 1 or looped").select("key"))
-    wanted = (strings.join(shared, "key", "left_semi")
+    shared = written(strings.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("looped").alias("looped"), F.sum("bytes").alias("bytes"))
+                     .where("kinds > 1 or looped").select("key", (F.col("bytes") > HEAVY).alias("heavy")), "shared-keys")
+    wanted = (strings.join(shared.select("key"), "key", "left_semi")
               .select("key", "digest", "n", "at.*").withColumnRenamed("text_key", "wanted_key"))
     # one holder per distinct text hands out its strings
     wants = wanted.groupBy("wanted_key").agg(F.collect_list(F.struct("key", "digest", "n", "start", "size")).alias("wants"))
@@ -151,11 +192,18 @@ def repeated_windows(docs: DataFrame, split: Callable, pack: Callable, judge: Ca
                 for (key, digest, n, _), mask in zip(held, judge([bytes(h[3]) for h in held], window)) if n == 1]
         return pd.DataFrame([r for r in rows if r[2]], columns=["key", "digest", "spans"])
 
+    heavy = shared.where("heavy").select("key")
+    counted = None
+    if not heavy.isEmpty():
+        contents = written(contents, "run-contents")
+        counted = _counted_windows(contents.join(heavy, "key", "left_semi"), windows, window)
+        contents = contents.join(heavy, "key", "left_anti")
     partly = (contents.repartition("key").sortWithinPartitions("key")
               .mapInPandas(judged, "key long, digest binary, spans array<int>"))
     # strings seen twice or more are repeated from end to end
     fully = strings.where("n > 1").select("key", "digest", F.lit(None).cast("array<int>").alias("spans"))
-    verdict = written(partly.unionByName(fully), "run-verdicts")
+    verdicts_of_all = partly.unionByName(fully) if counted is None else partly.unionByName(fully).unionByName(counted)
+    verdict = written(verdicts_of_all, "run-verdicts")
     marked = every.join(verdict, ["key", "digest"]).select("text_key", "start", "size", "spans").distinct()
     spans = F.coalesce("spans", F.array(F.lit(0), F.col("size")))
     return (marked.withColumn("spans", F.transform(spans, lambda x: x + F.col("start")))

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from belfry.llm import byte_dedup, suffixes, word_dedup
+from belfry.llm import byte_dedup, repeats, suffixes, word_dedup
 
 
 def covered(units, window, counts):
@@ -95,6 +95,32 @@ def test_documents(spark):
     compare(docs, word_dedup.removal_digest(docs), lambda t: expected_words(t, 35))
 
 
+def test_heavy_keys_are_counted_window_by_window(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(repeats, "HEAVY", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(odd_docs.select("doc_id", "text"))
+    compare(docs, byte_dedup.removal_digest(docs), lambda t: expected_bytes(t, 400))
+    compare(docs, word_dedup.removal_digest(docs), lambda t: expected_words(t, 35))
+
+
+def test_no_task_judges_more_than_a_bound(spark, monkeypatch):
+    """One passage beside 200 different contexts: all its strings have few keys."""
+    monkeypatch.setattr(repeats, "HEAVY", 20_000, raising=False)
+    r = random.Random(7)
+    text = lambda n: bytes(r.randrange(97, 123) for _ in range(n)).decode()
+    passage = text(390)
+    texts = [text(300) + passage + text(i % 7 and 300) for i in range(200)] + [text(20) + passage + "same tail" * 3] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    judge = suffixes.repeated_starts
+
+    def bounded(strings, window):
+        assert sum(map(len, strings)) <= 100_000
+        return judge(strings, window)
+
+    monkeypatch.setattr(suffixes, "repeated_starts", bounded)
+    compare(docs, byte_dedup.removal_digest(docs), lambda t: expected_bytes(t, 400))
+
+
 def test_empty_and_extra_columns(spark, odd_docs):
     assert byte_dedup.removal_digest(odd_docs.limit(0)).count() == 0
     assert word_dedup.removal_digest(odd_docs.limit(0)).count() == 0
