@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-All word n-grams of the corpus meet those of the test items in an equality join.  The hits give each
-item gram its corpus frequency; in every block of an item the rarest gram is its seed.  A document's
-seed hits that lie near one another form a region, which is aligned with the item; the score is the
-best local alignment over the item's length.
+All word n-grams of the corpus meet those of the test items in an equality join, and every hit is a seed: no
+gram is left out for being frequent.  A document's seed hits that lie near one another form a region, which
+is aligned with the item if it holds enough of the item's words to be accepted; the score is the best local
+alignment over the item's length.  A copy that shares no whole n-gram with its item is not found.
 
 Edge cases: null texts have no words; items of fewer than ``GRAM`` words cannot be seeded and are never
 reported; items or documents without id are reported with a null id; repeated document rows each
@@ -12,6 +12,7 @@ get their rows, repeated item ids are reported once with their best score; extra
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from belfry.session import written
 
 GRAM = 4
-BLOCK = 3
+PIECE = 1 << 14  # words of a region aligned at once, so that very long regions need bounded memory
 ACCEPT = 0.5
 MISMATCH = GAP = 0.5
 WORDS = r"[\p{L}\p{N}]+"
@@ -71,20 +72,34 @@ def align(region: list[str], item: list[str]) -> tuple[float, int, int]:
     return best, int(first), int(last)
 
 
+def best_alignment(words: list[str], low: int, high: int, item: list[str], accept: float, piece: int = PIECE) -> tuple[float, int, int] | None:
+    """Best accepted alignment of ``item`` with words low .. high: score over the item's length, first and last matched word.
+
+    An accepted alignment has fewer than two unmatched words per missing point, so it spans at most three items'
+    length; pieces overlap by as much.  None: no more words in common than would be rejected, or no accepted alignment.
+    """
+    best, need = None, Counter(item)
+    overlap = 3 * len(item)
+    for at in range(low, max(low, min(high, len(words)) - overlap) + 1, piece):
+        region = words[at:min(high, at + piece + overlap)]
+        held = Counter(w for w in region if w in need)
+        if sum(min(n, need[w]) for w, n in held.items()) / len(item) < accept:
+            continue
+        score, first, last = align(region, item)
+        if score / len(item) >= accept and (best is None or score / len(item) > best[0]):
+            best = score / len(item), at + first, at + last
+    return best
+
+
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(key, item_id, item_words, low, high): regions of distinct texts worth aligning."""
     tests = items.select("item_id", F.col("text")).distinct().select("item_id", _words("text").alias("item_words"))
     places = tests.select("item_id", "item_words", F.posexplode(_grams("item_words")).alias("item_at", "h")).where("h is not null")
     places = written(places.select("item_id", "item_words", "item_at", "h"), "item-grams")
-    narrow = places.select("item_id", "item_at", "h")
     grams = (docs.where(F.length("text") > 0).select(_key().alias("key"), _words("text").alias("words"))
              .select("key", F.posexplode(_grams("words")).alias("at", "h")).where("h is not null"))
-    hits = written(grams.join(narrow.select("h").distinct(), "h", "left_semi"), "gram-hits")
-    seen = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    block = F.floor(F.col("item_at") / BLOCK)
-    seeds = (places.join(seen, "h").groupBy("item_id", "item_words", block.alias("block"))
-             .agg(F.min(F.struct("n", "item_at", "h")).alias("seed")).select("item_id", "item_words", "seed.item_at", "seed.h"))
-    met = (hits.join(written(seeds, "item-seeds"), "h")
+    hits = grams.join(places.select("h").distinct(), "h", "left_semi")
+    met = (hits.join(places, "h")
            .groupBy("key", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.lit(1).alias("one")))
     order = Window.partitionBy("key", "item_id", "item_words").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > F.size("item_words")).cast("int"), F.lit(1))
@@ -110,11 +125,11 @@ def _aligned(docs: DataFrame, items: DataFrame, accept: float) -> DataFrame:
             rows = []
             for doc_id, words, regions in zip(batch["doc_id"], batch["words"], batch["regions"]):
                 best: dict = {}
+                words = list(words)
                 for r in regions:
                     low, item = max(0, int(r["low"])), list(r["item_words"])
-                    score, first, last = align(list(words[low:int(r["high"])]), item)
-                    found = (score / len(item), low + first, low + last)
-                    if found[0] >= accept and found[0] > best.get(r["item_id"], (0,))[0]:
+                    found = best_alignment(words, low, int(r["high"]), item, accept)
+                    if found and found[0] > best.get(r["item_id"], (0,))[0]:
                         best[r["item_id"]] = found
                 rows += [(doc_id, item_id, *found) for item_id, found in best.items()]
             out = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word"])

@@ -128,6 +128,28 @@ def test_leaks(spark, odd_docs):
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_edited_leaks_beside_an_exact_copy(spark):
+    """Every three item places hold a gram that the edits broke and that is therefore rarer than those they left."""
+    words = [f"b{i}" for i in range(16)]
+    edited = ["x" if i in (4, 9, 14) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, "start " + " ".join(words) + " end"), (2, "start " + " ".join(edited) + " end")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert {(r.doc_id, r.score) for r in leaks.leaks(docs, items).collect()} == {(1, 1.0), (2, 11.5 / 16)}
+    assert leaks.without_leaks(docs, items).count() == 0
+
+
+def test_long_regions_are_aligned_in_pieces():
+    r = np.random.default_rng(4)
+    item = [f"b{i}" for i in range(12)]
+    for _ in range(200):
+        words = [f"b{i}" for i in r.integers(0, 40, 300)]
+        at = int(r.integers(0, 280))
+        words[at:at + 12] = [w if r.random() > 0.25 else "x" for w in item]
+        score, _, _ = leaks.align(words[5:290], item)
+        got = leaks.best_alignment(words, 5, 290, item, 0.5, piece=17)
+        assert (got[0] if got else None) == (score / 12 if score >= 6 else None)
+
+
 def test_exact_leaks_of_the_tables(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs, items).collect()}
