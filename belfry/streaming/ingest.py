@@ -79,17 +79,26 @@ def unseen_hashes(cache_root: str, extract: Callable[[DataFrame], DataFrame]) ->
     return handle
 
 
-def snapshot_refresh(church: DataFrame, parish: DataFrame, tables_root: str, root: str,
-                     now: str) -> Callable[[DataFrame, int], None]:
-    """Append arriving events to the event table, rebuild the snapshot, publish when the gate passes."""
+def append_events(tables_root: str) -> Callable[[DataFrame, int], None]:
+    """Append arriving events to the event table, one directory per batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(batch_dir(f"{tables_root}/event", batch_id))
-        event = spark.read.parquet(f"{tables_root}/event").drop("batch")
-        bulletin = spark.read.parquet(f"{tables_root}/bulletin")
-        snapshot.refresh(church, parish, bulletin, event, root, now)
     return handle
 
 
-__all__ = ["last_winners", "new_urls", "snapshot_refresh", "start", "unseen_hashes",
+def snapshot_refresh(events: DataFrame, church: DataFrame, parish: DataFrame, tables_root: str, root: str,
+                     checkpoint: str, now: str) -> dict:
+    """Append all available events to the event table, then rebuild the snapshot once, publish when the gate passes.
+
+    A snapshot of the first batches would hold a part of the table only, and whole ones would differ from it by
+    more than the gate allows.
+    """
+    start(events, append_events(tables_root), checkpoint).awaitTermination()
+    spark = church.sparkSession
+    event = read_or_empty(spark, f"{tables_root}/event", events.schema).drop("batch")
+    bulletin = spark.read.parquet(f"{tables_root}/bulletin")
+    return snapshot.refresh(church, parish, bulletin, event, root, now)
+
+
+__all__ = ["append_events", "last_winners", "new_urls", "snapshot_refresh", "start", "unseen_hashes",
            "winner_upsert", "write_parquet"]

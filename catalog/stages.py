@@ -430,8 +430,7 @@ def _(d):
 def _(d):
     tables, root = scratch_path(d.spark, "stream-tables"), scratch_path(d.spark, "stream-snapshot")
     d.bulletin.write.parquet(f"{tables}/bulletin")
-    handle = ingest.snapshot_refresh(d.church, d.parish, tables, root, NOW)
-    ingest.start(stream_of(d, d.event, "event-in"), handle, scratch_path(d.spark, "event-state")).awaitTermination()
+    ingest.snapshot_refresh(stream_of(d, d.event, "event-in"), d.church, d.parish, tables, root, scratch_path(d.spark, "event-state"), NOW)
     shown = snapshot.published_versions(d.spark, root)
     return snapshot.read_version(d.spark, root, shown[0])[1].groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 

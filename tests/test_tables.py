@@ -4,10 +4,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import catalog.stages  # noqa: F401
 from belfry import schemas
 from belfry.operators import latest, quality, unique
 from belfry.plans import load, merge, process, snapshot, verify
 from belfry.sources import files, sinks
+from catalog.registry import QUERIES, Domain
 
 META = "idx bigint, parish_slug string, source_url string, pdf_path string, fetched_at string, processed_at string, published_date string"
 
@@ -209,3 +211,11 @@ def test_detect_results_replace_with_empty_text(spark):
     results = spark.createDataFrame([("a", "ecatholic", None)], "slug string, bulletin_provider string, provider_id string")
     got = {r["slug"]: tuple(r)[1:] for r in merge.apply_detect(roster, results).select("slug", "bulletin_provider", "provider_id", "updated").collect()}
     assert got == {"a": ("ecatholic", "", True), "b": ("", "", False)}
+
+
+def test_refreshed_snapshot_holds_the_whole_event_table(spark):
+    d = Domain(spark, "/root/testdata/sf0.001")
+    want = snapshot.snapshot_event(d.event, d.bulletin).groupBy("event_type").count().collect()
+    got = QUERIES["str_snapshot_refresh"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r["count"] for r in want) > 0
+    assert {r.event_type: r.n for r in got} == {r.event_type: r["count"] for r in want}
