@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belfry.llm import byte_dedup, forest, leaks, licenses, near_dups, quality, token_counts, warc, word_bpe, word_dedup
+from belfry.llm import byte_dedup, exact_dups, forest, leaks, licenses, near_dups, quality, token_counts, warc, word_bpe, word_dedup
 
 TOKEN_LIMIT = 4096
 QUERIES: dict = {}
@@ -93,3 +93,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op9_benchmark_leaks")
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_register("op12_exact_dedup", r"""
+    with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+         g as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by t)
+    select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as text_sha256 from d join g on d.t = g.t""")
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dups.exact_classes(_table(spark, sf_dir, "documents"))
