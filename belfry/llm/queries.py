@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belfry.llm import byte_dedup, exact_dups, forest, leaks, licenses, near_dups, quality, token_counts, warc, word_bpe, word_dedup
+from belfry.llm import byte_dedup, exact_dups, forest, leaks, licenses, near_dups, quality, token_counts, warc, whitening, word_bpe, word_dedup
 
 TOKEN_LIMIT = 4096
 QUERIES: dict = {}
@@ -101,3 +101,8 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as text_sha256 from d join g on d.t = g.t""")
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dups.exact_classes(_table(spark, sf_dir, "documents"))
+
+
+@_register("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
