@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belfry.llm import byte_dedup, exact_dups, forest, leaks, licenses, near_dups, quality, token_counts, warc, whitening, word_bpe, word_dedup
+from belfry.llm import byte_dedup, exact_dups, forest, leaks, licenses, near_dups, quality, ranked, token_counts, warc, whitening, word_bpe, word_dedup
 
 TOKEN_LIMIT = 4096
 QUERIES: dict = {}
@@ -106,3 +106,25 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op11_embedding_whitening")
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+@_register("op13_ranked_search", r"""
+    with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+         n as (select r, doc_id, len(ws) as n from d where len(ws) > 0),
+         s as (select count(*) as docs, sum(n)::bigint as terms from n),
+         q as (select i, item_id, w, count(*) as times from (
+                   select i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w
+                   from (select row_number() over () as i, item_id, text from (select distinct item_id, text from benchmark))) group by all),
+         tf as (select r, w, count(*) as tf from (select r, unnest(ws) as w from d) where w in (select w from q) group by all),
+         df as (select w, count(*) as df from tf group by w),
+         g as (select w, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint as gain from df, s),
+         p as (select r, w, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms))) as points
+               from tf join n using (r), s),
+         sums as (select i, item_id, r, doc_id, sum(times * gain * points)::bigint as score
+                  from q join g using (w) join p using (w) join n using (r) group by all)
+    select item_id, rank::int as rank, doc_id, score from (
+        select *, row_number() over (partition by i order by score desc, doc_id) as rank from sums where score > 0) where rank <= 10""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
