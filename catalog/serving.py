@@ -187,23 +187,28 @@ def _(d):
 # --- search ----------------------------------------------------------------------------------
 
 define("asked", """select n_nationkey as query_id, substr(n_name, 1, 3) || substr(n_name, 5) as query from nation
-    union all select 1000 + s_suppkey, case s_suppkey % 4 when 0 then 'church ' || (s_suppkey % 97) when 1 then 'chuch ' || (s_suppkey % 97) when 2 then (s_suppkey % 400) || ' main' else 'S' end from supplier""")
+    union all select 1000 + s_suppkey, case s_suppkey % 5 when 0 then 'church ' || (s_suppkey % 97) when 1 then 'chuch ' || (s_suppkey % 97)
+      when 2 then (s_suppkey % 400) || ' main' when 3 then ' MXin' else 'S' end from supplier""")
 _W = [("name", 0.62), ("city", 0.13), ("state", 0.08), ("postal_code", 0.08), ("address_line1", 0.07), ("address_line2", 0.02)]
-_pairs = lambda x: f"list_distinct(list_transform(range(1, length({x})), lambda i: lower({x})[i:i + 1]))"
-
-
-@query("top_search", f"""select query_id, rank, church_id, score from (select *, row_number() over (partition by query_id order by score desc, church_id) as rank from (
-    select query_id, church_id, round({' + '.join(f"{w}::double * coalesce(max(case when field = '{f}' then shared / n::double end), 0::double)" for f, w in _W)}, 6) as score
-    from (select q.query_id, c.church_id, c.field, len(q.wanted) as n, len(list_intersect(q.wanted, c.pairs)) as shared
-      from (select query_id, {_pairs('trim(query)')} as wanted from asked where length(trim(query)) >= 2) q,
-           (select id as church_id, field, {_pairs('text')} as pairs from (select id, unnest([{', '.join(f"'{f}'" for f, _ in _W)}]) as field,
-              unnest([{', '.join(f for f, _ in _W)}]) as text from church where latitude is not null and longitude is not null and name <> '') where length(text) >= 2) c)
-    where shared >= ceil(round(n * 0.6::double, 6)) group by query_id, church_id)) where rank <= 10""")
+# every stretch of every text against every query, by edit distance
+define("field_text", f"""select id as church_id, field, weight, lower(text) as t from (select id, unnest([{', '.join(f"'{f}'" for f, _ in _W)}]) as field,
+    unnest([{', '.join(f"{w}::double" for _, w in _W)}]) as weight, unnest([{', '.join(f for f, _ in _W)}]) as text
+    from church where latitude is not null and longitude is not null and name <> '') where trim(text) <> ''""")
+define("stretch", """select q, t, min(levenshtein(q, substr(t, p::int + 1, n::int)) / length(q)::double + p / 100::double) as d
+    from (select distinct lower(trim(query)) as q from asked where length(trim(query)) >= 2), (select distinct t from field_text),
+      unnest(range(0, least(length(t), 41))) as starts(p), unnest(range(length(q) - length(q) * 2 // 5, length(q) + length(q) * 2 // 5 + 1)) as sizes(n)
+    group by q, t having d <= 0.4""")
+
+
+@query("top_search", """select query_id, rank, church_id, round(exp(-total), 6) as score from (select *, row_number() over (partition by query_id order by total desc, church_id) as rank from (
+    select query_id, church_id, round(sum(-ln(case when q = t then 2.220446049250313e-16 else greatest(d, 0.001) end) * weight
+        * round(1 / sqrt(len(list_filter(string_split(t, ' '), lambda w: w <> ''))), 3)), 9) as total
+    from asked join stretch on q = lower(trim(query)) join field_text using (t) group by query_id, church_id)) where rank <= 10""")
 def _(d):
     asked = d.nation.select(F.col("n_nationkey").cast("bigint").alias("query_id"), F.concat(F.substring("n_name", 1, 3), F.expr("substring(n_name, 5)")).alias("query"))
     asked = asked.unionByName(d.supplier.select((F.col("s_suppkey") + 1000).alias("query_id"), F.expr(
-        """case s_suppkey % 4 when 0 then 'church ' || (s_suppkey % 97) when 1 then 'chuch ' || (s_suppkey % 97)
-           when 2 then (s_suppkey % 400) || ' main' else 'S' end""").alias("query")))
+        """case s_suppkey % 5 when 0 then 'church ' || (s_suppkey % 97) when 1 then 'chuch ' || (s_suppkey % 97)
+           when 2 then (s_suppkey % 400) || ' main' when 3 then ' MXin' else 'S' end""").alias("query")))
     return search.search(asked, d.church)
 
 

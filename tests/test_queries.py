@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from datetime import date
 
@@ -137,29 +138,65 @@ def test_popup_prefers_weekly_rows(spark):
         serve.church_detail(church, "zz")
 
 
+def edit_rows(query, text):
+    """Edit distances of ``query`` to every start of ``text``."""
+    row = list(range(len(query) + 1))
+    yield row[-1]
+    for c in text:
+        row = list(itertools.accumulate(zip(row, row[1:], query), lambda left, x: min(left + 1, x[1] + 1, x[0] + (x[2] != c)), initial=row[0] + 1))
+        yield row[-1]
+
+
+def stretch_distance(query, text):
+    near = min(min(edit_rows(query, text[p:])) / len(query) + p / 100 for p in range(len(text)))
+    return near if near <= 0.4 else None
+
+
+def test_bit_parallel_matcher():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    pairs = [(word(rng.randrange(1, 14)), word(rng.randrange(1, 70))) for _ in range(1500)]
+    pairs += [(q, t[:p] + "".join(c for c in q if rng.random() > 0.1) + t[p:]) for q, t, p in ((word(n), word(30), rng.randrange(30)) for n in (9, 20, 62, 63, 64, 65, 90) for _ in range(20))]
+    got = search.match_distances([q for q, _ in pairs], [t for _, t in pairs])
+    want = [stretch_distance(q, t) for q, t in pairs]
+    assert [None if math.isnan(g) else g for g in got] == want and sum(w is not None for w in want) > 300
+
+
+def test_rarest_grams_do_not_overlap():
+    rng = random.Random(6)
+    for _ in range(200):
+        size, counts = rng.choice([1, 2]), [rng.randrange(9) for _ in range(rng.randrange(1, 10))]
+        need = rng.randrange(1, (len(counts) + size - 1) // size + 1)
+        sets = [c for c in itertools.combinations(range(len(counts)), need) if all(b - a >= size for a, b in zip(c, c[1:]))]
+        got = search.rarest_apart(counts, size, need)
+        assert tuple(got) in sets and sum(counts[i] for i in got) == min(sum(counts[i] for i in c) for c in sets)
+
+
 def test_search_equals_brute_force(spark):
     rng = random.Random(11)
     words = ["saint", "mary", "anne", "joseph", "lake", "north", "holy", "cross"]
     churches = [(i, 1, f"s{i}", " ".join(rng.sample(words, 2)), f"{i % 9} {rng.choice(words)} st", None, rng.choice(words), "ny", f"148{i % 50:02d}",
                  None if i % 10 == 0 else 1.0, 1.0, 1, 1, None) for i in range(120)]
     asked = [(0, "saint mary"), (1, "sait mary"), (2, "ny"), (3, "14812"), (4, "x"), (5, "qqqq"), (6, "lake st"), (7, "Josephh")]
-    pairs = lambda t: {t.lower()[i:i + 2] for i in range(len(t) - 1)}
+    asked += [(8, "Mxry"), (9, " marry "), (10, "saint anne"), (11, "north"), (12, "norht"), (13, "anx"), (14, "crossnorth saint mary lake josephine anne holy cross north lake saint")]
     fields = dict(zip(search.WEIGHTS, (3, 6, 7, 8, 4, 5)))
     want = set()
     for qid, q in asked:
-        scored = []
+        q, scored = q.strip().lower(), []
         for c in churches:
             if c[9] is None or len(q) < 2:
                 continue
-            score, hit = 0.0, False
+            total, hit = 0.0, False
             for f, w in search.WEIGHTS.items():
-                have = pairs(c[fields[f]] or "")
-                sim = len(pairs(q) & have) / len(pairs(q))
-                if sim >= 0.6:
-                    score, hit = score + w * sim, True
+                text = (c[fields[f]] or "").lower()
+                near = stretch_distance(q, text) if text else None
+                if near is not None:
+                    near = 2.0 ** -52 if text == q else max(near, 0.001)
+                    total, hit = total - math.log(near) * w * round(len(text.split()) ** -0.5, 3), True
             if hit:
-                scored.append((-round(score, 6), c[0]))
+                scored.append((-round(total, 9), c[0]))
         want |= {(qid, n + 1, cid) for n, (_, cid) in enumerate(sorted(scored)[:10])}
+    assert {q for q, _, _ in want} >= {0, 1, 2, 3, 6, 7, 8, 9, 10, 11, 12, 13} and not {q for q, _, _ in want} & {4, 5}
     found = search.search(spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame(churches, CHURCH))
     assert {(r["query_id"], r["rank"], r["church_id"]) for r in found.collect()} == want
 
@@ -265,5 +302,5 @@ def test_streamed_winner_equals_batch_in_any_arrival_order(spark, scratch):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
         q = ingest.start(stream, ingest.winner_upsert(root), scratch("state"))
         q.awaitTermination()
-        got = ingest.last_winners(spark, root, q.lastProgress["batchId"])
+        got = ingest.current_winners(spark, root)
         assert {(r["parish_slug"], r["idx"]) for r in got.collect()} == want
