@@ -44,7 +44,7 @@ def run_summary(statuses: DataFrame, manifest_rows: str = "event_count") -> Data
         n("error").alias("errors"), F.coalesce(F.sum(manifest_rows), F.lit(0)).alias("events_written"))
 
 
-def extract_run(metadata: DataFrame, parish: DataFrame, church: DataFrame, documents: DataFrame,
+def extract_run(metadata: DataFrame, parish: DataFrame, church: DataFrame, documents: DataFrame | str,
                 cache: DataFrame, extractor, *, today: date, parish_name: str | None = None,
                 parallelism: int | None = None) -> Run:
     """Run one extractor over every parish's latest document; production tables stay untouched."""
@@ -52,8 +52,8 @@ def extract_run(metadata: DataFrame, parish: DataFrame, church: DataFrame, docum
     candidates = filters.by_parish_name(latest.to_process(metadata, carry), parish, parish_name)
     hashed = F.coalesce("content_hash", F.lit("")) != ""
     hits, misses = split_by_cache(candidates.where(hashed), cache_of(cache, extractor.name, extractor.version))
-    items = work_items(misses.select("idx", "parish_slug", "pdf_path"), parish, church, documents)
-    done = written(all_outcomes(items, extractor, today, parallelism), "run-outcomes")
+    items = written(work_items(misses.select("idx", "parish_slug", "pdf_path"), parish, church, documents), "work-items")
+    done = written(all_outcomes(items, documents, extractor, today, parallelism), "run-outcomes")
     fresh = done.where(F.col("status") == "extracted").select("idx", guarded_result(F.col("result_json")).alias("result"))
     columns = ["idx", "parish_slug", "source_url", "pdf_path", "published_date", "content_hash", "result", "status"]
     results = written(hits.withColumn("status", F.lit("hit")).select(*columns).unionByName(

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from belfry.functions.dates import event_date_of_clean
 from belfry.functions.text import blank_to_null, strip
 from belfry.functions.times import clean_time, minutes_of_clean
 from belfry.operators import unique
 from belfry.operators.quality import range_problem
+from belfry.sources import versions
 
 
 def load_parishes(raw: DataFrame, now: str) -> DataFrame:
@@ -94,14 +99,29 @@ def load_events(raw: DataFrame, church: DataFrame, bulletin: DataFrame,
 
 
 def rebuild_tables(tables: dict[str, DataFrame], root: str) -> DataFrame:
-    """Overwrite the named tables under ``root`` and return (table, n) counts of what was written."""
-    counts = None
+    """Replace all tables under ``root`` at once; (table, n) counts of what was written.
+
+    Every table goes to a directory of its own, then one commit names them all: a reader never
+    meets tables of two rebuilds, and a rebuild that fails changes nothing.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    number = versions.latest(spark, root)[0]
+    dirs = {name: versions.fresh(name) for name in tables}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        stored = df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
-        one = stored.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"))
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+        df.write.parquet(f"{root}/{dirs[name]}")
+    schemas = {name: df.schema.json() for name, df in tables.items()}
+    versions.commit(spark, root, {"tables": dirs, "schemas": schemas}, number)
+    counts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n")) for name, df in open_tables(spark, root).items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def open_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the newest rebuild."""
+    content = versions.latest(spark, root)[1]
+    if not content:
+        raise FileNotFoundError(f"No tables under {root}")
+    return {name: spark.read.schema(StructType.fromJson(json.loads(content["schemas"][name]))).parquet(f"{root}/{at}")
+            for name, at in content["tables"].items()}
 
 
 def table_counts(attempted_parishes: DataFrame, church: DataFrame, bulletin: DataFrame, event: DataFrame) -> DataFrame:
@@ -115,4 +135,4 @@ def table_counts(attempted_parishes: DataFrame, church: DataFrame, bulletin: Dat
 
 
 __all__ = ["load_bulletins", "load_churches", "load_events", "load_parishes",
-           "rebuild_tables", "table_counts", "typed_events"]
+           "open_tables", "rebuild_tables", "table_counts", "typed_events"]

@@ -79,7 +79,7 @@ class Processed:
 
 
 def process_bulletins(metadata: DataFrame, events: DataFrame, parish: DataFrame, church: DataFrame,
-                      documents: DataFrame, cache: DataFrame, extractor, *, now: str, today: date,
+                      documents: DataFrame | str, cache: DataFrame, extractor, *, now: str, today: date,
                       parish_name: str | None = None, parallelism: int | None = None) -> Processed:
     """Extract every parish's latest pending document and merge the result.
 
@@ -90,8 +90,8 @@ def process_bulletins(metadata: DataFrame, events: DataFrame, parish: DataFrame,
     pending = filters.pending_process(latest.to_process(metadata, carry))
     pending = filters.by_parish_name(pending, parish, parish_name)
     hits, misses = split_by_cache(pending, cache_of(cache, extractor.name, extractor.version))
-    items = work_items(misses.select("idx", "parish_slug", "pdf_path"), parish, church, documents)
-    done = written(all_outcomes(items, extractor, today, parallelism), "outcomes")
+    items = written(work_items(misses.select("idx", "parish_slug", "pdf_path"), parish, church, documents), "work-items")
+    done = written(all_outcomes(items, documents, extractor, today, parallelism), "outcomes")
     fresh = done.where(F.col("status") == "extracted").select("idx", guarded_result(F.col("result_json")).alias("result"))
     fresh = misses.join(fresh, "idx").select("idx", "parish_slug", "source_url", "content_hash", "result")
     results = written(hits.select("idx", "parish_slug", "source_url", "content_hash", "result", F.lit(True).alias("hit"))

@@ -11,7 +11,7 @@ from belfry.functions.payload import verification_result
 from belfry.operators import latest
 from belfry.plans.extractors import outcomes
 from belfry.session import written
-from belfry.sources.documents import church_list, churches_json
+from belfry.sources.documents import church_list, churches_json, with_content
 
 
 def verified_parishes(parish: DataFrame, church: DataFrame) -> DataFrame:
@@ -37,16 +37,14 @@ def verify_worklist(parish: DataFrame, church: DataFrame, bulletin: DataFrame,
             .join(issues, "parish_id").join(sizes, "parish_id"))
 
 
-def verify_churches(parish: DataFrame, church: DataFrame, bulletin: DataFrame, documents: DataFrame, extractor, *,
+def verify_churches(parish: DataFrame, church: DataFrame, bulletin: DataFrame, documents: DataFrame | str, extractor, *,
                     now: str, today: date, parish_name: str | None = None,
                     parallelism: int | None = None) -> DataFrame:
     """(slug, verified_at, value) per verified parish; failing documents are left out."""
     work = verify_worklist(parish, church, bulletin, parish_name)
-    items = (work.join(church_list(church), "parish_id")
-             .join(documents.withColumnRenamed("path", "pdf_path"), "pdf_path")
-             .where(F.col("content").isNotNull())
-             .withColumn("churches_json", churches_json(F.col("churches"))))
-    done = written(outcomes(items, extractor, today, "parish_slug", parallelism), "verify-outcomes")
+    items = written(work.join(church_list(church), "parish_id").select(
+        "parish_slug", "pdf_path", churches_json(F.col("churches")).alias("churches_json"), F.lit("ready").alias("status")), "verify-items")
+    done = written(outcomes(with_content(items, documents), extractor, today, "parish_slug", parallelism), "verify-outcomes")
     return done.where(F.col("status") == "extracted").select(
         F.col("parish_slug").alias("slug"), F.lit(now).alias("verified_at"),
         verification_result(F.col("result_json")).alias("value"))

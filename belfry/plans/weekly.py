@@ -9,24 +9,28 @@ from pyspark.sql import functions as F
 
 from belfry.plans import fetch, load, process, snapshot
 from belfry.session import written
+from belfry.sources.documents import BUCKETS, add_to_store, open_store
 from belfry.sources.sinks import append_cache
 
 
 def run_weekly(raw_parish: DataFrame, raw_church: DataFrame, metadata: DataFrame, events: DataFrame, pages: DataFrame,
-               downloads: DataFrame, blobs: DataFrame, cache: DataFrame, extractor, *, root: str, now: str,
-               today: date, parallelism: int | None = None) -> dict:
+               downloads: DataFrame, store: str, cache: DataFrame, extractor, *, root: str, now: str,
+               today: date, parallelism: int | None = None, buckets: int = BUCKETS) -> dict:
     """Run every stage once; the snapshot is only published when the gate passes.
 
+    ``store`` is where the clustered document store lies; new documents are appended to it.
+
     Each stage result is written before the next one reads it, so a lost executor costs
     tasks of one stage, not of the whole chain.
     """
     parish = written(load.load_parishes(raw_parish, now), "parish")
     church = written(load.load_churches(raw_church, parish, now), "church")
     reference = F.lit(today.isoformat()).cast("date")
-    got = fetch.fetch_bulletins(parish, pages, downloads, metadata, blobs, now=now, reference=reference)
+    stored = open_store(parish.sparkSession, store, buckets)
+    got = fetch.fetch_bulletins(parish, pages, downloads, metadata, stored, now=now, reference=reference)
     metadata = written(metadata.unionByName(got.metadata), "metadata")
-    blobs = written(blobs.unionByName(got.blobs), "blobs")
-    done = process.process_bulletins(metadata, events, parish, church, blobs, cache, extractor,
+    documents = add_to_store(written(got.blobs, "new-blobs"), store, buckets)
+    done = process.process_bulletins(metadata, events, parish, church, documents, cache, extractor,
                                      now=now, today=today, parallelism=parallelism)
     append_cache(done.new_results, cache, f"{root}/cache")
     merged = written(done.metadata, "metadata")
@@ -35,8 +39,7 @@ def run_weekly(raw_parish: DataFrame, raw_church: DataFrame, metadata: DataFrame
     good, bad = load.load_events(raw_events, church, bulletin)
     tables = {"parish": parish, "church": church, "bulletin": bulletin, "event": good, "event_quarantine": bad}
     counts = {r["table"]: r["n"] for r in load.rebuild_tables(tables, f"{root}/tables").collect()}
-    spark = parish.sparkSession
-    stored = {n: spark.read.parquet(f"{root}/tables/{n}") for n in ("parish", "church", "bulletin", "event")}
+    stored = load.open_tables(parish.sparkSession, f"{root}/tables")
     gate = snapshot.refresh(stored["church"], stored["parish"], stored["bulletin"], stored["event"],
                             f"{root}/snapshot", now)
     return {"tables": counts, "gate": gate, "metadata": merged, "events": raw_events,

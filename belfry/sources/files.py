@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from belfry import schemas
 from belfry.functions.text import blank_to_null, csv_bool, csv_float, empty_to_null
+from belfry.sources import versions
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -32,7 +33,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str], required: list[
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in ["idx", *columns])).withColumn(
             "idx", F.col("idx").cast("bigint"))
     options = {"header": True, "multiLine": True, "enforceSchema": False, "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
-    raw = spark.read.options(**options).csv(path)
+    raw = spark.read.options(**options).csv(versions.current_dir(spark, path))
     header = [] if raw.columns == [] else raw.columns
     check_header(header, required, path.rstrip("/").rsplit("/", 1)[-1])
     return raw.select(F.monotonically_increasing_id().alias("idx"), *[

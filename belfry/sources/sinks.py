@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from belfry.sources import versions
 from belfry.sources.files import path_exists
 
 
@@ -14,22 +15,13 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """CSV with a fixed column order, staged next to the target and swapped in when complete."""
+    """CSV with a fixed column order as the next version of ``path``: readers see the old file set or the new one."""
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged"
+    number = versions.latest(spark, path)[0]
+    data = versions.fresh("csv")
     text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
-    text.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(staged)
-    swap(spark, staged, path)
-
-
-def swap(spark: SparkSession, staged: str, target: str) -> None:
-    """Replace ``target`` by the finished directory ``staged``."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(fs_path(target)):
-        fs.delete(fs_path(target), True)
-    if not fs.rename(fs_path(staged), fs_path(target)):
-        raise OSError(f"could not move {staged} to {target}")
+    text.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{path}/{data}")
+    versions.commit(spark, path, {"dir": data}, number)
 
 
 def drop_dir(spark: SparkSession, path: str) -> bool:

@@ -8,7 +8,7 @@ from belfry import schemas
 from belfry.plans import load, snapshot
 from belfry.session import scratch_path
 from belfry.sources import documents as docs
-from belfry.sources import files, pages, sinks
+from belfry.sources import files, pages, sinks, versions
 from catalog.registry import define, query
 
 
@@ -57,7 +57,7 @@ def _(d):
         message = ""
     except ValueError as err:
         message = str(err)
-    rows = d.spark.read.option("header", True).csv(path)
+    rows = d.spark.read.option("header", True).csv(versions.current_dir(d.spark, path))
     return rows.agg(F.lit(message).alias("message"), F.count(F.lit(1)).alias("n"))
 
 

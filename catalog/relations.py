@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from belfry.operators import filters, latest, quality, unique
 from belfry.plans import load, merge, process, snapshot, verify
+from belfry.session import scratch_path, written
 from belfry.sources import documents as docs
 from catalog.functions import d_address, d_address_key, d_event_date, d_minutes
 from catalog.registry import define, query
@@ -468,13 +469,29 @@ def blobs(d):
     return d.documents.select(F.expr("'/docs/' || doc_id || '.pdf'").alias("path"), F.encode("text", "UTF-8").alias("content"))
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
+def store(d):
+    """The same as a clustered table, made once per application."""
+    key = (d.spark.sparkContext.applicationId, d.sf_dir)
+    if key not in _stores:
+        _stores[key] = scratch_path(d.spark, "document-store")
+        docs.add_to_store(blobs(d), _stores[key], buckets=16)
+    return docs.open_store(d.spark, _stores[key], buckets=16)
+
+
+# besides the chosen documents of all parishes, some of a parish that is not known
+define("work_entry", """select idx, parish_slug, pdf_path from work_choice
+    union all select -1 - doc_id, 'gone-' || (doc_id % 7), '/docs/' || doc_id || '.pdf' from documents where doc_id % 9 = 0""")
 define("work_row", """select w.idx, w.parish_slug, p.id as parish_id, d.doc_id, case when d.doc_id is null then 'document missing' when p.id is null then 'unknown parish' end as reason,
-    sha256(d.text) as digest from work_choice w left join (select * from parish where id % 10 <> 4) p on w.parish_slug = p.slug left join documents d on w.pdf_path = '/docs/' || d.doc_id || '.pdf'""")
+    case when p.id is not null then sha256(d.text) end as digest from work_entry w left join parish p on w.parish_slug = p.slug left join documents d on w.pdf_path = '/docs/' || d.doc_id || '.pdf'""")
 
 
 def work(d):
-    chosen = latest.to_process(d.metadata, ["idx", "source_url", "pdf_path", "content_hash", "processed_at"])
-    return docs.work_items(chosen, d.parish.where("id % 10 <> 4"), d.church, blobs(d))
+    chosen = latest.to_process(d.metadata, ["idx", "source_url", "pdf_path", "content_hash", "processed_at"]).select("idx", "parish_slug", "pdf_path")
+    strange = d.documents.where("doc_id % 9 = 0").selectExpr("-1 - doc_id as idx", "'gone-' || (doc_id % 7) as parish_slug", "'/docs/' || doc_id || '.pdf' as pdf_path")
+    return written(docs.work_items(chosen.unionByName(strange), d.parish, d.church, store(d)), "work-items")
 
 
 @query("join_workitems", """select w.idx, w.parish_slug, w.reason, case when w.reason is null then 'ready' else 'skipped' end as status,
@@ -484,9 +501,11 @@ def _(d):
     return work(d).select("idx", "parish_slug", "reason", "status", n.cast("bigint").alias("n_churches"))
 
 
-@query("src_documents", "select idx, case when doc_id is null then 'skipped' when parish_id is null then 'skipped' else 'ready' end as status, digest from work_row")
+@query("src_documents", "select idx, case when reason is null then 'ready' else 'skipped' end as status, digest from work_row")
 def _(d):
-    return work(d).select("idx", "status", docs.content_hash(F.col("content")).alias("digest"))
+    items = work(d)
+    found = docs.with_content(items, store(d)).select("idx", docs.content_hash(F.col("content")).alias("digest"))
+    return items.select("idx", "status").join(found, "idx", "left")
 
 
 def cache(d):

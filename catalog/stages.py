@@ -11,10 +11,11 @@ from belfry.functions.text import cache_version
 from belfry.plans import extract_run, extractors, fetch, links, merge, process, snapshot, verify, weekly
 from belfry.schemas import RESULT
 from belfry.session import scratch_path
+from belfry.sources.documents import add_to_store, with_content
 from belfry.sources.pages import page_anchors
 from belfry.streaming import ingest
 from catalog.functions import ID_PATTERNS, KEYWORDS, REF, today, verify_payload
-from catalog.relations import blobs
+from catalog.relations import _SNAP, blobs, store
 from catalog.registry import define, query
 
 DAY = datetime.date.fromisoformat(REF)
@@ -199,14 +200,14 @@ def items(d):
 @query("udf_extractor", """select r.idx, 'c-' || c.id as church_slug, (8 + n % 4) || ':00 AM' as start_time from ready_row r join church c on c.parish_id = r.parish_id
     where n >= 200""")
 def _(d):
-    ran = extractors.outcomes(items(d).where("status = 'ready'"), extractors.get_extractor("line"), DAY)
+    ran = extractors.outcomes(with_content(items(d), store(d)), extractors.get_extractor("line"), DAY)
     rows = ran.where("status = 'extracted'").select("idx", F.explode(guarded_result(F.col("result_json"))["events"]).alias("e"))
     return rows.select("idx", "e.church_slug", "e.start_time")
 
 
 @query("udf_outcomes", "select idx, status from outcome_row")
 def _(d):
-    return extractors.all_outcomes(items(d), extractors.get_extractor("line"), DAY).select("idx", "status")
+    return extractors.all_outcomes(items(d), store(d), extractors.get_extractor("line"), DAY).select("idx", "status")
 
 
 def empty_cache(d):
@@ -233,7 +234,7 @@ define("run_status", f"""select w.idx, w.parish_slug, w.source_url, w.content_ha
 
 
 def run(d):
-    return extract_run.extract_run(d.metadata, d.parish, d.church, blobs(d), seeded_cache(d), extractors.get_extractor("line"), today=DAY)
+    return extract_run.extract_run(d.metadata, d.parish, d.church, store(d), seeded_cache(d), extractors.get_extractor("line"), today=DAY)
 
 
 @query("pipe_extract_run", """select s.source_url as bulletin_source_url, 'c-' || c.id as church_slug, (8 + n % 4) || ':00 AM' as start_time
@@ -282,7 +283,7 @@ define("processed_event", """select bulletin_source_url, church_slug, start_time
 
 
 def processed(d, events=None):
-    return process.process_bulletins(d.metadata, d.raw_event.drop("idx") if events is None else events, d.parish, d.church, blobs(d), seeded_cache(d),
+    return process.process_bulletins(d.metadata, d.raw_event.drop("idx") if events is None else events, d.parish, d.church, store(d), seeded_cache(d),
                                      extractors.get_extractor("line"), now=NOW, today=DAY)
 
 
@@ -325,7 +326,7 @@ extractors.register("verdict", VerdictExtractor)
 @query("pipe_verify", f"""select p.slug, '{NOW}' as verified_at, count(*) as n_verdicts from parish p join verify_choice v on v.parish_id = p.id join documents d on v.pdf_path = '/docs/' || d.doc_id || '.pdf'
     join church c on c.parish_id = p.id where p.id not in (select parish_id from done_parish) group by p.slug""")
 def _(d):
-    done = verify.verify_churches(d.parish, d.church, d.bulletin, blobs(d), extractors.get_extractor("verdict"), now=NOW, today=DAY)
+    done = verify.verify_churches(d.parish, d.church, d.bulletin, store(d), extractors.get_extractor("verdict"), now=NOW, today=DAY)
     return done.select("slug", "verified_at", F.size("value.existing_churches").alias("n_verdicts"))
 
 
@@ -382,8 +383,10 @@ def _(d):
     pages, files = parish_pages(d)
     raw_parish = d.parish.select(F.col("id").alias("idx"), "slug", "name", "homepage_url", "bulletin_provider", "provider_id")
     raw_church = d.church.withColumn("parish_slug", F.concat(F.lit("p-"), F.col("parish_id").cast("string"))).withColumn("idx", F.col("id")).drop("id", "parish_id", "created_at")
-    out = weekly.run_weekly(raw_parish, raw_church, d.metadata, d.raw_event.drop("idx"), pages, files, blobs(d), empty_cache(d),
-                            extractors.get_extractor("line"), root=root, now=NOW, today=DAY)
+    documents = scratch_path(d.spark, "weekly-store")
+    add_to_store(blobs(d), documents, 16)
+    out = weekly.run_weekly(raw_parish, raw_church, d.metadata, d.raw_event.drop("idx"), pages, files, documents, empty_cache(d),
+                            extractors.get_extractor("line"), root=root, now=NOW, today=DAY, buckets=16)
     shown = snapshot.published_versions(d.spark, f"{root}/snapshot")[0]
     event = snapshot.read_version(d.spark, f"{root}/snapshot", shown)[1]
     return event.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("n_bulletins", F.lit(out["tables"]["bulletin"]))
@@ -413,7 +416,7 @@ def _(d):
     stream = stream_of(d, d.metadata.select("idx", "parish_slug", "source_url", "published_date", "fetched_at", "processed_at"), "winner-in")
     q = ingest.start(stream, ingest.winner_upsert(root), scratch_path(d.spark, "winner-state"))
     q.awaitTermination()
-    return ingest.last_winners(d.spark, root, q.lastProgress["batchId"]).select("parish_slug", "idx", "source_url")
+    return ingest.current_winners(d.spark, root).select("parish_slug", "idx", "source_url")
 
 
 @query("str_cache_lookup", "select content_hash, 1 as n from bulletin where content_hash is not null group by content_hash")
@@ -423,15 +426,12 @@ def _(d):
     q = ingest.start(stream_of(d, d.bulletin.select("id", "content_hash"), "hash-in"), ingest.unseen_hashes(root, extract),
                      scratch_path(d.spark, "hash-state"))
     q.awaitTermination()
-    return d.spark.read.parquet(root).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.cached_results(d.spark, root).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("str_snapshot_refresh")
+@query("str_snapshot_refresh", f"select {_SNAP} from snapshot_event")
 def _(d):
-    tables, root = scratch_path(d.spark, "stream-tables"), scratch_path(d.spark, "stream-snapshot")
-    d.bulletin.write.parquet(f"{tables}/bulletin")
-    ingest.snapshot_refresh(stream_of(d, d.event, "event-in"), d.church, d.parish, tables, root, scratch_path(d.spark, "event-state"), NOW)
-    shown = snapshot.published_versions(d.spark, root)
-    return snapshot.read_version(d.spark, root, shown[0])[1].groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
+    log, root = scratch_path(d.spark, "event-log"), scratch_path(d.spark, "view")
+    ingest.snapshot_refresh(stream_of(d, d.event, "event-in"), d.church, d.parish, d.bulletin, log, root,
+                            scratch_path(d.spark, "event-state"), NOW).awaitTermination()
+    return ingest.published(d.spark, root)[1].drop("arrival")
