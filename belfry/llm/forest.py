@@ -7,8 +7,9 @@ scored exactly in double precision.  Queries meet the row blocks in blocks of th
 passes on its best ``k`` only.
 
 Edge cases: vectors that are null, of zero length, of another dimension than most, or hold null or
-non-finite components take no part; rows without vec_id take no part; with fewer than ``k`` candidates
-all are returned; an empty table gives no rows.
+non-finite components take no part; rows without vec_id take no part; repeated rows (same id and vector) count
+once, an id with several vectors is a candidate with each; with fewer than ``k`` candidates all are returned; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def clean_vectors(df: DataFrame) -> DataFrame:
     x = F.transform("embedding", lambda v: v.cast("double"))
     ok = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
     return (df.where(F.col("vec_id").isNotNull() & ok & F.exists(x, lambda v: v != 0))
-            .select("vec_id", "embedding"))
+            .select("vec_id", "embedding").dropDuplicates(["vec_id", "embedding"]))
 
 
 def nearest(df: DataFrame, k: int = K, every: int = 20) -> DataFrame:

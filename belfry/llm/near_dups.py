@@ -14,8 +14,10 @@ of different classes count, members of the bucket's largest class never meet one
 returns at most one link per row.  So every pair of a bucket is either compared on whole shingle sets or
 already known to be in one class: no link that the bands find is lost.
 
-Edge cases: null text is the empty text; empty texts are one class; texts of one to four words have one
-shingle, all their words; equal texts share a class; repeated rows each get their row.
+Edge cases: null text is the empty text; texts without words (empty or white space only) are one class; texts of
+one to four words have one shingle, all their words; equal texts share a class; repeated rows each get their row;
+extra columns are not read by ``near_dup_classes`` and travel unchanged through ``one_per_class``; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ LEADER_ROUNDS = 2
 BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20  # of one side of a block; a bucket with more is cut into several
 COLUMNS = 4096  # shared shingles counted at once
 FIRST_RANK = 2.0 ** -4
+BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"  # what separates words
+HEAVY = 1000  # a text held by more than one row in so many is heavy: there are at most so many of them
 ONE = np.uint64(1)
 
 
@@ -105,8 +109,14 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, length: int = LENG
             return name
 
 
+def _has_words() -> Column:
+    return F.coalesce(F.col("text").rlike(f"[^{BLANK}]"), F.lit(False))
+
+
 def _key() -> Column:
-    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), 1, 16)
+    """128-bit digest of the text; all texts without words share that of the empty text."""
+    text = F.when(_has_words(), F.col("text")).otherwise(F.lit(""))
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
 def bands(docs: DataFrame, n_bands: int = BANDS, length: int = LENGTH, counted: bool = False) -> DataFrame:
@@ -125,9 +135,10 @@ def bands(docs: DataFrame, n_bands: int = BANDS, length: int = LENGTH, counted:
                         h = mixed(h ^ grid[:, j]) + ONE
                     keys.append(key)
                     out.append(h.view(np.int64))
-            yield pd.DataFrame({"bucket": [b for b in out], "key": keys})
+            if keys:  # an untyped empty column would not pass as an array
+                yield pd.DataFrame({"bucket": out, "key": keys})
 
-    texts = docs.select(_key().alias("key"), "text").where(F.length("text") > 0)
+    texts = docs.where(_has_words()).select(_key().alias("key"), "text")
     return texts.mapInPandas(signed, "bucket array<long>, key binary").select(F.explode("bucket").alias("bucket"), "key")
 
 
@@ -258,20 +269,35 @@ def components(pairs: DataFrame) -> DataFrame:
         label = after.select("a", "root")
 
 
+def _class_texts(docs: DataFrame, similar: float, counted: bool) -> DataFrame:
+    """(key, root, least, none, n) of every different text: its class, smallest id (none: it has no id), and rows."""
+    roots = components(links(docs.select("text"), similar, counted))
+    rows = docs.select("doc_id", _key().alias("key"))
+    return written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).join(roots, "key", "left")
+                   .select("key", "least", F.col("least").isNull().alias("none"), "n", F.coalesce("root", "key").alias("root")), "class-texts")
+
+
 def near_dup_classes(docs: DataFrame, similar: float = SIMILAR, counted: bool = False) -> DataFrame:
     """Per document row: doc_id, class_id (the smallest doc_id of its class; null only if all its ids are)."""
-    roots = components(links(docs.select("text"), similar, counted))
+    texts = _class_texts(docs, similar, counted)
+    names = texts.groupBy("root").agg(F.min("least").alias("class_id"))
+    classes = texts.join(names, "root").select("key", "class_id", "n")
+    total = texts.agg(F.sum("n")).first()[0] or 0
     rows = docs.select("doc_id", _key().alias("key"))
-    ids = written(rows.groupBy("key").agg(F.min("doc_id").alias("least")).join(roots, "key", "left")
-                  .select("key", "least", F.coalesce("root", "key").alias("root")), "class-texts")
-    names = ids.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = ids.join(names, "root").select("key", "class_id")
-    return rows.join(classes, "key").select("doc_id", "class_id")
+    # rows of texts with very many copies meet their class by a broadcast of at most HEAVY rows, not in one task
+    heavy = classes.where(F.col("n") * HEAVY > total)
+    of_heavy = rows.join(F.broadcast(heavy), "key")
+    others = rows.join(F.broadcast(heavy.select("key")), "key", "left_anti").join(classes, "key")
+    return of_heavy.unionByName(others).select("doc_id", "class_id")
 
 
 def one_per_class(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The row of each class's smallest doc_id (one of equal rows; rows without id stay when their class has no id)."""
-    classes = near_dup_classes(docs, similar)
-    keep = classes.where("doc_id = class_id").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
+    """One row of each class: of its smallest doc_id (rows without id come last), then of the smallest text digest.
+
+    Classes are told by their texts, so different texts under one id do not replace one another.
+    """
+    texts = _class_texts(docs, similar, False)
+    keep = texts.groupBy("root").agg(F.min(F.struct("none", "least", "key")).alias("first"))
+    keep = keep.select(F.col("first.key").alias("__text_key"), F.col("first.least").alias("__least"))
+    met = docs.withColumn("__key", _key()).join(keep, (F.col("__key") == F.col("__text_key")) & F.col("doc_id").eqNullSafe(F.col("__least")))
+    return met.dropDuplicates(["__key"]).select(*[F.col(c) for c in docs.columns])

@@ -6,32 +6,34 @@ history), every piece is compressed under both, and the size difference per inpu
 with the smaller size per byte, becomes a logistic score: 1 is good, 0 is bad.
 
 Bounds: at most ``per_class`` labelled texts per class are looked at for fitting (those with the
-smallest hash of their id; every other one builds the dictionary, from its first ``SAMPLE_CHARS``
-characters, the rest calibrate the score on whole texts).  Scoring reads whole texts.
+smallest hash of their id; every other one builds the dictionary, with at most ``SAMPLE_PIECES`` of its
+pieces, chosen by hash from the whole text, the rest calibrate the score on whole texts).  Scoring reads
+whole texts.
 
 Edge cases: null and empty texts have the features (0, 0) and so a fixed score; labels that are null
 or name no document are ignored; a document labelled twice counts with its smaller label; when a
-class has fewer than ``MIN_TEXTS`` texts the score is the smoothed share of good labels for all
-texts.  Rows are never dropped or merged and extra columns travel unchanged.
+class has no text to build from, the score is the smoothed share of good labels for all texts; when
+the texts left for calibration are of one class, all looked at serve.  Rows are never dropped or merged
+and extra columns travel unchanged; an input column of the score's name is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 CHUNK = 1024
 DICT_BYTES = 112_640
 LEVEL = 3
-SAMPLE_CHARS = 4096
+SAMPLE_PIECES = 4
 PER_CLASS = 3000
-MIN_TEXTS = 8
 
 
 @dataclass(frozen=True)
@@ -80,9 +82,25 @@ def size_features(text: Column, good: bytes, bad: bytes) -> Column:
     return features(text)
 
 
-def _train_dictionary(texts: list[str]) -> bytes:
+def sampled_pieces(text: Column) -> Column:
+    """At most ``SAMPLE_PIECES`` pieces of each text, those of the smallest hash, in order of the text."""
+    chunk, most = CHUNK, SAMPLE_PIECES
+
+    @F.pandas_udf(ArrayType(BinaryType()))
+    def pieces(texts: pd.Series) -> pd.Series:
+        out = []
+        for value in texts:
+            raw = (value or "").encode("utf-8", "surrogatepass")
+            cut = [raw[i:i + chunk] for i in range(0, len(raw), chunk)]
+            picked = sorted(sorted(range(len(cut)), key=lambda i: (crc32(cut[i]), i))[:most])
+            out.append([cut[i] for i in picked])
+        return pd.Series(out, dtype=object)
+
+    return pieces(text)
+
+
+def _train_dictionary(pieces: list[bytes]) -> bytes:
     import zstandard
-    pieces = [raw[i:i + CHUNK] for raw in (t.encode("utf-8", "surrogatepass") for t in texts) for i in range(0, len(raw), CHUNK)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text for the trainer: the texts themselves serve as history
@@ -112,16 +130,17 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = PER_CL
     sample = (documents.select("doc_id", "text").where(F.length("text") > 0)
               .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality"))
     builds = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
-    texts = sample.where(builds).select("quality", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
-    classes = {q: sorted(r["text"] for r in texts if r["quality"] == q) for q in (0, 1)}
-    prior = (len(classes[1]) + 1) / (len(texts) + 2)
-    if min(len(v) for v in classes.values()) < MIN_TEXTS:
+    texts = sample.where(builds).select("quality", sampled_pieces(F.col("text")).alias("pieces")).collect()
+    classes = {q: [p for pieces in sorted([bytes(p) for p in r["pieces"]] for r in texts if r["quality"] == q) for p in pieces] for q in (0, 1)}
+    prior = (sum(r["quality"] for r in texts) + 1) / (len(texts) + 2)
+    if not all(classes.values()):
         return QualityModel(b"", b"", (), (), (), prior)
     good, bad = _train_dictionary(classes[1]), _train_dictionary(classes[0])
-    rows = sample.where(~builds).select("quality", size_features(F.col("text"), good, bad).alias("f")).collect()
+    sized = sample.select("quality", builds.alias("builds"), size_features(F.col("text"), good, bad).alias("f"))
+    rows = sized.where("not builds").collect()
+    if len({r["quality"] for r in rows}) < 2:
+        rows = sized.collect()
     y = np.array([r["quality"] for r in rows], dtype=float)
-    if len(set(y)) < 2:
-        return QualityModel(b"", b"", (), (), (), prior)
     mean, spread, weights = _logistic(np.array([r["f"] for r in rows]), y)
     return QualityModel(good, bad, *(tuple(map(float, v)) for v in (mean, spread, weights)), prior)
 

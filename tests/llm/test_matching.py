@@ -54,6 +54,27 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs):
     assert near_dups.one_per_class(odd_docs).columns == odd_docs.columns
 
 
+def test_texts_without_words_are_one_class(spark):
+    rows = [(4, "  "), (5, None), (2, ""), (9, "\n\t"), (7, "\u3000\x1c\x85"), (1, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.class_id for r in near_dups.near_dup_classes(docs).collect()} == {4: 2, 5: 2, 2: 2, 9: 2, 7: 2, 1: 1}
+    blank = docs.where("doc_id <> 1")
+    assert {r.class_id for r in near_dups.near_dup_classes(blank).collect()} == {2}
+    assert [r.doc_id for r in near_dups.one_per_class(blank).collect()] == [2]
+
+
+def test_one_row_of_each_class(spark):
+    """Different texts under one id both stay; near copies without id do not all stay; extra columns travel."""
+    words = [f"w{i}" for i in range(60)]
+    base, near, other = " ".join(words), " ".join(words[:59] + ["x"]), " ".join(reversed(words))
+    rows = [(1, base, "a"), (1, other, "b"), (1, base, "c"), (3, near, "d"), (None, "p q " * 9, "e"), (None, "p q " * 9, "f"), (None, near, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = near_dups.one_per_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == sorted([(1, base), (1, other)])
+    assert [r.text for r in kept.collect() if r.doc_id is None] == ["p q " * 9]
+
+
 def test_links_past_the_leaders(spark, monkeypatch):
     """Edits of one text in steps: most pairs lie below 0.8, and blocks of four rows cut every bucket."""
     monkeypatch.setattr(near_dups, "BLOCK_ROWS", 4)
@@ -102,6 +123,16 @@ def test_odd_vectors(spark):
     assert forest.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_vectors(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows * 2, "vec_id long, embedding array<double>")
+    per_query = {}
+    for x in forest.nearest(df).collect():
+        per_query.setdefault(x.query_id, []).append(x.vec_id)
+    assert len(per_query) == 5 and all(len(v) == len(set(v)) == 20 for v in per_query.values())
+
+
 def test_base_phrases(spark, odd_docs):
     extra = [(20, "All Rights Reserved. all rights reserved; CC-BY", 0), (21, "GNU general\npublic license", 0), (22, "cc", 0), (23, "This work is licensed under GNU General Public License version 3", 0)]
     docs = odd_docs.unionByName(spark.createDataFrame(extra, odd_docs.schema))
@@ -184,12 +215,12 @@ def test_warc_of_odd_rows(spark):
 def test_pipeline_keeps_what_each_stage_keeps(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, SF)
+        after = corpus_pipeline.written(stage(spark, docs, SF), "stage")
         assert after.columns == docs.columns, name
         assert after.select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
         if name == "near-dedup":
             classes = classes_of({r.doc_id: r.text for r in docs.collect()})
             assert {r.doc_id for r in after.collect()} == set(classes.values())
-        docs = corpus_pipeline.written(after, "stage")
+        docs = after
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert out.count() == docs.count() and out.where(F.size("ids") != F.col("n_tokens")).count() == 0
