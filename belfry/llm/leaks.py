@@ -1,7 +1,8 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 All word n-grams of the corpus meet those of the test items in an equality join, and every hit is a seed: no
-gram is left out for being frequent.  A document's seed hits that lie near one another form a region, which
+gram is left out for being frequent.  (With acceptance from half the score on, a third of an item's words may be
+replaced, which can break all grams but the most frequent one; rarer seeds alone would lose such copies.)  A document's seed hits that lie near one another form a region, which
 is aligned with the item if it holds enough of the item's words to be accepted; the score is the best local
 alignment over the item's length.  A copy that shares no whole n-gram with its item is not found.
 
@@ -20,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from belfry.operators.keyfilter import likely, with_likely
 from belfry.session import written
 
 GRAM = 4
@@ -117,7 +119,8 @@ def _aligned(docs: DataFrame, items: DataFrame, accept: float) -> DataFrame:
     """The same with the id as text (pandas would turn a long column with nulls into doubles)."""
     per_text = written(candidates(docs, items).groupBy("key").agg(
         F.collect_list(F.struct("item_id", "item_words", "low", "high")).alias("regions")), "leak-regions")
-    work = docs.select("doc_id", "text", _key().alias("key")).join(per_text, "key").select(
+    # texts without a region cannot pass the bitmap of the regions' keys, so only few texts move
+    work = likely(docs.select("doc_id", "text", _key().alias("key")), per_text, "key").join(per_text, "key").select(
         F.col("doc_id").cast("string").alias("doc_id"), _words("text").alias("words"), "regions")
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +142,10 @@ def _aligned(docs: DataFrame, items: DataFrame, accept: float) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """Documents in which no item was found; rows of equal text share their fate."""
+    """Documents in which no item was found; rows of equal text share their fate, extra columns travel unchanged."""
     texts = docs.select(F.hex(_key()).alias("doc_id"), "text")
-    found = _aligned(texts, items, accept).select(F.unhex("doc_id").alias("__text_key")).distinct()
-    return docs.withColumn("__text_key", _key()).join(found, "__text_key", "left_anti").drop("__text_key")
+    found = written(_aligned(texts, items, accept).select(F.unhex("doc_id").alias("__text_key")).distinct(), "leaked-texts")
+    flagged = with_likely(docs.withColumn("__key", _key()), found, "__key", "__text_key", "__likely")
+    clean = flagged.where("not __likely")
+    doubtful = flagged.where("__likely").join(found, F.col("__key") == F.col("__text_key"), "left_anti")
+    return clean.unionByName(doubtful).select(*[F.col(c) for c in docs.columns])
