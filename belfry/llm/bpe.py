@@ -2,17 +2,39 @@
 
 ``last[i]`` is the last token of the encoding of the first ``i`` symbols.  A token ending at ``i`` is that
 last token exactly if merging it next to ``last[i - len]`` leaves both whole, so each step looks back
-no further than the longest token.  For the same reason the chains of the newest ``longest`` prefixes
-hold every token boundary a continuation can still use: what they share is final and may be emitted
-(:meth:`Merger.stream`), which is the lookahead that suffices for the merge list.
+no further than the longest token that the merges can make: that length is the lookahead that suffices.  The
+chains of the newest ``lookahead`` prefixes hold every token boundary a continuation can still use, so what
+they share is final and is emitted (:meth:`Merger.stream`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 END = "</w>"
-PAIR_CACHE = 400_000
+PAIRS_KEPT = 100_000
+NEVER = -1.0  # rank of what no merge made: single symbols
+
+
+class Kept:
+    """Results kept by key: at most two generations of ``most``, so that what is used often stays."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class Merger:
@@ -21,8 +43,9 @@ class Merger:
     def __init__(self, rank: Callable[[str, str], int | None], tokens: Iterable[str]):
         self.rank, self.tokens = rank, set(tokens)
         self.sizes = {t: len(self.split(t)) for t in self.tokens}
-        self.longest = max(self.sizes.values(), default=1)
-        self._beside: dict[tuple[str, str], bool] = {}
+        self.lookahead = max(self.sizes.values(), default=1)
+        self._beside = Kept(PAIRS_KEPT)
+        self._made: dict[str, tuple[float, str, str] | None] = {}
         ends: dict[str, set[int]] = {}
         for t in self.tokens:
             extra = len(END) if t.endswith(END) else 0
@@ -50,33 +73,59 @@ class Merger:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def made(self, token: str) -> tuple[float, str, str] | None:
+        """Rank and parts of the merge that makes the token from its symbols; None if they do not become one token."""
+        try:
+            return self._made[token]
+        except KeyError:
+            parts, made = self.split(token), (NEVER, "", "")
+            while len(parts) > 1:
+                ranked = [(r, i) for i in range(len(parts) - 1) if (r := self.rank(parts[i], parts[i + 1])) is not None]
+                if not ranked:
+                    break
+                r, i = min(ranked)
+                made = r, parts[i], parts[i + 1]
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            self._made[token] = made if len(parts) == 1 else None
+            return self._made[token]
+
     def beside(self, left: str, right: str) -> bool:
-        """Whether both tokens stay whole when they meet (an empty left: whether the right one is whole)."""
+        """Whether both tokens stay whole when they meet (an empty left: whether the right one is whole).
+
+        Their merges are undone, the latest first; at each moment the two parts at the seam must not merge before
+        the next merge of their own takes one of them away.  Of equal ranks the leftmost merge comes first.
+        """
         known = self._beside.get((left, right))
         if known is None:
-            if len(self._beside) >= PAIR_CACHE:
-                self._beside.clear()
-            whole = [left, right] if left else [right]
-            known = self.merge(self.split(left) + self.split(right)) == whole
-            self._beside[left, right] = known
+            known = self._stay_whole(left, right)
+            self._beside.put((left, right), known)
         return known
 
-    def step(self, recent: list[str], last: list[str], first: bool) -> str:
-        """Last token once the newest of ``recent`` symbols is read; ``last`` are the earlier last tokens."""
-        for n in range(min(self.longest, len(recent)), 1, -1):
-            token = "".join(recent[-n:])
-            if token in self.tokens:
-                at_start = first and n == len(recent)
-                if self.beside("" if at_start else last[-n], token):
-                    return token
-        return recent[-1]
-
-    def last_tokens(self, symbols: list[str]) -> list[str]:
-        """Last token of every non-empty prefix."""
+    def _stay_whole(self, left: str, right: str) -> bool:
+        made, rank = self.made, self.rank
+        if made(right) is None or not left:
+            return made(right) is not None
+        (of_left, _, inner_left), (of_right, inner_right, _) = made(left), made(right)
+        before, or_equal = float("inf"), False
+        while True:
+            seam = rank(left, right)
+            if seam is not None and (seam < before or (or_equal and seam == before)):
+                return False
+            if of_left > of_right:
+                before, or_equal, left = of_left, False, inner_left
+                of_left, _, inner_left = made(left)
+            elif of_right > NEVER:
+                before, or_equal, right = of_right, True, inner_right
+                of_right, inner_right, _ = made(right)
+            else:
+                return True
+
+    def last_tokens(self, symbols: list[str], last: list[str] | None = None) -> list[str]:
+        """Last token of every non-empty prefix, from those of the first prefixes on (``last`` grows)."""
         whole, size = "".join(symbols), len(symbols)  # only the last symbol may be longer than one character
-        tokens, pairs, beside, ends = self.tokens, self._beside, self.beside, self.ends
-        last: list[str] = []
-        for i in range(1, size + 1):
+        tokens, pairs, beside, ends = self.tokens, self._beside.young, self.beside, self.ends
+        last = [] if last is None else last
+        for i in range(len(last) + 1, size + 1):
             end = i if i < size else len(whole)
             # lengths worth trying: of tokens with the same last three characters, or else two
             for n in ends.get(whole[max(0, i - 3):end]) or ends.get(whole[max(0, i - 2):end], ()):
@@ -102,44 +151,42 @@ class Merger:
             count.append(count[i - sizes.get(token, 1)] + 1)
         return last, count[1:]
 
-    def encode(self, symbols: list[str]) -> list[str]:
-        last = self.last_tokens(symbols)
-        out, i = [], len(symbols)
-        while i:
-            out.append(last[i - 1])
-            i -= self.sizes.get(last[i - 1], 1)
-        return out[::-1]
+    def encode(self, symbols: Iterable[str]) -> list[str]:
+        return list(self.stream(symbols))
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of a symbol stream as soon as they are final; holds a few token lengths of symbols."""
-        held: list[str] = []
-        last: list[str] = []
-        done, cut = 0, False  # emitted symbols of ``held``; whether symbols before ``held`` were let go
-        for symbol in symbols:
-            held.append(symbol)
-            low = max(0, len(held) - self.longest)
-            last.append(self.step(held[low:], last, low == 0 and not cut))
-            if len(held) < 6 * self.longest:
-                continue
+        """Tokens of a symbol stream as soon as they are final; holds a few lookaheads of symbols.
+
+        Symbols are taken some lookaheads at a time.  Once the newest prefixes agree on a boundary, the tokens up to it
+        are emitted and all but the lookahead before it is let go.
+        """
+        source = iter(symbols)
+        held, last, done = list(islice(source, 6 * self.lookahead)), [], 0
+        while True:
+            more = list(islice(source, self.lookahead))
+            self.last_tokens(held, last)
+            if not more:
+                yield from self._between(last, done, len(held))
+                return
             meet = self._meet(last)
             if meet > done:
                 yield from self._between(last, done, meet)
-                drop = max(0, meet - self.longest)
-                held, last, done, cut = held[drop:], last[drop:], meet - drop, cut or drop > 0
-        yield from self._between(last, done, len(held))
+                drop = max(0, meet - self.lookahead)
+                held, last, done = held[drop:], last[drop:], meet - drop
+            held += more
 
     def _between(self, last: list[str], start: int, end: int) -> list[str]:
-        out = []
+        out, sizes = [], self.sizes
         while end > start:
             out.append(last[end - 1])
-            end -= len(self.split(last[end - 1]))
+            end -= sizes.get(last[end - 1], 1)
         return out[::-1]
 
     def _meet(self, last: list[str]) -> int:
-        """The boundary at which the token chains of the newest ``longest`` prefixes come together."""
-        ends = set(range(len(last) - self.longest + 1, len(last) + 1))
+        """The boundary at which the token chains of the newest ``lookahead`` prefixes come together."""
+        ends = set(range(len(last) - self.lookahead + 1, len(last) + 1))
         while len(ends) > 1:
             top = max(ends)
             ends.discard(top)
-            ends.add(max(0, top - len(self.split(last[top - 1]))))
+            ends.add(max(0, top - self.sizes.get(last[top - 1], 1)))
         return ends.pop()

@@ -18,11 +18,10 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from belfry.llm.bpe import Merger
+from belfry.llm.bpe import Kept, Merger
 
 SPACE = "▁"
-UNIT_CACHE = 300_000
-SHORT_UNIT = 64
+UNITS_KEPT, KEPT_LENGTH = 100_000, 64  # units whose tables are kept (twice as many), and their longest
 BLOCK = 4096  # units counted at once
 
 
@@ -40,7 +39,7 @@ class PrefixCounter:
         joined = sorted({c for p in order if len(p) > 1 for c in p} - {SPACE})
         inside = "[" + "".join(map(regex.escape, joined)) + "]"
         self.units = regex.compile(f"{SPACE}*{inside}+|{SPACE}+|.", regex.DOTALL)
-        self._units: dict[str, tuple[int, ...]] = {}
+        self._units = Kept(UNITS_KEPT)
 
     def unit_counts(self, unit: str) -> tuple[int, ...]:
         """Token counts of every non-empty prefix of one unit."""
@@ -51,10 +50,8 @@ class PrefixCounter:
                 # characters outside the vocabulary fall back to their bytes
                 counts.append(counts[i - len(token)] + (1 if token in order else len(token.encode("utf-8"))))
             known = tuple(counts[1:])
-            if len(unit) <= SHORT_UNIT:
-                if len(self._units) >= UNIT_CACHE:
-                    self._units.clear()
-                self._units[unit] = known
+            if len(unit) <= KEPT_LENGTH:
+                self._units.put(unit, known)
         return known
 
     def _marked(self, text: str) -> str:
@@ -65,7 +62,7 @@ class PrefixCounter:
             return 0
         total, found = 0, (m.group() for m in self.units.finditer(self._marked(text)))
         while units := list(islice(found, BLOCK)):
-            last = list(map(self._units.get, units))
+            last = list(map(self._units.young.get, units))
             total += sum((counts or self.unit_counts(unit))[-1] for unit, counts in zip(units, last))
         return total
 

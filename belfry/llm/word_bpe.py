@@ -1,9 +1,9 @@
 """BPE encoding and decoding of the word-end vocabulary as bounded-lookahead streams.
 
-Text is read word by word (white space never joins tokens); short words are cached, longer ones pass
-through :meth:`Merger.stream`, which emits a token once no continuation can change it.  Decoding is a
-state machine over ids: ``decoded`` gives the library's text (token texts joined by one space),
-``spelled`` the original spelling, bytes to text incrementally.
+Text is read word by word (white space never joins tokens); every piece of a word passes through
+:meth:`Merger.stream`, which emits a token once no continuation can change it.  Decoding is a state machine over
+ids: it gives the library's text (token texts joined by one space), and the spelling that the ids stand
+for, bytes to text as soon as characters are complete.  Results of words are kept up to a fixed number.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; special strings inside a
 text become their special ids, as in the library; unknown ids raise ``KeyError`` while decoding;
@@ -19,16 +19,19 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from belfry.llm.bpe import END, Merger
+from belfry.llm.bpe import END, Kept, Merger
 
-WORD_CACHE = 200_000
-SHORT_WORD = 64
-BLOCK = 4096  # words, or ids of one long word, handled at once
+WORDS_KEPT, KEPT_LENGTH = 80_000, 64  # words and pieces whose results are kept (twice as many), and their longest
+BLOCK = 4096      # words, or ids of one long word, handled at once
+BATCH_IDS = 1 << 18  # ids in one batch of rows
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,10 +54,24 @@ class WordBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.runs = regex.compile(r"[^\p{White_Space}]+")
         self.letters = byte_letters()
-        self.bytes = {c: b for b, c in self.letters.items()}
-        self._pieces: dict[str, list[int]] = {}
-        self._words: dict[str, list[int]] = {}
-        self._written: dict[str, tuple[int, str, str]] = {}
+        of_letter = {c: b for b, c in self.letters.items()}
+
+        def raw(token: str) -> bytes:
+            """Bytes of a token's spelling: the end of a word and special strings bring a space."""
+            if token in self.special:
+                return token.encode("utf-8") + b" "
+            ended = token.endswith(END) and len(token) > len(END)
+            return bytes(of_letter[c] for c in (token[:-len(END)] if ended else token)) + b" " * ended
+
+        #: what each id adds to the spelling
+        self.raw = {i: raw(t) for i, t in self.texts.items()}
+        self._pieces, self._written = Kept(WORDS_KEPT), Kept(WORDS_KEPT)
+
+    def _piece_ids(self, piece: str) -> Iterator[int]:
+        raw = piece.encode("utf-8", "replace")
+        last, letters, ids = len(raw) - 1, self.letters, self.ids
+        for token in self.merger.stream(letters[b] if i < last else letters[b] + END for i, b in enumerate(raw)):
+            yield ids[token]
 
     def _word_ids(self, run: str) -> Iterator[int]:
         parts = self.split_special.split(run) if self.split_special else [run]
@@ -64,55 +81,39 @@ class WordBpe:
                 continue
             folded = unicodedata.normalize("NFC", part)
             folded = folded.lower() if folded.isascii() else "".join(c.lower() for c in folded)
-            for piece in self.pieces.finditer(folded):
-                word = piece.group()
-                ids = self._pieces.get(word)
-                if ids is not None:
-                    yield from ids
-                    continue
-                symbols = [self.letters[b] for b in word.encode("utf-8", "replace")]
-                symbols[-1] += END
-                if len(symbols) > SHORT_WORD:
-                    for token in self.merger.stream(symbols):
-                        yield self.ids[token]
+            for found in self.pieces.finditer(folded):
+                piece = found.group()
+                if len(piece) > KEPT_LENGTH:
+                    yield from self._piece_ids(piece)
                     continue
-                if len(self._pieces) >= WORD_CACHE:
-                    self._pieces.clear()
-                ids = self._pieces[word] = [self.ids[token] for token in self.merger.encode(symbols)]
+                ids = self._pieces.get(piece)
+                if ids is None:
+                    ids = tuple(self._piece_ids(piece))
+                    self._pieces.put(piece, ids)
                 yield from ids
 
     def encode(self, text: str) -> Iterator[int]:
         """Ids of a text, emitted as they become final."""
         for found in self.runs.finditer(text):
-            run = found.group()
-            if len(run) > SHORT_WORD:
-                yield from self._word_ids(run)
-                continue
-            ids = self._words.get(run)
-            if ids is None:
-                if len(self._words) >= WORD_CACHE:
-                    self._words.clear()
-                ids = self._words[run] = list(self._word_ids(run))
-            yield from ids
-
-    def written(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
-        """Blocks of (number of ids, ids as text, decoded text), parts of a whole joined by one space."""
+            yield from self._word_ids(found.group())
+
+    def written(self, text: str) -> Iterator[list[tuple[int, str, str, str]]]:
+        """Blocks of (number of ids, ids as text, decoded text, spelling): the first three texts are joined by spaces."""
         known = self._written
         found = (m.group() for m in self.runs.finditer(text))
         while runs := list(islice(found, BLOCK)):
             block = []
-            for run, part in zip(runs, map(known.get, runs)):
+            for run, part in zip(runs, map(known.young.get, runs)):
+                part = part or known.get(run)
                 if part is not None:
                     block.append(part)
                     continue
-                ids = self._word_ids(run)
+                ids, speller = self._word_ids(run), Speller(self)
                 while some := list(islice(ids, BLOCK)):
-                    part = len(some), " ".join(map(str, some)), "".join(self.decoded(some))
+                    part = len(some), " ".join(map(str, some)), "".join(self.decoded(some)), speller.read(some)
                     block.append(part)
-                if len(run) <= SHORT_WORD and part is not None:
-                    if len(known) >= WORD_CACHE:
-                        known.clear()
-                    known[run] = part
+                if len(run) <= KEPT_LENGTH and part is not None:
+                    known.put(run, part)
                 if len(block) >= BLOCK:
                     yield block
                     block = []
@@ -126,22 +127,28 @@ class WordBpe:
             gap = " "
 
     def spelled(self, ids: Iterable[int]) -> Iterator[str]:
-        """Spelling of a token stream: bytes become characters as soon as they are complete, words get one space."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            token = self.texts[i]
-            if i in self.special.values():
-                yield state.decode(b"", True) + token + " "
-                state.reset()
-                continue
-            ended = token.endswith(END) and len(token) > len(END)
-            raw = bytes(self.bytes[c] for c in (token[:-len(END)] if ended else token))
-            text = state.decode(raw)
-            yield text + " " if ended else text
-        yield state.decode(b"", True)
+        """Spelling of a token stream, words ended by one space."""
+        speller, source = Speller(self), iter(ids)
+        while some := list(islice(source, BLOCK)):
+            yield speller.read(some)
+        yield speller.end()
+
 
+class Speller:
+    """Incremental byte-to-text machine: ids in, text out; an unfinished character waits for its other bytes."""
 
-DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    def __init__(self, coder: WordBpe):
+        self.raw = coder.raw
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def read(self, ids: list[int]) -> str:
+        return self.state.decode(b"".join(map(self.raw.__getitem__, ids)))
+
+    def end(self) -> str:
+        return self.state.decode(b"", True)
+
+
+DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string, spelled_sha256 string"
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -159,7 +166,7 @@ def encoded(text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = word_bpe(path)
         for batch in batches:
-            yield pd.Series([list(coder.encode(t or "")) for t in batch])
+            yield pd.Series([np.fromiter(coder.encode(t or ""), dtype=np.int32) for t in batch])
 
     return run(text)
 
@@ -176,8 +183,38 @@ def decoded(ids: Column, path: str) -> Column:
     return run(ids)
 
 
+def with_codes(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """The columns of ``df`` but the text, plus ``ids``, ``n_tokens`` and ``decoded``.
+
+    Rows leave in batches of a bounded number of ids, so a task holds few texts at a time.  Input columns of
+    these names are replaced.
+    """
+    added = StructType([StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("decoded", StringType())])
+    kept = [f.name for f in df.schema if f.name != text and f.name not in added.names]
+    schema = StructType([f for f in df.schema if f.name in kept] + added.fields)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = word_bpe(path)
+        for batch in batches:
+            texts, others = batch.column(batch.num_columns - 1), [batch.column(i) for i in range(batch.num_columns - 1)]
+            first, ids, size = 0, [], 0
+            for row in range(batch.num_rows):
+                ids.append(np.fromiter(coder.encode(texts[row].as_py() or ""), dtype=np.int32))
+                size += len(ids[-1])
+                if size >= BATCH_IDS or row == batch.num_rows - 1:
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([
+                        *[c.slice(first, len(ids)) for c in others],
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
+                        pa.array(np.diff(ends).astype(np.int64)),
+                        pa.array(["".join(coder.decoded(i.tolist())) for i in ids], pa.string())], names=schema.names)
+                    first, ids, size = row + 1, [], 0
+
+    return df.select(*kept, text).mapInArrow(coded, schema)
+
+
 def coding_digest(text: Column, path: str) -> Column:
-    """Struct of token count and digests of ids and decoded text, one pass, constant memory besides the text."""
+    """Struct of token count and digests of ids, decoded text and spelling, one pass, constant memory besides the text."""
 
     @F.pandas_udf(DIGEST)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -185,15 +222,16 @@ def coding_digest(text: Column, path: str) -> Column:
         for batch in batches:
             rows = []
             for value in batch:
-                n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+                n, ids_hash, text_hash, spelled_hash = 0, hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
                 for block in coder.written(value or ""):
                     if block:
-                        numbers, ids_texts, texts = zip(*block)
+                        numbers, ids_texts, texts, spelled = zip(*block)
                         gap = " " if n else ""
                         ids_hash.update((gap + " ".join(ids_texts)).encode("ascii"))
                         text_hash.update((gap + " ".join(texts)).encode("utf-8"))
+                        spelled_hash.update("".join(spelled).encode("utf-8"))
                         n += sum(numbers)
-                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), spelled_hash.hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spelled_sha256"])
 
     return run(text)

@@ -33,6 +33,30 @@ def test_spelling_comes_back(word_path):
     assert "".join(coder.spelled(coder.encode("hello wörld 🙂 thethethethe"))) == "hello wörld 🙂 thethethethe "
 
 
+def test_tokens_that_stay_whole_side_by_side(word_path, piece_path):
+    """Undoing merges from the seam on says the same as merging both tokens' symbols together."""
+    r = random.Random(8)
+    for merger in (word_bpe.WordBpe(word_path).merger, token_counts.PrefixCounter(piece_path).merger):
+        tokens = sorted(merger.tokens)
+        short = [t for t in tokens if merger.sizes[t] <= 3]
+        answers = set()
+        for k in range(6000):
+            left, right = r.choice(short if k % 2 else tokens), r.choice(short if k % 3 else tokens)
+            if not left.endswith("</w>") and merger.merge(merger.split(left)) == [left]:
+                whole = merger.merge(merger.split(left) + merger.split(right)) == [left, right]
+                assert merger.beside(left, right) == whole
+                answers.add(whole)
+        assert answers == {True, False}
+
+
+def test_streams_equal_plain_merging(word_path):
+    merger, r = word_bpe.WordBpe(word_path).merger, random.Random(9)
+    for n in [*range(1, 40), 3 * merger.lookahead, *[r.randrange(6 * merger.lookahead, 12 * merger.lookahead) for _ in range(6)]]:
+        symbols = [r.choice("aeinorst") for _ in range(n)]
+        symbols[-1] += "</w>"
+        assert list(merger.stream(iter(symbols))) == merger.merge(symbols)
+
+
 def test_stream_holds_little(word_path):
     merger = word_bpe.WordBpe(word_path).merger
     read = 0
@@ -44,7 +68,7 @@ def test_stream_holds_little(word_path):
             yield c
 
     first = next(merger.stream(symbols()))
-    assert first and read <= 6 * merger.longest
+    assert first and read <= 8 * merger.lookahead
 
 
 def test_counts_of_every_prefix(piece_path, texts):
@@ -65,5 +89,11 @@ def test_columns(spark, odd_docs, word_path, piece_path):
     assert len(coded) == len(counted) == n
     assert all(r.c.n_tokens == 0 for r in coded if r.doc_id == 1) and all(r.n == 0 for r in counted if r.doc_id == 1)
     assert odd_docs.limit(0).select(word_bpe.encoded(F.col("text"), word_path)).count() == 0
+    theirs = Tokenizer.from_file(word_path)
+    codes = word_bpe.with_codes(odd_docs.withColumn("ids", F.lit("clash")), word_path)
+    assert codes.columns == ["doc_id", "key", "ids", "n_tokens", "decoded"] and word_bpe.with_codes(odd_docs.limit(0), word_path).count() == 0
+    wanted = sorted((str(r.doc_id), r.key, theirs.encode(r.text or "", add_special_tokens=False).ids) for r in odd_docs.collect())
+    assert sorted((str(r.doc_id), r.key, list(r.ids)) for r in codes.collect()) == wanted
+    assert all(r.decoded == theirs.decode(list(r.ids), skip_special_tokens=False) and r.n_tokens == len(r.ids) for r in codes.collect())
     cut = odd_docs.select(token_counts.truncated(F.col("text"), 3, piece_path).alias("t"))
     assert cut.select(F.max(token_counts.token_count(F.col("t"), piece_path))).first()[0] <= 3
