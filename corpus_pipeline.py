@@ -37,9 +37,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, their number, and the text they decode to."""
-    path = tokenizer_path("word_bpe_49k.json")
-    ids = docs.select("doc_id", "lang", "source", word_bpe.encoded(F.col("text"), path).alias("ids"))
-    return ids.select("*", F.size("ids").cast("long").alias("n_tokens"), word_bpe.decoded(F.col("ids"), path).alias("decoded"))
+    return word_bpe.with_codes(docs.select("doc_id", "lang", "source", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
