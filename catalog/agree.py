@@ -62,7 +62,7 @@ def _(d):
 
 
 THREE = ["alpha", "beta", "gamma"]
-define("three_run", """select classifier, bulletin_source_url from run_manifest union all
+define("three_run", """select classifier, bulletin_source_url from run_manifest union all select classifier, bulletin_source_url from run_event union all
     select 'gamma', bulletin_source_url from run_manifest where classifier = 'alpha' and length(bulletin_source_url) % 2 = 0""")
 
 
@@ -70,8 +70,7 @@ define("three_run", """select classifier, bulletin_source_url from run_manifest
     using (bulletin_source_url) where a.classifier < b.classifier group by all""")
 def _(d):
     gamma = d.run_manifest.where((F.col("classifier") == "alpha") & (F.length(URL) % 2 == 0)).withColumn("classifier", F.lit("gamma"))
-    none = d.run_event.where(F.lit(False))
-    counts = agreement.url_counts(none, d.run_manifest.unionByName(gamma), THREE)
+    counts = agreement.url_counts(d.run_event, d.run_manifest.unionByName(gamma), THREE)
     return agreement.pair_metrics(agreement.pair_counts(counts, THREE)).select("a", "b", F.col("bulletins_in_both").alias("shared"))
 
 

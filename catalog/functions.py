@@ -164,11 +164,10 @@ def _(d):
     return d.link_text.select("idx", found.cast("string").alias("day"))
 
 
-@query("fn_month_number", "select idx, m as month from link_text where idx % 8 in (0, 1, 5)")
+@query("fn_month_number", "select idx, case when idx % 8 in (0, 1, 5) then m when idx % 8 = 7 then 2 end as month from link_text")
 def _(d):
-    word = F.regexp_extract("text", r"(?i)(?:Bulletin |Sunday, |^\d+ )([a-z]+)", 1)
-    return d.link_text.where(F.col("idx") % 8 < 6).withColumn("month", dates.month_number(word)).where(
-        "month is not null").select("idx", "month")
+    word = F.regexp_extract("text", r"(?i)(?:Bulletin |Sunday, |^\d+ |^)([a-z]+)", 1)
+    return d.link_text.select("idx", dates.month_number(word).alias("month"))
 
 
 @query("fn_normalize_year", f"""select idx, case idx % 3 when 0 then 2000 + y % 100 when 1 then y else {REF[:4]} end as year
@@ -205,9 +204,9 @@ def _(d):
 
 
 @query("fn_next_specific", f"""select id, case when cast(date as date) >= date '{REF}' then date end as day
-       from event where date is not null""")
+       from event""")
 def _(d):
-    return d.event.where("date is not null").select(
+    return d.event.select(
         "id", dates.next_specific(F.col("date"), today()).cast("string").alias("day"))
 
 
@@ -239,9 +238,9 @@ def _(d):
                              dates.lastmod_date(F.col("processed_at")).alias("done"))
 
 
-@query("fn_fmt_date", f"select id, {d_ordinal_date('date')} as shown from event where date is not null")
+@query("fn_fmt_date", f"select id, {d_ordinal_date('date')} as shown from event")
 def _(d):
-    return d.event.where("date is not null").select("id", dates.format_date(F.col("date")).alias("shown"))
+    return d.event.select("id", dates.format_date(F.col("date")).alias("shown"))
 
 
 @query("fn_fmt_day", f"""select id, case when event_kind = 'weekly' and day_of_week <> ''

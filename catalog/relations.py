@@ -160,23 +160,32 @@ def _(d):
 
 # --- loader joins ----------------------------------------------------------------------------
 
-@query("join_church_parish", "select c.id, c.slug, p.id as parish_id from church c join parish p on 'p-' || c.parish_id = p.slug where p.bulletin_provider is not null")
+# each joined table also gets rows whose key has no partner
+@query("join_church_parish", """select c.id, c.slug, p.id as parish_id from (select id, slug, 'p-' || parish_id as parish_slug from church
+    union all select -id, slug, 'gone-' || id from church where id % 8 = 0) c join parish p on c.parish_slug = p.slug""")
 def _(d):
-    known = d.parish.where("bulletin_provider is not null").select(F.col("slug").alias("parish_slug"), F.col("id").alias("pid"))
-    named = d.church.withColumn("parish_slug", F.concat(F.lit("p-"), F.col("parish_id").cast("string")))
-    return named.join(known, "parish_slug").select("id", "slug", F.col("pid").alias("parish_id"))
+    known = d.parish.select(F.col("slug").alias("parish_slug"), F.col("id").alias("parish_id"))
+    named = d.church.selectExpr("id", "slug", "'p-' || parish_id as parish_slug").unionByName(
+        d.church.where("id % 8 = 0").selectExpr("-id as id", "slug", "'gone-' || id as parish_slug"))
+    return named.join(known, "parish_slug").select("id", "slug", "parish_id")
 
 
-@query("join_bulletin_parish", "select m.idx, p.id as parish_id from metadata m join parish p on m.parish_slug = p.slug where p.provider_id is not null")
+@query("join_bulletin_parish", """select m.idx, p.id as parish_id from (select idx, parish_slug from metadata
+    union all select -1 - idx, 'gone-' || idx from metadata where idx % 8 = 0) m join parish p on m.parish_slug = p.slug""")
 def _(d):
-    known = d.parish.where("provider_id is not null").select(F.col("slug").alias("parish_slug"), F.col("id").alias("parish_id"))
-    return d.metadata.join(known, "parish_slug").select("idx", "parish_id")
+    known = d.parish.select(F.col("slug").alias("parish_slug"), F.col("id").alias("parish_id"))
+    named = d.metadata.select("idx", "parish_slug").unionByName(
+        d.metadata.where("idx % 8 = 0").selectExpr("-1 - idx as idx", "'gone-' || idx as parish_slug"))
+    return named.join(known, "parish_slug").select("idx", "parish_id")
 
 
-@query("join_event_church", "select r.idx, c.id as church_id, c.parish_id from raw_event r join church c on r.church_slug = c.slug where c.address_line1 <> ''")
+@query("join_event_church", """select r.idx, c.id as church_id, c.parish_id from (select idx, church_slug from raw_event
+    union all select -1 - idx, 'gone-' || idx from raw_event where idx % 8 = 0) r join church c on r.church_slug = c.slug""")
 def _(d):
-    known = d.church.where("address_line1 <> ''").select(F.col("slug").alias("church_slug"), F.col("id").alias("church_id"), "parish_id")
-    return d.raw_event.join(known, "church_slug").select("idx", "church_id", "parish_id")
+    known = d.church.select(F.col("slug").alias("church_slug"), F.col("id").alias("church_id"), "parish_id")
+    named = d.raw_event.select("idx", "church_slug").unionByName(
+        d.raw_event.where("idx % 8 = 0").selectExpr("-1 - idx as idx", "'gone-' || idx as church_slug"))
+    return named.join(known, "church_slug").select("idx", "church_id", "parish_id")
 
 
 @query("join_event_bulletin", """select r.idx, b.id as bulletin_id from raw_event r join church c on r.church_slug = c.slug
@@ -258,12 +267,18 @@ def _(d):
     return unique.greedy_unique(rows, "slug", "homepage_url", ["name"]).select("idx", "slug", "homepage_url")
 
 
-@query("dml_fk_check", """select 'church.parish_id' as edge, c.id from church c where c.parish_id not in (select id from parish where id % 50 <> 3)
-    union all select 'bulletin.parish_id', b.id from bulletin b where b.parish_id not in (select id from parish where id % 50 <> 3)
+define("church_and_strays", "select id, parish_id from church union all select -id, -id from church where id % 50 = 3")
+define("bulletin_and_strays", "select id, parish_id from bulletin union all select -id, -id from bulletin where id % 50 = 3")
+
+
+@query("dml_fk_check", """select 'church.parish_id' as edge, c.id from church_and_strays c where c.parish_id not in (select id from parish)
+    union all select 'bulletin.parish_id', b.id from bulletin_and_strays b where b.parish_id not in (select id from parish)
     union all select 'event.church_id', e.id from event e where e.church_id not in (select id from church)
     union all select 'event.bulletin_id', e.id from event e where e.bulletin_id is not null and e.bulletin_id not in (select id from bulletin)""")
 def _(d):
-    return quality.orphans(d.parish.where("id % 50 <> 3"), d.church, d.bulletin, d.event)
+    church, bulletin = (df.select("id", "parish_id").unionByName(df.where("id % 50 = 3").selectExpr("-id as id", "-id as parish_id"))
+                        for df in (d.church, d.bulletin))
+    return quality.orphans(d.parish, church, bulletin, d.event)
 
 
 @query("dml_upsert_results", """select parish_id as slug, case when parish_id % 3 = 0 then 'fresh' else 'stored' end as source
@@ -280,10 +295,11 @@ define("snap_church", """select c.id, c.parish_id, c.slug, c.name, c.address_lin
     c.longitude, p.homepage_url, u.bulletin_url from church c left join parish p on c.parish_id = p.id left join shown_url u on u.parish_id = c.parish_id""")
 
 
-@query("join_snapshot_church", "select c.id, p.homepage_url from church c left join (select * from parish where bulletin_provider is not null) p on c.parish_id = p.id")
+@query("join_snapshot_church", "select c.id, p.homepage_url from church_and_strays c left join parish p on c.parish_id = p.id")
 def _(d):
-    homes = d.parish.where("bulletin_provider is not null").select(F.col("id").alias("parish_id"), "homepage_url")
-    return d.church.select("id", "parish_id").join(homes, "parish_id", "left").select("id", "homepage_url")
+    homes = d.parish.select(F.col("id").alias("parish_id"), "homepage_url")
+    church = d.church.select("id", "parish_id").unionByName(d.church.where("id % 50 = 3").selectExpr("-id as id", "-id as parish_id"))
+    return church.join(homes, "parish_id", "left").select("id", "homepage_url")
 
 
 @query("join_scalar_subquery", "select c.id, u.bulletin_url from church c left join shown_url u on u.parish_id = c.parish_id")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from belfry.functions.payload import guarded_result
@@ -154,27 +156,39 @@ def _(d):
 
 
 def parish_pages(d):
-    """Homepage, bulletin page and document per parish with an 'other' or 'ecatholic' provider."""
-    c = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
-    ident = F.col("id").cast("string")
-    home, pdf = F.col("homepage_url"), c("/files/", F.col("iso"), "-", ident, ".pdf")
-    dated = d.parish.join(d.link_text.select(F.col("idx").alias("id"), "iso"), "id")
-    other = dated.where("trim(bulletin_provider) = 'other'")
-    direct = dated.where("trim(bulletin_provider) = 'ecatholic'")
-    pages = other.select(home.alias("url"), F.lit('<a href="/about">About</a><a href="/bulletins">Bulletins</a>').alias("html"))
-    pages = pages.unionByName(other.select(c(home, "/bulletins").alias("url"), c('<a href="', pdf, '">', F.col("iso"), "</a>").alias("html")))
-    pages = pages.unionByName(direct.select(c(home, "/bulletins").alias("url"), c(
-        '<a href="/x.pdf">x</a><a href="https://files.ecatholic.com/', ident, '/bulletins/', F.col("iso"), '.pdf">now</a>').alias("html")))
-    url = F.when(F.expr("trim(bulletin_provider) = 'other'"), c(home, pdf)).otherwise(
-        c("https://files.ecatholic.com/", ident, "/bulletins/", F.col("iso"), ".pdf"))
-    files = other.unionByName(direct).select("id", url.alias("url"))
-    texts = d.documents.select((F.col("doc_id")).alias("id"), F.encode("text", "UTF-8").alias("content"))
-    return pages, files.join(texts, "id").select("url", "content")
-
-
-define("fetched_row", """select p.slug as parish_slug, case when trim(bulletin_provider) = 'other' then homepage_url || '/files/' || iso || '-' || p.id || '.pdf'
-    else 'https://files.ecatholic.com/' || p.id || '/bulletins/' || iso || '.pdf' end as source_url, sha256(d.text) as content_hash
-    from parish p join link_text l on l.idx = p.id join documents d on d.doc_id = p.id where trim(bulletin_provider) in ('other', 'ecatholic')""")
+    """Link pages and the documents they lead to, for every parish of the four providers."""
+    def c(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    dated = d.parish.withColumn("iso", F.expr("cast(date_add(date '2024-01-01', cast(id % 700 as int)) as string)"))
+    ident, iso, home = F.col("id").cast("string"), F.col("iso"), F.col("homepage_url")
+    of = lambda provider: dated.where(F.trim("bulletin_provider") == provider)
+    other, direct = of("other"), of("ecatholic")
+    listed, current = (of(p).where("provider_id is not null") for p in ("parishes_online", "discover_mass"))
+    pdf = c("/files/", iso, "-", ident, ".pdf")
+    hosted = c("https://files.ecatholic.com/", ident, "/bulletins/", iso, ".pdf")
+    file = c("container.parishesonline.com/b/", iso, "-", ident, ".pdf")
+    download = c("https://bulletins.discovermass.com/download.php?bulletin=", ident)
+    page = lambda df, url, html: df.select(url.alias("url"), html.alias("html"))
+    pages = [page(other, home, F.lit('<a href="/about">About</a><a href="/bulletins">Bulletins</a>')),
+             page(other, c(home, "/bulletins"), c('<a href="', pdf, '">', iso, "</a>")),
+             page(direct, c(home, "/bulletins"), c('<a href="/x.pdf">x</a><a href="', hosted, '">now</a>')),
+             page(listed, c("https://parishesonline.com/organization/", F.col("provider_id")), c(
+                 '<a href="/find">all</a><a href="/publication-page/', F.col("provider_id"),
+                 '?selectedPublication=https%253A%252F%252F', F.replace(file, F.lit("/"), F.lit("%252F")), '">now</a>')),
+             page(current, c("https://discovermass.com/church/", F.col("provider_id"), "/"), c(
+                 '<a href="/church/">all</a><a id="bulletin-current" href="', download, '">now</a>'))]
+    url = {"other": (other, c(home, pdf)), "ecatholic": (direct, hosted), "parishes_online": (listed, c("https://", file)), "discover_mass": (current, download)}
+    files = [df.select(u.alias("url"), F.encode(c("bulletin of ", ident, " of ", iso), "UTF-8").alias("content")) for df, u in url.values()]
+    return reduce(DataFrame.unionByName, pages), reduce(DataFrame.unionByName, files)
+
+
+define("fetched_row", """select slug as parish_slug, sha256('bulletin of ' || id || ' of ' || iso) as content_hash, case trim(bulletin_provider)
+      when 'other' then homepage_url || '/files/' || iso || '-' || id || '.pdf' when 'ecatholic' then 'https://files.ecatholic.com/' || id || '/bulletins/' || iso || '.pdf'
+      when 'discover_mass' then 'https://bulletins.discovermass.com/download.php?bulletin=' || id
+      else 'https://parishesonline.com/publication-page/' || provider_id || '?selectedPublication=https%253A%252F%252Fcontainer.parishesonline.com%252Fb%252F' || iso || '-' || id || '.pdf' end as source_url
+    from (select *, cast(date '2024-01-01' + cast(id % 700 as int) as varchar)[:10] as iso from parish)
+    where trim(bulletin_provider) in ('other', 'ecatholic') or (trim(bulletin_provider) in ('discover_mass', 'parishes_online') and provider_id is not null)""")
 
 
 @query("pipe_fetch", "select parish_slug, source_url, '/' || parish_slug || '/' || content_hash || '.pdf' as pdf_path, content_hash from fetched_row")
