@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from belfry.functions.text import KEY_PARTS, event_key
+from belfry.session import written
 
 URL = "bulletin_source_url"
 REPORT_FIELDS = ["church_slug", "event_type", "event_kind", "day_of_week", "date", "start_time",
@@ -72,10 +73,25 @@ def pair_counts(counts: DataFrame, names: list[str]) -> DataFrame:
     return exploded.where(F.col("in_a") | F.col("in_b")).withColumn("jaccard", jaccard)
 
 
-def _median(frame: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Exact interpolated median from value frequencies, so equal values travel once."""
-    freq = frame.groupBy(*by, value).agg(F.count(F.lit(1)).alias("times"))
-    return freq.groupBy(*by).agg(F.percentile(value, F.lit(0.5), F.col("times")).alias(out))
+def medians(frame: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Exact median per group: the mean of the two middle values (one and the same for an odd number).
+
+    Equal values travel once, with their number.  The different values of all groups are dealt out by range, each
+    range counts how many rows precede it in its group, and only the ranges that hold a middle row look it up:
+    no task ever holds a whole group.
+    """
+    freq = frame.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times"))
+    ranged = written(freq.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id()), "value-ranges")
+    sizes = ranged.groupBy(*by, "part").agg(F.sum("times").alias("size"))
+    group = Window.partitionBy(*by)
+    first_row = F.sum("size").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*by, "part", "size", F.coalesce(first_row, F.lit(0)).alias("first"), F.sum("size").over(group).alias("total"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holding = starts.where((F.col("first") <= high) & (F.col("first") + F.col("size") > low))
+    up_to = F.col("first") + F.sum("times").over(Window.partitionBy(*by, "part").orderBy(value))
+    rows = ranged.join(holding, [*by, "part"]).withColumn("up_to", up_to)
+    middle = [F.max(F.when((F.col("up_to") > at) & (F.col("up_to") - F.col("times") <= at), F.col(value))) for at in (low, high)]
+    return rows.groupBy(*by).agg((middle[0] * 0.5 + middle[1] * 0.5).alias(out))
 
 
 def pair_metrics(pairs: DataFrame) -> DataFrame:
@@ -90,9 +106,9 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
             ("same_count", "events_in_both"), ("union_count", "events_in_union"))],
         F.avg(F.when(both, F.col("jaccard"))).alias("mean_jaccard"),
         F.count_if(both & ((F.col("a_count") == 0) != (F.col("b_count") == 0))).alias("one_sided_zero"))
-    medians = _median(pairs.where(both), ["pair"], "jaccard", "median_jaccard")
+    middle = medians(pairs.where(both), ["pair"], "jaccard", "median_jaccard")
     micro = F.try_divide(F.col("events_in_both"), F.col("events_in_union"))
-    return totals.withColumn("micro_jaccard", micro).join(medians, "pair", "left")
+    return totals.withColumn("micro_jaccard", micro).join(middle, "pair", "left")
 
 
 def one_sided_zero(pairs: DataFrame) -> DataFrame:
@@ -150,7 +166,7 @@ def run_stats(counts: DataFrame, names: list[str], summaries: DataFrame | None =
     stats = per_url.groupBy("classifier").agg(
         F.count(F.lit(1)).alias("bulletins"), F.sum("n").alias("events_total"),
         F.avg("n").alias("events_per_bulletin_mean"), F.max("n").alias("events_per_bulletin_max"))
-    stats = stats.join(_median(per_url, ["classifier"], "n", "events_per_bulletin_median"), "classifier")
+    stats = stats.join(medians(per_url, ["classifier"], "n", "events_per_bulletin_median"), "classifier")
     if summaries is None:
         return stats
     return stats.join(summaries.select("classifier", "classifier_version", "cache_hits", "cache_misses",

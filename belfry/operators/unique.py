@@ -34,21 +34,27 @@ def first_wins_null_free(df: DataFrame, keys: list[str], nullable: str, idx: str
 def greedy_unique(df: DataFrame, key_a: str, key_b: str, required: list[str], idx: str = "idx") -> DataFrame:
     """Insert-or-ignore under two unique keys: a refused row does not claim its other key.
 
-    Each pass accepts rows that come first under both keys among the undecided ones and
-    refuses rows sharing a key with an accepted row.  When no key repeats the first pass
-    is the only one.
+    Rows alone under both keys are accepted at once; only the others, and of them only ``idx`` and the keys, go
+    through rounds.  A round accepts the rows that come first under both keys among the undecided ones,
+    refuses those that share a key with an accepted row, and writes what is left once, together with what
+    it accepted.  Which rows win depends on their order, so a chain of conflicts of n rows needs up to n / 2
+    rounds; conflicts in no particular order need about log n.
     """
-    columns = df.columns
-    undecided = df.dropna(subset=[key_a, key_b, *required])
-    accepted = []
-    while True:
-        firsts = [undecided.groupBy(k).agg(F.min(idx).alias(f"first_{k}")) for k in (key_a, key_b)]
-        marked = written(undecided.join(firsts[0], key_a).join(firsts[1], key_b), "greedy")
-        first_in_both = (F.col(idx) == F.col(f"first_{key_a}")) & (F.col(idx) == F.col(f"first_{key_b}"))
-        winners = marked.where(first_in_both).select(*columns)
-        accepted.append(winners)
-        undecided = (marked.where(~first_in_both).select(*columns)
-                     .join(winners.select(key_a), key_a, "left_anti")
-                     .join(winners.select(key_b), key_b, "left_anti").select(*columns))
-        if undecided.isEmpty():
-            return reduce(DataFrame.unionByName, accepted)
+    usable = df.dropna(subset=[key_a, key_b, *required])
+    narrow = usable.select(idx, F.col(key_a).alias("a"), F.col(key_b).alias("b"))
+    repeated = [narrow.groupBy(k).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(k, F.lit(True).alias(f"many_{k}")) for k in "ab"]
+    marked = written(narrow.join(repeated[0], "a", "left").join(repeated[1], "b", "left").select(
+        idx, "a", "b", (F.col("many_a").isNull() & F.col("many_b").isNull()).alias("won")), "keys")
+    accepted, undecided = [marked.where("won").select(idx)], marked.where("not won")
+    while not undecided.isEmpty():
+        firsts = [undecided.groupBy(k).agg(F.min(idx).alias(f"first_{k}")) for k in "ab"]
+        judged = undecided.join(firsts[0], "a").join(firsts[1], "b").withColumn(
+            "won", (F.col(idx) == F.col("first_a")) & (F.col(idx) == F.col("first_b")))
+        # a key is taken if its first row won: the row that is first under one key may still lose under the other
+        taken = [judged.where("won").select(k, F.lit(True).alias(f"taken_{k}")) for k in "ab"]
+        left = judged.join(taken[0], "a", "left").join(taken[1], "b", "left").where(
+            F.col("won") | (F.col("taken_a").isNull() & F.col("taken_b").isNull())).select(idx, "a", "b", "won")
+        left = written(left, "undecided")
+        accepted.append(left.where("won").select(idx))
+        undecided = left.where("not won")
+    return usable.join(reduce(DataFrame.unionByName, accepted), idx, "left_semi").select(*df.columns)

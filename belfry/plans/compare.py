@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -41,7 +42,8 @@ def compare(events: DataFrame, manifest: DataFrame, metadata: DataFrame, names:
 def compare_runs(spark: SparkSession, root: str, metadata: DataFrame, names: list[str]) -> Report:
     """Compare stored runs by name."""
     agreement.pairs_of(names)
-    return compare(*read_runs(spark, root, names)[:2], metadata, names, read_runs(spark, root, names)[2])
+    events, manifest, summaries = read_runs(spark, root, names)
+    return compare(events, manifest, metadata, names, summaries)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -135,8 +137,105 @@ def markdown(report: Report, names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [head, tables, bulletins, events])
 
 
-def write_report(report: Report, names: list[str], path: str) -> None:
-    """JSON lines per report level, and the Markdown text."""
+# --- the report as one nested document -------------------------------------------------------------------
+# Every element of every array is a line of its own, placed by its sort columns; what opens and closes an array
+# is a line, too.  An element that is not the first of its array starts with a comma.  So a document with any
+# number of events is one distributed sort, and the files read one after the other are one JSON text.
+
+JSON_KEY = ["part", "pos", "step", "parish", "published", URL, "place", "later", "key"]
+KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
+def _json(*fields: Column) -> Column:
+    return F.to_json(F.struct(*fields), KEEP_NULLS)
+
+
+def _opened(text: Column, rest: str) -> Column:
+    """A JSON object left open, with the beginning of its next field."""
+    return F.concat(F.left(text, F.length(text) - 1), F.lit(rest))
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
+
+
+def json_lines(report: Report, names: list[str], generated_at: str) -> DataFrame:
+    """The nested report as rows (sort columns, line); sort by ``JSON_KEY`` to read it."""
+    spark = report.stats.sparkSession
+    blank, pairs = F.lit(""), agreement.pairs_of(names)
+    schema = "part int, pos bigint, step int, parish string, published string, bulletin_source_url string, place int, later boolean, key string, line string"
+
+    def fixed(part: int, pos: int, step: int, line: str) -> tuple:
+        return part, pos, step, "", "", "", 0, False, "", line
+
+    head = json.dumps({"generated_at": generated_at, "classifiers": names}, ensure_ascii=False)
+    rows = [fixed(0, 0, 0, head[:-1] + ', "per_classifier": ['), fixed(2, 0, 0, '], "pairwise": ['), fixed(4, 0, 0, "]}")]
+    for pos in range(len(pairs)):
+        rows += [fixed(3, pos, 2, '], "per_bulletin": ['), fixed(3, pos, 4, "]}")]
+
+    def placed(df: DataFrame, line: Column, *, part: int, step: int, pos: Column, place: Column = F.lit(0), later: Column = F.lit(False),
+               key: Column = blank, doc: bool = False, url: Column = blank) -> DataFrame:
+        sort = {"part": F.lit(part), "pos": pos.cast("bigint"), "step": F.lit(step), "parish": F.col("parish") if doc else blank,
+                "published": F.col("published") if doc else blank, URL: url, "place": place.cast("int"), "later": later, "key": key}
+        return df.select(*_named(sort), F.concat(F.when(later, ",").otherwise(""), line).alias("line"))
+
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("classifier"))
+    has = set(report.stats.columns)
+    get = lambda c, kind: F.col(c) if c in has else F.lit(None).cast(kind)
+    stats = _json(*_named({
+        "classifier": F.col("classifier"), "version": get("classifier_version", "string"), "bulletins": F.col("bulletins"),
+        "events_total": F.col("events_total"), "events_per_bulletin_mean": F.bround("events_per_bulletin_mean", 2),
+        "events_per_bulletin_median": F.col("events_per_bulletin_median"), "events_per_bulletin_max": F.col("events_per_bulletin_max"),
+        "cache_hits": get("cache_hits", "bigint"), "cache_misses": get("cache_misses", "bigint"),
+        "wall_seconds": get("wall_seconds", "double"), "errors": F.coalesce(get("errors", "bigint"), F.lit(0))}))
+    stats_lines = placed(report.stats, stats, part=1, step=0, pos=order, later=order > 1)
+
+    out = [spark.createDataFrame(rows, schema), stats_lines]
+    for pos, (a, b) in enumerate(pairs):
+        here = F.lit(pos)
+        mine = [df.where(F.col("pair") == pos) for df in (report.pairwise, report.one_sided, report.per_bulletin, report.events)]
+        total = _json(*_named({
+            "classifier_a": F.lit(a), "classifier_b": F.lit(b), **{c: F.col(c) for c in ("bulletins_in_both", "bulletins_only_in_a", "bulletins_only_in_b")},
+            f"events_total_{a}": F.col("events_total_a"), f"events_total_{b}": F.col("events_total_b"), "events_in_both": F.col("events_in_both"),
+            "events_in_union": F.col("events_in_union"), **{c: F.col(c) for c in ("micro_jaccard", "mean_jaccard", "median_jaccard")}}))
+        # two runs without any document have no totals: those of nothing open the object then
+        nothing = json.dumps({"classifier_a": a, "classifier_b": b, "bulletins_in_both": 0, "bulletins_only_in_a": 0, "bulletins_only_in_b": 0,
+                              f"events_total_{a}": 0, f"events_total_{b}": 0, "events_in_both": 0, "events_in_union": 0,
+                              "micro_jaccard": None, "mean_jaccard": None, "median_jaccard": None}, ensure_ascii=False)
+        opening = mine[0].agg(F.coalesce(F.max(total), F.lit(nothing)).alias("total"))
+        out.append(placed(opening, F.concat(F.lit("," if pos else ""), _opened(F.col("total"), ', "one_sided_zero_event_bulletins": [')),
+                          part=3, step=0, pos=here))
+        sided = _json(*_named({URL: F.col(URL), f"{a}_event_count": F.col("a_count"), f"{b}_event_count": F.col("b_count")}))
+        first = mine[1].groupBy("pair").agg(F.min(URL).alias("first"))  # one row, as every frame here is of one pair
+        out.append(placed(mine[1].join(F.broadcast(first), "pair"), sided, part=3, step=1, pos=here, later=F.col(URL) != F.col("first"), url=F.col(URL)))
+
+        docs = mine[2].withColumns({"parish": F.coalesce("parish_slug", blank), "published": F.coalesce("published_date", blank)})
+        first = docs.groupBy("pair").agg(F.min(F.struct("parish", "published", URL)).alias("first"))
+        about = _json(*_named({
+            URL: F.col(URL), "pdf_path": F.col("pdf_path"), "parish_slug": F.col("parish_slug"), "published_date": F.col("published_date"),
+            f"{a}_event_count": F.col("a_count"), f"{b}_event_count": F.col("b_count"), "same_count": F.col("same_count"),
+            f"only_in_{a}_count": F.col("only_a_count"), f"only_in_{b}_count": F.col("only_b_count"), "jaccard": F.col("jaccard")}))
+        each = docs.join(F.broadcast(first), "pair")
+        is_later = F.struct("parish", "published", URL) != F.col("first")
+        frame = {0: (_opened(about, ', "same": ['), is_later), 2: (F.lit(f"], {json.dumps(f'only_in_{a}')}: ["), F.lit(False)),
+                 4: (F.lit(f"], {json.dumps(f'only_in_{b}')}: ["), F.lit(False)), 6: (F.lit("]}"), F.lit(False))}
+        for place, (line, later) in frame.items():
+            out.append(placed(each, line, part=3, step=3, pos=here, place=F.lit(place), later=later, doc=True, url=F.col(URL)))
+        events = mine[3].withColumn("sort_key", F.concat_ws("\u0001", *agreement.sort_parts()))
+        firsts = events.groupBy(URL, "bucket").agg(F.min(F.struct("sort_key", F.to_json("key", KEEP_NULLS).alias("exact"))).alias("first"))
+        events = (events.join(firsts, [URL, "bucket"]).join(docs.select(URL, "parish", "published"), URL)
+                  .withColumn("exact", F.to_json("key", KEEP_NULLS)))
+        line = (F.when(F.col("bucket") == "same", _json(*_named({a: F.col("event_a"), b: F.col("event_b")})))
+                .otherwise(F.to_json(F.coalesce("event_a", "event_b"), KEEP_NULLS)))
+        place = F.when(F.col("bucket") == "same", 1).when(F.col("bucket") == "only_a", 3).otherwise(5)
+        out.append(placed(events, line, part=3, step=3, pos=here, place=place, later=F.struct("sort_key", "exact") != F.col("first"),
+                          key=F.concat_ws("\u0001", "sort_key", "exact"), doc=True, url=F.col(URL)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def write_report(report: Report, names: list[str], path: str, generated_at: str = "") -> None:
+    """Rows per report level, the nested JSON text, and the Markdown text."""
     for name in ("stats", "pairwise", "one_sided", "per_bulletin", "events"):
         write_json(getattr(report, name), f"{path}/{name}")
+    write_lines(json_lines(report, names, generated_at), f"{path}/report.json", JSON_KEY)
     write_lines(markdown(report, names), f"{path}/markdown", LINE_KEY)

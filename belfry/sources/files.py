@@ -78,10 +78,21 @@ def json_dict(spark: SparkSession, path: str, value_type: str) -> DataFrame:
                     F.col("entry.value").alias("value")))
 
 
-def variant_list(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of a JSON array file as VARIANT, for type-guarded reading."""
-    return (spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
-            .withColumn("idx", F.monotonically_increasing_id()))
+def variant_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, v): values of a JSON array file, or of JSON lines (``.jsonl``), as VARIANT for type-guarded reading.
+
+    ``idx`` follows the order of the file.  What does not parse gives nothing: of lines the line, of an array file
+    the whole file.  An array file is read by one task, lines by as many as they fill.
+    """
+    nothing = "idx bigint, v variant"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], nothing)
+    if path.rstrip("/").endswith(".jsonl"):
+        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("idx"), F.try_parse_json("value").alias("v"))
+        return lines.where(F.col("v").isNotNull())
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("all"))
+    return whole.select(F.posexplode(F.try_variant_get("all", "$", "array<variant>")).alias("idx", "v")).select(
+        F.col("idx").cast("bigint").alias("idx"), "v")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from belfry.operators import agreement
 from belfry.plans import compare
 from belfry.session import scratch_path
-from belfry.sources.runs import read_runs
+from belfry.sources import sinks
+from belfry.sources.runs import metadata_documents, read_run_documents
 from catalog.registry import define, query
 
 NAMES = ["alpha", "beta"]
@@ -149,10 +150,41 @@ def _(d):
     return stats.withColumn("events_per_bulletin_mean", F.bround("events_per_bulletin_mean", 2))
 
 
-@query("src_run_metadata", "select source_url, pdf_path, parish_slug, published_date from metadata where source_url is not null")
-def _(d):
-    earlier = d.metadata.where("idx % 3 = 0").withColumn("published_date", F.lit("1900-01-01")).withColumn("idx", F.lit(-1).cast("bigint"))
-    return agreement.run_metadata(d.metadata.unionByName(earlier))
+# metadata as JSON lines: an earlier entry of some URLs, wrong types, entries that are no objects, a broken line
+@query("src_run_metadata", """select source_url, case when idx % 7 <> 2 then pdf_path end as pdf_path, case when idx % 5 <> 1 then parish_slug end as parish_slug,
+    published_date from metadata where source_url is not null""")
+def _(d):
+    path = scratch_path(d.spark, "metadata") + "/entries.jsonl"
+    fields = {"source_url": F.col("source_url"), "pdf_path": F.col("pdf_path"), "parish_slug": F.col("parish_slug"), "published_date": F.col("published_date")}
+    line = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    line = F.when(F.expr("idx % 5 = 1"), F.regexp_replace(line, '"parish_slug":"[^"]*"', '"parish_slug":17')).otherwise(line)
+    line = F.when(F.expr("idx % 7 = 2"), F.regexp_replace(line, '"pdf_path":"[^"]*"', '"pdf_path":{"at":1}')).otherwise(line)
+    earlier = d.metadata.where("idx % 3 = 0").select(F.lit(0).alias("step"), "idx", F.to_json(F.struct("source_url", F.lit("1900-01-01").alias("published_date"))).alias("value"))
+    odd = d.nation.select(F.lit(1).alias("step"), F.col("n_nationkey").cast("bigint").alias("idx"), F.element_at(
+        F.array(*map(F.lit, ['"text"', "5", "null", '{"source_url":9}', '{"source_url":"u', "[]"])), (F.col("n_nationkey") % 6 + 1).cast("int")).alias("value"))
+    rows = earlier.unionByName(odd).unionByName(d.metadata.select(F.lit(2).alias("step"), "idx", line.alias("value")))
+    sinks.write_lines(rows.withColumnRenamed("value", "line"), path, ["step", "idx"])
+    return agreement.run_metadata(metadata_documents(d.spark, path))
+
+
+# runs as JSON documents: some manifest entries name their document by the other field, or not at all; one manifest is broken
+@query("src_runs", """select classifier, bulletin_source_url, sum(events)::bigint as n_events, sum(listed)::bigint as n_listed from (
+    select classifier, bulletin_source_url, 1 as events, 0 as listed from run_event union all select classifier, bulletin_source_url, 0, 1 from run_manifest
+    union all select 'gamma', bulletin_source_url, 1, 0 from run_event where classifier = 'alpha') group by all""")
+def _(d):
+    root = scratch_path(d.spark, "run-documents")
+    field = F.when(F.length(URL) % 3 == 0, F.concat(F.lit('{"bulletin_source_url":'), F.element_at(F.array(*map(F.lit, ["null", '""', "false"])), (F.crc32(URL) % 3 + 1).cast("int")),
+                                                    F.lit(',"source_url":"'), F.col(URL), F.lit('"}')))
+    entry = field.otherwise(F.concat(F.lit('{"source_url":7,"bulletin_source_url":"'), F.col(URL), F.lit('"}')))
+    strays = d.nation.select(F.element_at(F.array(*map(F.lit, ['{"bulletin_source_url":3,"source_url":"https://no.example.org/"}', "[1]", "{}"])), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("value"))
+    for name in NAMES:
+        sinks.write_json(d.run_event.where(F.col("classifier") == name).drop("classifier"), f"{root}/{name}/events.jsonl")
+        d.run_manifest.where(F.col("classifier") == name).select(entry.alias("value")).unionByName(strays).write.text(f"{root}/{name}/bulletins.jsonl")
+    sinks.write_json(d.run_event.where(F.col("classifier") == "alpha").drop("classifier"), f"{root}/gamma/events.jsonl")
+    d.nation.select(F.lit('[{"bulletin_source_url":"cut').alias("value")).coalesce(1).write.text(f"{root}/gamma/bulletins.json")
+    events, manifest, _ = read_run_documents(d.spark, root, [*NAMES, "gamma"])
+    one = lambda df, e, m: df.select("classifier", URL, F.lit(e).alias("e"), F.lit(m).alias("m"))
+    return one(events, 1, 0).unionByName(one(manifest, 0, 1)).groupBy("classifier", URL).agg(F.sum("e").alias("n_events"), F.sum("m").alias("n_listed"))
 
 
 def stored_runs(d):
@@ -165,13 +197,6 @@ def stored_runs(d):
     return root
 
 
-@query("src_runs", """select classifier, count(*) as n_events, (select count(*) from run_manifest m where m.classifier = e.classifier) as n_listed from run_event e group by classifier""")
-def _(d):
-    events, manifest, _ = read_runs(d.spark, stored_runs(d), NAMES)
-    return events.groupBy("classifier").agg(F.count(F.lit(1)).alias("n_events")).join(
-        manifest.groupBy("classifier").agg(F.count(F.lit(1)).alias("n_listed")), "classifier")
-
-
 @query("pipe_compare", f"""select t.*, round(x.micro, 4) as micro_jaccard, round(x.mean, 4) as mean_jaccard, round(x.median, 4) as median_jaccard from ({_TOTALS}) t,
     (select sum(same_count) / sum(union_count)::double as micro, avg(jaccard) as mean, median(jaccard) as median from both_row) x""")
 def _(d):
@@ -179,11 +204,34 @@ def _(d):
     return report.pairwise.select(*_TOTAL_COLS, "micro_jaccard", "mean_jaccard", "median_jaccard")
 
 
-@query("snk_compare_report", """select 'event' as kind, (select count(*) from key_flag) as n union all select 'document', (select count(*) from pair_row)""")
+# every document and every event of the nested report, read back from its lines
+_SIDE = "concat_ws('|', church_slug, event_type, event_kind, coalesce(day_of_week, '-'), coalesce(date, '-'), start_time, coalesce(end_time, '-'), coalesce(cancelled, false)::varchar, coalesce(page_number::varchar, '-'), coalesce(note, '-'))"
+define("report_side", f"""select classifier, bulletin_source_url, {_SIDE} as side, {_ID} from (select *, row_number() over
+    (partition by classifier, bulletin_source_url, {_ID} order by idx) as rn from run_event) where rn = 1""")
+_SAME = " and ".join(f"a.{c} is not distinct from b.{c}" for c in ["bulletin_source_url", *_ID.split(", ")])
+
+
+@query("snk_compare_report", f"""select 'document' as kind, concat_ws('|', p.bulletin_source_url, coalesce(m.pdf_path, '-'), coalesce(m.parish_slug, '-'), coalesce(m.published_date, '-'), a_count, b_count,
+      same_count, a_count - same_count, b_count - same_count) as content, round(jaccard, 4) as jaccard, 1 as n from pair_row p left join metadata m on m.source_url = p.bulletin_source_url
+    union all select kind, content, null, count(*) from (
+      select case when a.side is null or b.side is null then 'only' else 'same' end as kind, concat_ws(' / ', a.side, b.side) as content
+      from (select * from report_side where classifier = 'alpha') a full join (select * from report_side where classifier = 'beta') b on {_SAME}) group by kind, content""")
 def _(d):
     report = compare.compare(d.run_event, d.run_manifest, d.metadata, NAMES)
     path = scratch_path(d.spark, "report")
-    compare.write_report(report, NAMES, path)
-    lines = d.spark.read.text(f"{path}/markdown")
-    kind = F.when(F.col("value").startswith("- c-"), "event").when(F.col("value").startswith("#### "), "document")
-    return lines.select(kind.alias("kind")).where("kind is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    compare.write_report(report, NAMES, path, "2001-01-01T00:00:00Z")
+    lines = d.spark.read.text(f"{path}/report.json").select(F.regexp_replace("value", "^,", "").alias("j"))
+    event = ", ".join(f"{c} {t}" for c, t in zip(agreement.REPORT_FIELDS, ["string"] * 7 + ["boolean", "int", "string"]))
+    nested = event.replace(" ", ":").replace(",:", ",")
+    counts = ["alpha_event_count", "beta_event_count", "same_count", "only_in_alpha_count", "only_in_beta_count"]
+    about = f"bulletin_source_url string, pdf_path string, parish_slug string, published_date string, {', '.join(f'{c} bigint' for c in counts)}, jaccard double"
+    opened = lines.where(F.col("j").endswith(', "same": [')).select(F.from_json(F.regexp_replace("j", r', "same": \[$', "}"), about).alias("e")).select("e.*")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    documents = opened.select(F.lit("document").alias("kind"), F.concat_ws("|", URL, shown("pdf_path"), shown("parish_slug"), shown("published_date"), *counts).alias("content"),
+                              "jaccard", F.lit(1).cast("bigint").alias("n"))
+    side = lambda e: F.concat_ws("|", *[shown(f"{e}.{c}") for c in agreement.REPORT_FIELDS])
+    both = lines.where(F.col("j").startswith('{"alpha":')).select(F.from_json("j", f"alpha struct<{nested}>, beta struct<{nested}>").alias("e"))
+    one = lines.where(F.col("j").startswith('{"church_slug":')).select(F.from_json("j", event).alias("e"))
+    events = both.select(F.lit("same").alias("kind"), F.concat_ws(" / ", side("e.alpha"), side("e.beta")).alias("content")).unionByName(
+        one.select(F.lit("only").alias("kind"), side("e").alias("content")))
+    return documents.unionByName(events.groupBy("kind", "content").agg(F.lit(None).cast("double").alias("jaccard"), F.count(F.lit(1)).alias("n")))

@@ -565,7 +565,12 @@ def _(d):
                        F.col("v.corrected_address.line1").alias("corrected_line1"))
 
 
-@query("fn_prompt")
+_QUOTED = lambda x: f"'\"' || {x} || '\"'"
+
+
+@query("fn_prompt", f"""select parish_id, 'Known churches:' || chr(10) || '[' || string_agg('{{"slug":' || {_QUOTED('slug')} || ',"name":' || {_QUOTED('name')}
+      || ',"address":' || {_QUOTED(d_address())} || '}}', ',' order by id) || ']' || chr(10) || 'Today: {REF} (' || dayname(date '{REF}') || ')' || chr(10) as prompt
+    from church group by parish_id""")
 def _(d):
     from belfry.sources.documents import church_list, churches_json, prompt
     template = "Known churches:\n{churches_json}\nToday: {today_iso} ({today_day_of_week})\n"

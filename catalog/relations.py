@@ -260,7 +260,12 @@ def _(d):
     return load.load_bulletins(rows, d.parish).select("parish_id", "source_url", "id")
 
 
-@query("win_greedy_unique")
+# row by row, in order: a row is taken when neither of its keys is
+@query("win_greedy_unique", """select * from (with recursive o as (select row_number() over (order by id) as rn, id as idx, 's' || (id - id % 3) as slug, 'u' || (id - id % 4) as homepage_url from parish),
+    step as (select 0::bigint as rn, null::bigint as idx, null::varchar as slug, null::varchar as homepage_url, []::varchar[] as taken
+      union all select o.rn, case when ok then o.idx end, o.slug, o.homepage_url, case when ok then (s.taken || [o.slug, o.homepage_url])[-40:] else s.taken end
+      from (select step.rn, step.taken, not list_contains(step.taken, n.slug) and not list_contains(step.taken, n.homepage_url) as ok from step join o n on n.rn = step.rn + 1) s join o on o.rn = s.rn + 1)
+    select idx, slug, homepage_url from step where idx is not null)""")
 def _(d):
     rows = d.parish.select(F.col("id").alias("idx"), F.expr("'s' || (id - id % 3)").alias("slug"),
                            F.expr("'u' || (id - id % 4)").alias("homepage_url"), "name")

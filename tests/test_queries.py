@@ -1,6 +1,9 @@
 import itertools
+import json
 import math
+import os
 import random
+import statistics
 from datetime import date
 
 import pytest
@@ -11,6 +14,7 @@ from belfry.plans import compare, extract_run, extractors, links, process, serve
 from belfry.schemas import CHURCH, METADATA, RAW_EVENT, RESULT
 from belfry.streaming import ingest
 
+URL = "bulletin_source_url"
 EV = "classifier string, idx bigint, bulletin_source_url string, church_slug string, event_type string, event_kind string, " \
      "day_of_week string, date string, start_time string, end_time string, cancelled boolean, page_number int, note string"
 
@@ -73,6 +77,78 @@ def test_markdown_report(spark):
         "", "**Same**", "- c | mass weekly | Sunday | 8 | page 1", "", "**Only a**", "- None", "", "**Only b**", "- c | mass weekly | Sunday | 9 | page 1"]
 
 
+FIELDS = ["church_slug", "event_type", "event_kind", "day_of_week", "date", "start_time", "end_time", "cancelled", "page_number", "note"]
+
+
+def nested_report(rows, listed, meta, names):
+    """The report as plain dictionaries, run by run and document by document."""
+    run = {n: {u: [] for m, u in listed if m == n} for n in names}
+    for r in rows:
+        run[r[0]].setdefault(r[2], []).append(dict(zip(FIELDS, (*r[3:10], bool(r[10]), *r[11:]))))
+    key = lambda e: tuple("" if e[f] is None and f in ("church_slug", "event_type", "event_kind", "start_time") else e[f] for f in FIELDS[:8])
+    text = lambda k: ["" if x is None else str(x).lower() if isinstance(x, bool) else x for x in k]
+    by_key = {n: {u: {k: next(e for e in es if key(e) == k) for k in dict.fromkeys(map(key, es))} for u, es in run[n].items()} for n in names}
+    stats = []
+    for n in names:
+        sizes = [len(x) for x in by_key[n].values()]
+        stats.append({"classifier": n, "version": None, "bulletins": len(sizes), "events_total": sum(sizes), "events_per_bulletin_mean": round(statistics.fmean(sizes), 2),
+                      "events_per_bulletin_median": statistics.median(sizes), "events_per_bulletin_max": max(sizes), "cache_hits": None,
+                      "cache_misses": None, "wall_seconds": None, "errors": 0})
+    pairs = []
+    for a, b in itertools.combinations(names, 2):
+        x, y = by_key[a], by_key[b]
+        both = sorted(set(x) & set(y))
+        same, union = [len(set(x[u]) & set(y[u])) for u in both], [len(set(x[u]) | set(y[u])) for u in both]
+        ratios = [s / n if n else 1.0 for s, n in zip(same, union)]
+        docs = []
+        for u in set(x) | set(y):
+            p, q = x.get(u, {}), y.get(u, {})
+            common, only_a, only_b = (sorted(ks, key=text) for ks in (set(p) & set(q), set(p) - set(q), set(q) - set(p)))
+            total = len(set(p) | set(q))
+            path, slug, day = meta.get(u, (None, None, None))
+            docs.append({URL: u, "pdf_path": path, "parish_slug": slug, "published_date": day, f"{a}_event_count": len(p), f"{b}_event_count": len(q),
+                         "same_count": len(common), f"only_in_{a}_count": len(only_a), f"only_in_{b}_count": len(only_b), "jaccard": round(len(common) / total if total else 1.0, 4),
+                         "same": [{a: p[k], b: q[k]} for k in common], f"only_in_{a}": [p[k] for k in only_a], f"only_in_{b}": [q[k] for k in only_b]})
+        pairs.append({"classifier_a": a, "classifier_b": b, "bulletins_in_both": len(both), "bulletins_only_in_a": len(set(x) - set(y)),
+                      "bulletins_only_in_b": len(set(y) - set(x)), f"events_total_{a}": sum(len(x[u]) for u in both), f"events_total_{b}": sum(len(y[u]) for u in both),
+                      "events_in_both": sum(same), "events_in_union": sum(union), "micro_jaccard": round(sum(same) / sum(union), 4) if sum(union) else None,
+                      "mean_jaccard": round(statistics.fmean(ratios), 4) if ratios else None, "median_jaccard": round(statistics.median(ratios), 4) if ratios else None,
+                      "one_sided_zero_event_bulletins": [{URL: u, f"{a}_event_count": len(x[u]), f"{b}_event_count": len(y[u])} for u in both if (not x[u]) != (not y[u])],
+                      "per_bulletin": sorted(docs, key=lambda d: (d["parish_slug"] or "", d["published_date"] or "", d[URL]))})
+    return {"generated_at": "now", "classifiers": names, "per_classifier": stats, "pairwise": pairs}
+
+
+def test_nested_report(spark, scratch):
+    rng = random.Random(3)
+    rows = [ev(rng.choice(['a', 'b "x"', "c"]), i, f"u{rng.randrange(6)}", rng.choice(["8", "9 é", "10"]), i, rng.choice(["Sunday", None])) for i in range(60)]
+    rows += [ev("a", 90, "u9", "8", 1, ""), ev("a", 91, "u9", "8", 2, None), ev("c", 92, "u9", "8", 3, "")]
+    listed = [("a", "u7"), ('b "x"', "u7"), ("c", "u8"), ("a", "u1"), ('b "x"', "u9")]
+    names = ["a", 'b "x"', "c"]
+    meta = [(0, "p", "u1", "/1", None, None, None, "2026-01-04"), (1, "p", "u2", None, None, None, None, "2026-01-02"), (2, "o", "u7", "/7", None, None, None, None)]
+    known = {m[2]: (m[3], m[1], m[7]) for m in meta}
+    events, manifest = runs(spark, rows, listed)
+    report = compare.compare(events, manifest, spark.createDataFrame(meta, METADATA), names)
+    path = scratch("report")
+    compare.write_report(report, names, path, "now")
+    folder = path.removeprefix("file:") + "/report.json"
+    text = "".join(open(f"{folder}/{f}", encoding="utf-8").read() for f in sorted(os.listdir(folder)) if f.startswith("part"))
+    assert json.loads(text) == nested_report(rows, listed, known, names)
+    none = compare.compare(events.limit(0), manifest.limit(0), spark.createDataFrame(meta, METADATA), names)
+    lines = [r["line"] for r in compare.json_lines(none, names, "now").orderBy(*compare.JSON_KEY).collect()]
+    assert [p["per_bulletin"] for p in json.loads("".join(lines))["pairwise"]] == [[], [], []]
+
+
+def test_medians(spark):
+    rng = random.Random(12)
+    rows = [(g, rng.choice([0.5, rng.random(), 1.0])) for g in range(5) for _ in range(g * 40 + 1)] + [(3, None)]
+    got = agreement.medians(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", "m")
+    want = {g: statistics.median(v for h, v in rows if h == g and v is not None) for g in range(5)}
+    assert {r["g"]: r["m"] for r in got.collect()} == pytest.approx(want, abs=1e-15)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect" not in plan
+    assert agreement.medians(spark.createDataFrame([], "g int, v double"), ["g"], "v", "m").count() == 0
+
+
 # --- serving ---------------------------------------------------------------------------------
 
 SNAP = "id bigint, church_id bigint, event_type string, event_kind string, day_of_week string, date string, start_time int, end_time int, " \

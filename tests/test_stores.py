@@ -262,3 +262,39 @@ def test_view_makes_only_touched_buckets_anew(spark, scratch):
         ingest.published(spark, scratch("none"))
     empty = ingest.publish_view(*tables, scratch("log"), scratch("view"), "x")
     assert not empty["passed"] and empty["version"] == 0
+
+
+# --- JSON documents --------------------------------------------------------------------------------
+
+def put(path, text):
+    os.makedirs(os.path.dirname(local(path)), exist_ok=True)
+    with open(local(path), "w", encoding="utf-8") as out:
+        out.write(text)
+
+
+def test_run_documents_are_type_guarded(spark, scratch):
+    from belfry.sources.runs import metadata_documents, read_run_documents
+    root = scratch("documents")
+    put(f"{root}/a/events.json", json.dumps([
+        {"bulletin_source_url": "u1", "church_slug": 5, "start_time": "8", "day_of_week": 3, "cancelled": 1, "page_number": 2, "note": "n"},
+        {"bulletin_source_url": 7, "church_slug": "c"}, "text", None, [1], {"church_slug": "c"}, {"bulletin_source_url": "u2", "page_number": "x"}]))
+    put(f"{root}/a/bulletins.json", json.dumps([{"bulletin_source_url": "u1"}, {"bulletin_source_url": "", "source_url": "u3"}, {"source_url": "u4", "event_count": 2},
+                                                {"bulletin_source_url": 5, "source_url": "u5"}, {"bulletin_source_url": None, "source_url": 6}, 4]))
+    put(f"{root}/a/run.json", json.dumps({"classifier_version": "v1", "cache_hits": 3, "wall_seconds": 1.5, "errors": [{"x": 1}, {"x": 2}]}))
+    put(f"{root}/b/events.jsonl", '{"bulletin_source_url":"u1"}\n{broken\n5\n{"bulletin_source_url":"u9"}\n')
+    put(f"{root}/b/bulletins.json", '[{"bulletin_source_url": "cut')
+    put(f"{root}/b/run.json", "{")
+    events, manifest, summary = read_run_documents(spark, root, ["a", "b"])
+    got = {(r["classifier"], r["bulletin_source_url"]): r for r in events.collect()}
+    assert set(got) == {("a", "u1"), ("a", "u2"), ("b", "u1"), ("b", "u9")}
+    one = got["a", "u1"]
+    assert (one["church_slug"], one["start_time"], one["day_of_week"], one["cancelled"], one["page_number"], one["note"]) == ("5", "8", None, True, 2, "n")
+    assert got["a", "u2"]["page_number"] is None and got["a", "u2"]["cancelled"] is False
+    assert sorted((r["classifier"], r["bulletin_source_url"], r["event_count"]) for r in manifest.collect()) == [("a", "u1", None), ("a", "u3", None), ("a", "u4", 2)]
+    assert [(r["classifier"], r["classifier_version"], r["cache_hits"], r["errors"], r["wall_seconds"]) for r in summary.collect()] == [("a", "v1", 3, 2, 1.5)]
+    with pytest.raises(FileNotFoundError, match="'c'"):
+        read_run_documents(spark, root, ["a", "c"])
+    put(f"{root}/metadata.json", json.dumps([{"source_url": "u1", "parish_slug": 4, "published_date": "d"}, {"source_url": 1}, "x", {"source_url": "u1", "pdf_path": "/p"}]))
+    assert [(r["idx"], r["source_url"], r["pdf_path"], r["parish_slug"], r["published_date"]) for r in metadata_documents(spark, f"{root}/metadata.json").collect()] == [
+        (0, "u1", None, None, "d"), (3, "u1", "/p", None, None)]
+    assert metadata_documents(spark, f"{root}/none.json").count() == 0
