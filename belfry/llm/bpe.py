@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
+import numpy as np
+
 END = "</w>"
 PAIRS_KEPT = 100_000
 NEVER = -1.0  # rank of what no merge made: single symbols
@@ -190,3 +192,135 @@ class Merger:
             ends.discard(top)
             ends.add(max(0, top - self.sizes.get(last[top - 1], 1)))
         return ends.pop()
+
+
+class SeamTable:
+    """Which pairs of tokens stay whole side by side, as an open hash table that answers for many pairs at once."""
+
+    def __init__(self, bits: int = 20):
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.zeros(1 << self.bits, dtype=bool)
+        self.held = 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, known) of the keys."""
+        values, known = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+        open_, at = np.arange(len(keys)), self._home(keys)
+        while len(open_):
+            there = self.keys[at]
+            hit = there == keys[open_]
+            values[open_[hit]], known[open_[hit]] = self.values[at[hit]], True
+            on = ~hit & (there != -1)
+            open_, at = open_[on], (at[on] + 1) & self.mask
+        return values, known
+
+    def put(self, keys: np.ndarray, values: list[bool]) -> None:
+        """Keep new keys; a table that would be more than half full starts over."""
+        if self.held + len(keys) > self.mask // 2:
+            self.clear()
+            keys = keys[:self.mask // 2]
+        self.held += len(keys)
+        for key, at, value in zip(keys.tolist(), self._home(keys).tolist(), values):
+            while self.keys[at] != -1:
+                at = (at + 1) & self.mask
+            self.keys[at], self.values[at] = key, value
+
+
+class WordCounter:
+    """The prefix table of :class:`Merger` for many words at once: place by place, all words in step.
+
+    Words are of single-character symbols that tokens hold.  A trie gives the tokens that start at every place; the words
+    then advance together, and each takes the longest token that ends at its place and stays whole beside the
+    last token before it.
+    """
+
+    def __init__(self, merger: Merger):
+        self.merger = merger
+        letters = sorted({c for t in merger.tokens for c in t})
+        self.code = np.full(0x110000, -1, dtype=np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.size, step = len(letters), {}
+        self.texts = ["", *letters]  # node 0: nothing; then one node per letter, and one per further beginning of a token
+        for token in sorted(merger.tokens):
+            node = int(self.code[ord(token[0])]) + 1
+            for i, c in enumerate(token[1:], 1):
+                key = node * self.size + int(self.code[ord(c)])
+                node = step.get(key)
+                if node is None:
+                    node = step[key] = len(self.texts)
+                    self.texts.append(token[:i + 1])
+        self.keys = np.array(sorted(step), dtype=np.int64)
+        self.targets = np.array([step[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.is_token = np.array([t in merger.tokens for t in self.texts])
+        self.seams = SeamTable()
+
+    def _stay_whole(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left * len(self.texts) + right
+        values, known = self.seams.get(keys)
+        if not known.all():
+            fresh, back = np.unique(keys[~known], return_inverse=True)
+            lefts, rights = np.divmod(fresh, len(self.texts))
+            found = [self.merger.beside(self.texts[a], self.texts[b]) for a, b in zip(lefts.tolist(), rights.tolist())]
+            self.seams.put(fresh, found)
+            values[~known] = np.array(found)[back]
+        return values
+
+    def _tokens(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, length, node) of every token of two letters and more; ``ends`` is each place's word end."""
+        places, nodes, length = np.arange(len(codes)), codes + 1, 1
+        out = []
+        while len(self.keys):
+            on = places + length < ends[places]
+            places, nodes = places[on], nodes[on]
+            if not len(places):
+                break
+            wanted = nodes * self.size + codes[places + length]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            hit = self.keys[at] == wanted
+            places, nodes, length = places[hit], self.targets[at[hit]], length + 1
+            whole = self.is_token[nodes]
+            out.append((places[whole], np.full(int(whole.sum()), length), nodes[whole]))
+        return tuple(np.concatenate(x) if out else np.zeros(0, dtype=np.int64) for x in (zip(*out) if out else ((), (), ())))
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """Number of tokens of each word."""
+        sizes = np.array(list(map(len, words)), dtype=np.int64)
+        codes = self.code[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)].astype(np.int64)
+        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        step = np.arange(len(codes)) - start + 1
+        first, length, node = self._tokens(codes, start + np.repeat(sizes, sizes))
+        end = first + length - 1
+        order = np.lexsort((-length, end, step[end]))  # by step, then word, then the longest token first
+        first, length, node, end = first[order], length[order], node[order], end[order]
+        most = int(sizes.max(initial=0))
+        bounds = np.searchsorted(step[end], np.arange(most + 2))
+        by_step = np.argsort(step, kind="stable")
+        places = np.searchsorted(step[by_step], np.arange(most + 2))
+        last, taken, count = codes + 1, np.ones(len(codes), dtype=np.int64), np.zeros(len(codes) + 1, dtype=np.int64)
+        for i in range(1, most + 1):
+            low, high = bounds[i], bounds[i + 1]
+            if low < high:
+                heads = low + np.flatnonzero(np.r_[True, end[low + 1:high] != end[low:high - 1]])
+                many = np.diff(np.r_[heads, high])
+                nth = 0
+                while len(heads):
+                    tried = heads + nth
+                    before = first[tried] - 1
+                    left = np.where(first[tried] > start[end[tried]], last[before], 0)
+                    fits = self._stay_whole(left, node[tried])
+                    won = tried[fits]
+                    last[end[won]], taken[end[won]] = node[won], length[won]
+                    nth += 1
+                    on = ~fits & (many > nth)
+                    heads, many = heads[on], many[on]
+            here = by_step[places[i]:places[i + 1]]
+            before = here - taken[here]
+            count[here] = 1 + np.where(before >= start[here], count[before], 0)
+        return count[np.cumsum(sizes) - 1] if len(words) else np.zeros(0, dtype=np.int64)

@@ -7,7 +7,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from belfry.llm import token_counts, word_bpe
+from belfry.llm import bpe, token_counts, word_bpe
 
 ALPHABET = "abcdeéÉ İΣς'sstreve \n\t  é日本語'llm!?--<|endoftext|>0123ßﬁ▁\x85\x00🙂"
 
@@ -82,6 +82,20 @@ def test_counts_of_every_prefix(piece_path, texts):
         assert table[ours.fit(t, 7)] <= 7
 
 
+def test_counts_in_step(piece_path, monkeypatch):
+    """Many texts at once, small blocks and tables, parts on both sides of the longest that is counted in step."""
+    r = random.Random(3)
+    theirs = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    made = ["a" * 70 + " " + "the" * 40, "日本" * 100, "x" * 65, "é" * 64, "ab" * 32, "\x00\x01", "▁▁ ▁", " " * 200, "", "a", "ab" * 3000]
+    made += ["".join(r.choice("aeinorstlmÀéйд,.-' ") for _ in range(r.randrange(1, 80))) for _ in range(800)]
+    want = [len(theirs.encode(t)) for t in made]
+    ours = token_counts.PrefixCounter(piece_path)
+    assert ours.totals(made) == want == [ours.total(t) for t in made] and ours.totals([]) == []
+    monkeypatch.setattr(token_counts, "BLOCK", 7)
+    ours.in_step.seams, ours._units, ours._parts = bpe.SeamTable(6), bpe.Kept(20), bpe.Kept(20)
+    assert ours.totals(made) == want
+
+
 def test_columns(spark, odd_docs, word_path, piece_path):
     n = odd_docs.count()
     coded = odd_docs.select("doc_id", word_bpe.coding_digest(F.col("text"), word_path).alias("c")).collect()
