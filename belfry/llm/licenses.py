@@ -18,9 +18,10 @@ from belfry.session import written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ACCEPT = 0.7
+MOST_WORDS = 64  # of a template
 NEAR = 2  # diagonals this close belong to one span
 
-# Base phrases, and this method's own templates (at most 63 words each).
+# Base phrases, and this method's own templates (at most MOST_WORDS words each).
 BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
 OWN = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
@@ -36,6 +37,9 @@ OWN = [
 
 def templates(df: DataFrame, base: list[tuple[str, str]] = BASE, own: list[tuple[str, str]] = OWN) -> DataFrame:
     """One row per word pair of every template; its size is fixed by the two lists."""
+    long = [phrase for _, phrase in base + own if len(phrase.split(" ")) > MOST_WORDS]
+    if long:  # one bit of a 64-bit word per pair: more would fall on those of other places
+        raise ValueError(f"templates of more than {MOST_WORDS} words: {long}")
     rows = [(n, label, n < len(base), i, len(words) - 1, words[i], words[i + 1])
             for n, (label, phrase) in enumerate(base + own) for words in [phrase.split(" ")] for i in range(len(words) - 1)]
     schema = "template int, label string, is_base boolean, at int, pairs int, w0 string, w1 string"

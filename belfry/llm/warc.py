@@ -128,8 +128,12 @@ def planned_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES
 def train(pages: DataFrame, date: str) -> bytes:
     """A dictionary from a bounded sample of the records to be archived (collected: at most 400 x 16 KiB)."""
     import zstandard
-    sample = (pages.select("page_id", "url", F.substring(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 1, SAMPLE_BYTES).alias("p"))
-              .orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS).collect())
+    # every task hands the driver its smallest hashes; contents are read for the chosen ids (a bounded broadcast) only
+    chosen = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
+    sample = (pages.join(F.broadcast(chosen.withColumnRenamed("page_id", "chosen")), F.col("page_id").eqNullSafe(F.col("chosen")))
+              .select("page_id", "url", F.substring(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 1, SAMPLE_BYTES).alias("p"))
+              .limit(SAMPLE_RECORDS).collect())
+    sample.sort(key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["url"] or "", bytes(r["p"])))
     records = [record_bytes(r["page_id"], r["url"], bytes(r["p"]), hashlib.sha1(bytes(r["p"])).hexdigest(), None, date) for r in sample]
     pieces = [rec[i:i + 4096] for rec in records for i in range(0, len(rec), 4096)]
     try:

@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -148,6 +149,15 @@ def test_base_phrases(spark, odd_docs):
     assert rows[23].labels == "gpl" and 0.7 <= rows[23].score <= 1 and licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_templates_that_fit(spark):
+    words = [f"w{i}" for i in range(64)]
+    docs = spark.createDataFrame([(1, "x " + " ".join(words) + " y"), (2, " ".join(words[:40]))], "doc_id long, text string")
+    scan = lambda own: {r.doc_id: r.score for r in licenses.license_scan(docs, own=[("long", own)]).collect()}
+    assert scan(" ".join(words)) == {1: 1.0, 2: 0.0}
+    with pytest.raises(ValueError, match="more than 64"):
+        scan(" ".join(words + ["z"]))
+
+
 def test_leaks(spark, odd_docs):
     item = " ".join(f"b{i}" for i in range(40))
     edited = item.replace("b7 ", "x ").replace("b21 ", "").replace("b33 ", "b33 y ")
