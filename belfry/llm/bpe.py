@@ -15,6 +15,7 @@ from itertools import islice
 import numpy as np
 
 END = "</w>"
+ENDED = 0xE000  # the symbol that ends a word stands this far up (private use), so that every symbol is one character
 PAIRS_KEPT = 100_000
 NEVER = -1.0  # rank of what no merge made: single symbols
 
@@ -40,30 +41,23 @@ class Kept:
 
 
 class Merger:
-    """``rank(left, right)`` is the merge's priority (lower first) or None; ``tokens`` all token texts."""
+    """``rank(left, right)`` is the merge's priority (lower first) or None; ``tokens`` all token texts.
+
+    Every symbol is one character.
+    """
 
     def __init__(self, rank: Callable[[str, str], int | None], tokens: Iterable[str]):
         self.rank, self.tokens = rank, set(tokens)
-        self.sizes = {t: len(self.split(t)) for t in self.tokens}
-        self.lookahead = max(self.sizes.values(), default=1)
+        self.lookahead = max(map(len, self.tokens), default=1)
         self._beside = Kept(PAIRS_KEPT)
         self._made: dict[str, tuple[float, str, str] | None] = {}
         ends: dict[str, set[int]] = {}
         for t in self.tokens:
-            extra = len(END) if t.endswith(END) else 0
-            if len(t) > 1 + extra:
-                ends.setdefault(t[-3 - extra:], set()).add(len(t))
+            if len(t) > 1:
+                ends.setdefault(t[-3:], set()).add(len(t))
         #: lengths, longest first, of the tokens that end in these three characters (or are the last two of them)
         self.ends = {end: tuple(sorted(found | ends.get(end[1:], set()), reverse=True)) for end, found in ends.items()}
 
-    @staticmethod
-    def split(token: str) -> list[str]:
-        """Symbols of a token: characters, the word end joined to the last one."""
-        if token.endswith(END) and len(token) > len(END):
-            head = list(token[:-len(END)])
-            return head[:-1] + [head[-1] + END]
-        return list(token)
-
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge by rank, leftmost first; only for short inputs."""
         parts = list(symbols)
@@ -80,7 +74,7 @@ class Merger:
         try:
             return self._made[token]
         except KeyError:
-            parts, made = self.split(token), (NEVER, "", "")
+            parts, made = list(token), (NEVER, "", "")
             while len(parts) > 1:
                 ranked = [(r, i) for i in range(len(parts) - 1) if (r := self.rank(parts[i], parts[i + 1])) is not None]
                 if not ranked:
@@ -124,35 +118,25 @@ class Merger:
 
     def last_tokens(self, symbols: list[str], last: list[str] | None = None) -> list[str]:
         """Last token of every non-empty prefix, from those of the first prefixes on (``last`` grows)."""
-        whole, size = "".join(symbols), len(symbols)  # only the last symbol may be longer than one character
+        whole = "".join(symbols)
         tokens, pairs, beside, ends = self.tokens, self._beside.young, self.beside, self.ends
         last = [] if last is None else last
-        for i in range(len(last) + 1, size + 1):
-            end = i if i < size else len(whole)
+        for i in range(len(last) + 1, len(whole) + 1):
             # lengths worth trying: of tokens with the same last three characters, or else two
-            for n in ends.get(whole[max(0, i - 3):end]) or ends.get(whole[max(0, i - 2):end], ()):
-                n -= end - i  # in symbols
-                if not 1 < n <= i:
+            for n in ends.get(whole[max(0, i - 3):i]) or ends.get(whole[max(0, i - 2):i], ()):
+                if n > i:
                     continue
-                token = whole[i - n:end]
+                token = whole[i - n:i]
                 if token in tokens:
                     left = last[i - n - 1] if n < i else ""
                     known = pairs.get((left, token))
                     if known or (known is None and beside(left, token)):
                         break
             else:
-                token = symbols[i - 1]
+                token = whole[i - 1]
             last.append(token)
         return last
 
-    def prefixes(self, symbols: list[str]) -> tuple[list[str], list[int]]:
-        """Last token and token count of every non-empty prefix."""
-        last, sizes = self.last_tokens(symbols), self.sizes
-        count = [0]
-        for i, token in enumerate(last, 1):
-            count.append(count[i - sizes.get(token, 1)] + 1)
-        return last, count[1:]
-
     def encode(self, symbols: Iterable[str]) -> list[str]:
         return list(self.stream(symbols))
 
@@ -178,10 +162,10 @@ class Merger:
             held += more
 
     def _between(self, last: list[str], start: int, end: int) -> list[str]:
-        out, sizes = [], self.sizes
+        out = []
         while end > start:
             out.append(last[end - 1])
-            end -= sizes.get(last[end - 1], 1)
+            end -= len(last[end - 1])
         return out[::-1]
 
     def _meet(self, last: list[str]) -> int:
@@ -190,7 +174,7 @@ class Merger:
         while len(ends) > 1:
             top = max(ends)
             ends.discard(top)
-            ends.add(max(0, top - self.sizes.get(last[top - 1], 1)))
+            ends.add(max(0, top - len(last[top - 1])))
         return ends.pop()
 
 
@@ -233,10 +217,10 @@ class SeamTable:
             self.keys[at], self.values[at] = key, value
 
 
-class WordCounter:
-    """The prefix table of :class:`Merger` for many words at once: place by place, all words in step.
+class WordsInStep:
+    """:class:`Merger`'s last tokens for many whole words at once: place by place, all words in step.
 
-    Words are of single-character symbols that tokens hold.  A trie gives the tokens that start at every place; the words
+    Words are made of symbols that tokens hold.  A trie gives the tokens that start at every place; the words
     then advance together, and each takes the longest token that ends at its place and stays whole beside the
     last token before it.
     """
@@ -289,38 +273,51 @@ class WordCounter:
             out.append((places[whole], np.full(int(whole.sum()), length), nodes[whole]))
         return tuple(np.concatenate(x) if out else np.zeros(0, dtype=np.int64) for x in (zip(*out) if out else ((), (), ())))
 
-    def counts(self, words: list[str]) -> np.ndarray:
-        """Number of tokens of each word."""
+    def _last_tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per place of all words together: node and length of the last token there; first and last place of each word."""
         sizes = np.array(list(map(len, words)), dtype=np.int64)
-        codes = self.code[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)].astype(np.int64)
-        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        codes = self.code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+        word_end = np.cumsum(sizes)
+        start = np.repeat(word_end - sizes, sizes)
         step = np.arange(len(codes)) - start + 1
-        first, length, node = self._tokens(codes, start + np.repeat(sizes, sizes))
+        first, length, node = self._tokens(codes, np.repeat(word_end, sizes))
         end = first + length - 1
         order = np.lexsort((-length, end, step[end]))  # by step, then word, then the longest token first
         first, length, node, end = first[order], length[order], node[order], end[order]
         most = int(sizes.max(initial=0))
         bounds = np.searchsorted(step[end], np.arange(most + 2))
-        by_step = np.argsort(step, kind="stable")
-        places = np.searchsorted(step[by_step], np.arange(most + 2))
-        last, taken, count = codes + 1, np.ones(len(codes), dtype=np.int64), np.zeros(len(codes) + 1, dtype=np.int64)
-        for i in range(1, most + 1):
+        last, taken = codes + 1, np.ones(len(codes), dtype=np.int64)
+        for i in range(2, most + 1):
             low, high = bounds[i], bounds[i + 1]
-            if low < high:
-                heads = low + np.flatnonzero(np.r_[True, end[low + 1:high] != end[low:high - 1]])
-                many = np.diff(np.r_[heads, high])
-                nth = 0
-                while len(heads):
-                    tried = heads + nth
-                    before = first[tried] - 1
-                    left = np.where(first[tried] > start[end[tried]], last[before], 0)
-                    fits = self._stay_whole(left, node[tried])
-                    won = tried[fits]
-                    last[end[won]], taken[end[won]] = node[won], length[won]
-                    nth += 1
-                    on = ~fits & (many > nth)
-                    heads, many = heads[on], many[on]
-            here = by_step[places[i]:places[i + 1]]
-            before = here - taken[here]
-            count[here] = 1 + np.where(before >= start[here], count[before], 0)
-        return count[np.cumsum(sizes) - 1] if len(words) else np.zeros(0, dtype=np.int64)
+            if low == high:
+                continue
+            heads = low + np.flatnonzero(np.r_[True, end[low + 1:high] != end[low:high - 1]])
+            many = np.diff(np.r_[heads, high])
+            nth = 0
+            while len(heads):
+                tried = heads + nth
+                left = np.where(first[tried] > start[end[tried]], last[first[tried] - 1], 0)
+                fits = self._stay_whole(left, node[tried])
+                won = tried[fits]
+                last[end[won]], taken[end[won]] = node[won], length[won]
+                nth += 1
+                on = ~fits & (many > nth)
+                heads, many = heads[on], many[on]
+        return last, taken, word_end - sizes, word_end - 1
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of all words' tokens, one word after the other, and how many each word has."""
+        last, taken, start, at = self._last_tokens(words)
+        counts = np.zeros(len(words), dtype=np.int64)
+        found = []
+        open_ = np.arange(len(words))
+        while len(open_):
+            found.append((open_, counts[open_].copy(), last[at[open_]]))
+            counts[open_] += 1
+            at[open_] -= taken[at[open_]]
+            open_ = open_[at[open_] >= start[open_]]
+        nodes = np.zeros(int(counts.sum()), dtype=np.int64)
+        ends = np.cumsum(counts)
+        for word, nth, node in found:  # nth from the word's end
+            nodes[ends[word] - 1 - nth] = node
+        return nodes, counts

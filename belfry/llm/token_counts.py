@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from belfry.llm.bpe import Kept, Merger, WordCounter
+from belfry.llm.bpe import Kept, Merger, WordsInStep
 
 SPACE = "▁"
 UNITS_KEPT = 100_000  # units and parts whose counts are kept (twice as many)
@@ -43,7 +43,7 @@ class PrefixCounter:
         self.units = regex.compile(f"{SPACE}*{inside}+|{SPACE}+|.", regex.DOTALL)
         self.beside = {p[i:i + 2] for p in order for i in range(len(p) - 1)}
         self._units, self._parts = Kept(UNITS_KEPT), Kept(UNITS_KEPT)
-        self.in_step = WordCounter(self.merger)
+        self.in_step = WordsInStep(self.merger)
 
     def _parts_of(self, unit: str) -> list[str]:
         """The unit, cut where no piece can lie."""
@@ -68,7 +68,7 @@ class PrefixCounter:
         known = {p: n for p in parts if (n := self._parts.get(p)) is not None}
         rest = [p for p in parts if p not in known]
         together = [p for p in rest if 1 < len(p) <= SHORT]
-        fresh = dict(zip(together, self.in_step.counts(together).tolist()))
+        fresh = dict(zip(together, self.in_step.encode(together)[1].tolist()))
         fresh |= {p: self.part_counts(p)[-1] for p in rest if p not in fresh}
         for part, n in fresh.items():
             if len(part) <= SHORT:

@@ -1,9 +1,10 @@
 """BPE encoding and decoding of the word-end vocabulary as bounded-lookahead streams.
 
-Text is read word by word (white space never joins tokens); every piece of a word passes through
-:meth:`Merger.stream`, which emits a token once no continuation can change it.  Decoding is a state machine over
-ids: it gives the library's text (token texts joined by one space), and the spelling that the ids stand
-for, bytes to text as soon as characters are complete.  Results of words are kept up to a fixed number.
+Text is read word by word (white space never joins tokens).  A piece of a word is a stream of symbols, whose tokens
+leave once no continuation can change them (:meth:`Merger.stream`); of pieces that end within one window that is at
+their end, and many of them advance in step.  Decoding is a state machine over ids: it gives the library's
+text (token texts joined by one space), and the spelling that the ids stand for, bytes to text as soon as
+characters are complete.  Results of words are kept up to a fixed number.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; special strings inside a
 text become their special ids, as in the library; unknown ids raise ``KeyError`` while decoding;
@@ -16,6 +17,7 @@ import codecs
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -27,11 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from belfry.llm.bpe import END, Kept, Merger
+from belfry.llm.bpe import END, ENDED, Kept, Merger, WordsInStep
 
-WORDS_KEPT, KEPT_LENGTH = 80_000, 64  # words and pieces whose results are kept (twice as many), and their longest
-BLOCK = 4096      # words, or ids of one long word, handled at once
-BATCH_IDS = 1 << 18  # ids in one batch of rows
+WORDS_KEPT, WINDOW = 80_000, 64  # words and pieces whose results are kept (twice as many); longest that are one window
+BLOCK = 1 << 15   # words of neighbouring texts handled at once
+IDS = 4096        # ids of a longer word handled at once
+BATCH_CHARS = 1 << 20  # characters of the texts in one batch of rows
 
 
 def byte_letters() -> dict[int, str]:
@@ -41,13 +44,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def ended(token: str) -> str:
+    """A token with its word end, if it has one, in the last symbol."""
+    return token[:-len(END) - 1] + chr(ENDED + ord(token[-len(END) - 1])) if token.endswith(END) and len(token) > len(END) else token
+
+
+Part = tuple[tuple[int, ...], str, str, str]  # ids, ids as text, decoded text, spelling
+
+
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as source:
             spec = json.load(source)
         self.ids: dict[str, int] = spec["model"]["vocab"]
         merges = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
-        self.merger = Merger(lambda a, b: merges.get((a, b)), self.ids)
+        whole = {(ended(a), ended(b)): i for (a, b), i in merges.items()}
+        self.id_of = {ended(t): i for t, i in self.ids.items()}
+        self.merger = Merger(lambda a, b: whole.get((a, b)), self.id_of)
+        self.in_step = WordsInStep(self.merger)
+        self.id_of_node = np.array([self.id_of.get(t, -1) for t in self.in_step.texts])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -60,64 +75,101 @@ class WordBpe:
             """Bytes of a token's spelling: the end of a word and special strings bring a space."""
             if token in self.special:
                 return token.encode("utf-8") + b" "
-            ended = token.endswith(END) and len(token) > len(END)
-            return bytes(of_letter[c] for c in (token[:-len(END)] if ended else token)) + b" " * ended
+            last = token.endswith(END) and len(token) > len(END)
+            return bytes(of_letter[c] for c in (token[:-len(END)] if last else token)) + b" " * last
 
         #: what each id adds to the spelling
         self.raw = {i: raw(t) for i, t in self.texts.items()}
-        self._pieces, self._written = Kept(WORDS_KEPT), Kept(WORDS_KEPT)
+        self.table = str.maketrans({chr(b): c for b, c in self.letters.items()})
+        self._pieces, self._parts = Kept(WORDS_KEPT), Kept(WORDS_KEPT)
 
-    def _piece_ids(self, piece: str) -> Iterator[int]:
-        raw = piece.encode("utf-8", "replace")
-        last, letters, ids = len(raw) - 1, self.letters, self.ids
-        for token in self.merger.stream(letters[b] if i < last else letters[b] + END for i, b in enumerate(raw)):
-            yield ids[token]
+    def _symbols(self, piece: str) -> str:
+        letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.table)
+        return letters[:-1] + chr(ENDED + ord(letters[-1]))
 
-    def _word_ids(self, run: str) -> Iterator[int]:
-        parts = self.split_special.split(run) if self.split_special else [run]
-        for part in parts:
+    def _pieces_of(self, run: str) -> list[str | int]:
+        """Folded pieces of a word, and the ids of special strings in it."""
+        out: list[str | int] = []
+        for part in (self.split_special.split(run) if self.split_special else [run]):
             if part in self.special:
-                yield self.special[part]
+                out.append(self.special[part])
                 continue
             folded = unicodedata.normalize("NFC", part)
             folded = folded.lower() if folded.isascii() else "".join(c.lower() for c in folded)
-            for found in self.pieces.finditer(folded):
-                piece = found.group()
-                if len(piece) > KEPT_LENGTH:
-                    yield from self._piece_ids(piece)
+            out += self.pieces.findall(folded)
+        return out
+
+    def _streamed(self, run: str) -> Iterator[int]:
+        """Ids of a long word, as they become final."""
+        for piece in self._pieces_of(run):
+            if isinstance(piece, int):
+                yield piece
+                continue
+            for token in self.merger.stream(self._symbols(piece)):
+                yield self.id_of[token]
+
+    def _part(self, ids: Iterable[int], speller: Speller) -> Part:
+        ids = tuple(ids)
+        return ids, " ".join(map(str, ids)), "".join(self.decoded(ids)), speller.read(ids)
+
+    def _learn(self, runs: set[str]) -> dict[str, Part]:
+        """Results of different words of one window."""
+        known = {r: part for r in runs if (part := self._parts.get(r)) is not None}
+        cut = {r: self._pieces_of(r) for r in runs if r not in known}
+        pieces = {p for found in cut.values() for p in found if isinstance(p, str)}
+        ids = {p: held for p in pieces if (held := self._pieces.get(p)) is not None}
+        fresh = [p for p in pieces if p not in ids]
+        short = [p for p in fresh if len(p) <= WINDOW]
+        nodes, counts = self.in_step.encode([self._symbols(p) for p in short])
+        flat, at = self.id_of_node[nodes].tolist(), 0
+        for piece, n in zip(short, counts.tolist()):
+            ids[piece] = held = tuple(flat[at:at + n])
+            self._pieces.put(piece, held)
+            at += n
+        for piece in fresh:  # folding can lengthen a piece
+            if piece not in ids:
+                ids[piece] = tuple(self.id_of[t] for t in self.merger.stream(self._symbols(piece)))
+        for run, found in cut.items():
+            known[run] = part = self._part((i for p in found for i in ((p,) if isinstance(p, int) else ids[p])), Speller(self))
+            self._parts.put(run, part)
+        return known
+
+    def parts(self, texts: Iterable[str]) -> Iterator[list[tuple[int, list[Part]]]]:
+        """Blocks of (number of the text, its next parts); the first three fields of a text's parts are joined by spaces."""
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for row, text in enumerate(texts):
+            found = (m.group() for m in self.runs.finditer(text))
+            while runs := list(islice(found, BLOCK)):
+                held.append((row, runs))
+                size += len(runs)
+                if size >= BLOCK:
+                    yield self._settled(held)
+                    held, size = [], 0
+        yield self._settled(held)
+
+    def _settled(self, held: list[tuple[int, list[str]]]) -> list[tuple[int, list[Part]]]:
+        known = self._learn({r for _, runs in held for r in runs if len(r) <= WINDOW})
+        out = []
+        for row, runs in held:
+            parts: list[Part] = []
+            for run in runs:
+                part = known.get(run)
+                if part is not None:
+                    parts.append(part)
                     continue
-                ids = self._pieces.get(piece)
-                if ids is None:
-                    ids = tuple(self._piece_ids(piece))
-                    self._pieces.put(piece, ids)
-                yield from ids
+                ids, speller = self._streamed(run), Speller(self)
+                while some := list(islice(ids, IDS)):
+                    parts.append(self._part(some, speller))
+            out.append((row, parts))
+        return out
 
     def encode(self, text: str) -> Iterator[int]:
-        """Ids of a text, emitted as they become final."""
-        for found in self.runs.finditer(text):
-            yield from self._word_ids(found.group())
-
-    def written(self, text: str) -> Iterator[list[tuple[int, str, str, str]]]:
-        """Blocks of (number of ids, ids as text, decoded text, spelling): the first three texts are joined by spaces."""
-        known = self._written
-        found = (m.group() for m in self.runs.finditer(text))
-        while runs := list(islice(found, BLOCK)):
-            block = []
-            for run, part in zip(runs, map(known.young.get, runs)):
-                part = part or known.get(run)
-                if part is not None:
-                    block.append(part)
-                    continue
-                ids, speller = self._word_ids(run), Speller(self)
-                while some := list(islice(ids, BLOCK)):
-                    part = len(some), " ".join(map(str, some)), "".join(self.decoded(some)), speller.read(some)
-                    block.append(part)
-                if len(run) <= KEPT_LENGTH and part is not None:
-                    known.put(run, part)
-                if len(block) >= BLOCK:
-                    yield block
-                    block = []
-            yield block
+        """Ids of a text."""
+        for block in self.parts([text]):
+            for _, parts in block:
+                for part in parts:
+                    yield from part[0]
 
     def decoded(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of the library's decoded text."""
@@ -129,7 +181,7 @@ class WordBpe:
     def spelled(self, ids: Iterable[int]) -> Iterator[str]:
         """Spelling of a token stream, words ended by one space."""
         speller, source = Speller(self), iter(ids)
-        while some := list(islice(source, BLOCK)):
+        while some := list(islice(source, IDS)):
             yield speller.read(some)
         yield speller.end()
 
@@ -166,7 +218,11 @@ def encoded(text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = word_bpe(path)
         for batch in batches:
-            yield pd.Series([np.fromiter(coder.encode(t or ""), dtype=np.int32) for t in batch])
+            out: list[list[int]] = [[] for _ in range(len(batch))]
+            for block in coder.parts(t or "" for t in batch):
+                for row, parts in block:
+                    out[row] += [i for part in parts for i in part[0]]
+            yield pd.Series([np.array(ids, dtype=np.int32) for ids in out])
 
     return run(text)
 
@@ -186,7 +242,7 @@ def decoded(ids: Column, path: str) -> Column:
 def with_codes(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The columns of ``df`` but the text, plus ``ids``, ``n_tokens`` and ``decoded``.
 
-    Rows leave in batches of a bounded number of ids, so a task holds few texts at a time.  Input columns of
+    Rows leave in batches of texts of a bounded size, so a task holds few results at a time.  Input columns of
     these names are replaced.
     """
     added = StructType([StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("decoded", StringType())])
@@ -197,18 +253,27 @@ def with_codes(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         coder = word_bpe(path)
         for batch in batches:
             texts, others = batch.column(batch.num_columns - 1), [batch.column(i) for i in range(batch.num_columns - 1)]
-            first, ids, size = 0, [], 0
-            for row in range(batch.num_rows):
-                ids.append(np.fromiter(coder.encode(texts[row].as_py() or ""), dtype=np.int32))
-                size += len(ids[-1])
-                if size >= BATCH_IDS or row == batch.num_rows - 1:
-                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([
-                        *[c.slice(first, len(ids)) for c in others],
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
-                        pa.array(np.diff(ends).astype(np.int64)),
-                        pa.array(["".join(coder.decoded(i.tolist())) for i in ids], pa.string())], names=schema.names)
-                    first, ids, size = row + 1, [], 0
+            for first, some in portions(texts):
+                ids, shown = [array("i") for _ in some], [[] for _ in some]
+                for block in coder.parts(some):
+                    for row, parts in block:
+                        ids[row].extend(i for part in parts for i in part[0])
+                        shown[row] += [part[2] for part in parts]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.concatenate([np.frombuffer(i, dtype=np.int32) for i in ids]) if ends[-1] else np.zeros(0, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    *[c.slice(first, len(some)) for c in others], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.array(np.diff(ends).astype(np.int64)), pa.array([" ".join(t) for t in shown], pa.string())], names=schema.names)
+
+    def portions(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+        """Neighbouring texts of a bounded number of characters together, with the place of the first."""
+        held, size = [], 0
+        for row in range(len(texts)):
+            held.append(texts[row].as_py() or "")
+            size += len(held[-1])
+            if size >= BATCH_CHARS or row == len(texts) - 1:
+                yield row + 1 - len(held), held
+                held, size = [], 0
 
     return df.select(*kept, text).mapInArrow(coded, schema)
 
@@ -220,18 +285,17 @@ def coding_digest(text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = word_bpe(path)
         for batch in batches:
-            rows = []
-            for value in batch:
-                n, ids_hash, text_hash, spelled_hash = 0, hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
-                for block in coder.written(value or ""):
-                    if block:
-                        numbers, ids_texts, texts, spelled = zip(*block)
-                        gap = " " if n else ""
-                        ids_hash.update((gap + " ".join(ids_texts)).encode("ascii"))
-                        text_hash.update((gap + " ".join(texts)).encode("utf-8"))
-                        spelled_hash.update("".join(spelled).encode("utf-8"))
-                        n += sum(numbers)
-                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), spelled_hash.hexdigest()))
+            counts = [0] * len(batch)
+            hashes = [[hashlib.sha256() for _ in range(3)] for _ in range(len(batch))]
+            for block in coder.parts(t or "" for t in batch):
+                for row, parts in block:
+                    if parts:
+                        gap = " " if counts[row] else ""
+                        ids, numbers, texts, spelled = zip(*parts)
+                        for state, text in zip(hashes[row], (gap + " ".join(numbers), gap + " ".join(texts), "".join(spelled))):
+                            state.update(text.encode("utf-8"))
+                        counts[row] += sum(map(len, ids))
+            rows = [(n, *(state.hexdigest() for state in states)) for n, states in zip(counts, hashes)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spelled_sha256"])
 
     return run(text)

@@ -38,12 +38,12 @@ def test_tokens_that_stay_whole_side_by_side(word_path, piece_path):
     r = random.Random(8)
     for merger in (word_bpe.WordBpe(word_path).merger, token_counts.PrefixCounter(piece_path).merger):
         tokens = sorted(merger.tokens)
-        short = [t for t in tokens if merger.sizes[t] <= 3]
+        short = [t for t in tokens if len(t) <= 3]
         answers = set()
         for k in range(6000):
             left, right = r.choice(short if k % 2 else tokens), r.choice(short if k % 3 else tokens)
-            if not left.endswith("</w>") and merger.merge(merger.split(left)) == [left]:
-                whole = merger.merge(merger.split(left) + merger.split(right)) == [left, right]
+            if not bpe.ENDED < ord(left[-1]) < bpe.ENDED + 0x200 and merger.merge(list(left)) == [left]:
+                whole = merger.merge(list(left) + list(right)) == [left, right]
                 assert merger.beside(left, right) == whole
                 answers.add(whole)
         assert answers == {True, False}
@@ -53,8 +53,15 @@ def test_streams_equal_plain_merging(word_path):
     merger, r = word_bpe.WordBpe(word_path).merger, random.Random(9)
     for n in [*range(1, 40), 3 * merger.lookahead, *[r.randrange(6 * merger.lookahead, 12 * merger.lookahead) for _ in range(6)]]:
         symbols = [r.choice("aeinorst") for _ in range(n)]
-        symbols[-1] += "</w>"
+        symbols[-1] = word_bpe.ended(symbols[-1] + "</w>")
         assert list(merger.stream(iter(symbols))) == merger.merge(symbols)
+    words = ["".join(r.choice("aeinorst") for _ in range(r.randrange(1, 60))) for _ in range(400)]
+    words = [w[:-1] + word_bpe.ended(w[-1] + "</w>") for w in words] + ["x"]
+    in_step = bpe.WordsInStep(merger)
+    nodes, counts = in_step.encode(words)
+    ends = counts.cumsum()
+    assert [[in_step.texts[n] for n in nodes[e - c:e]] for e, c in zip(ends, counts)] == [merger.encode(w) for w in words]
+    assert [len(x) for x in in_step.encode([])] == [0, 0]
 
 
 def test_stream_holds_little(word_path):
