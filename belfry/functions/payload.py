@@ -150,10 +150,10 @@ def coerced_bool(v: Column) -> Column:
 
 
 def coerced_int(v: Column) -> Column:
-    """Whole number, whole-valued fraction, boolean, or number text."""
+    """Whole number, whole-valued fraction, boolean, or number text; null where no int can hold it."""
     def read(x: Column) -> Column:
-        whole = F.regexp_extract(F.trim(F.coalesce(text_of(x), F.to_json(x))), r"^([+-]?\d{1,9})(?:\.0*)?$", 1)
-        return F.coalesce(int_of(x), F.when(whole != "", whole).cast("int"))
+        whole = F.regexp_extract(F.trim(F.coalesce(text_of(x), F.to_json(x))), r"^([+-]?\d+)(?:\.0*)?$", 1)
+        return F.coalesce(int_of(x), F.when(whole != "", whole).try_cast("int"))
     return let(v, read)
 
 

@@ -167,7 +167,8 @@ def fetch_source() -> Column:
                   F.struct(provider.alias("provider"), ident.alias("fetch_id")))
 
 
-def page_cap(page_no: Column, max_pages: int = MAX_PAGES) -> Column:
+def page_cap(page_no: Column, max_pages: int) -> Column:
+    """The first ``max_pages`` pages of a document (``MAX_PAGES`` is the customary cap)."""
     return page_no <= max_pages
 
 

@@ -59,23 +59,30 @@ def church_csv(spark: SparkSession, path: str) -> DataFrame:
         *[csv_float(F.col(c)).alias(c) for c in ("latitude", "longitude")])
 
 
+def _is_lines(path: str) -> bool:
+    return path.rstrip("/").endswith(".jsonl")
+
+
 def json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON array file (or JSON lines), with ``idx`` in file order."""
+    """Rows of a JSON array file, or of JSON lines (``.jsonl``), with ``idx`` in file order.
+
+    An array file is read by one task, lines by as many as they fill.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("idx", F.lit(None).cast("bigint"))
-    return (spark.read.schema(schema).option("multiLine", True).json(path)
+    return (spark.read.schema(schema).option("multiLine", not _is_lines(path)).json(path)
             .withColumn("idx", F.monotonically_increasing_id()))
 
 
 def json_dict(spark: SparkSession, path: str, value_type: str) -> DataFrame:
-    """(slug, value, idx) of slug-keyed JSON documents, in document order."""
+    """(slug, value, idx) of slug-keyed JSON documents, in document order: one to a file, or one to a line (``.jsonl``)."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], f"idx bigint, slug string, value {value_type}")
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.text(path, wholetext=not _is_lines(path))
     entries = F.map_entries(F.from_json("value", f"map<string,{value_type}>"))
-    return (whole.select(F.posexplode(entries).alias("idx", "entry"))
-            .select(F.col("idx").cast("bigint").alias("idx"), F.col("entry.key").alias("slug"),
-                    F.col("entry.value").alias("value")))
+    # numbered after they are taken apart, so that entries of different files never share a number
+    return (whole.select(F.explode(entries).alias("entry"))
+            .select(F.monotonically_increasing_id().alias("idx"), F.col("entry.key").alias("slug"), F.col("entry.value").alias("value")))
 
 
 def variant_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +94,7 @@ def variant_rows(spark: SparkSession, path: str) -> DataFrame:
     nothing = "idx bigint, v variant"
     if not path_exists(spark, path):
         return spark.createDataFrame([], nothing)
-    if path.rstrip("/").endswith(".jsonl"):
+    if _is_lines(path):
         lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("idx"), F.try_parse_json("value").alias("v"))
         return lines.where(F.col("v").isNotNull())
     whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("all"))

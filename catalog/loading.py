@@ -63,9 +63,9 @@ def _(d):
 
 @query("src_json_list", "select idx, church_slug, bulletin_source_url, date, start_time, cancelled, page_number, note from raw_event")
 def _(d):
-    path = scratch_path(d.spark, "events.json")
+    path = scratch_path(d.spark, "events") + "/events.jsonl"
     sinks.write_json(d.raw_event.withColumnRenamed("idx", "source_idx"), path)
-    rows = d.spark.read.schema(f"source_idx bigint, {schemas.RAW_EVENT}").json(path)
+    rows = files.json_list(d.spark, path, f"source_idx bigint, {schemas.RAW_EVENT}").drop("idx")
     return rows.select(F.col("source_idx").alias("idx"), "church_slug", "bulletin_source_url", "date", "start_time", "cancelled", "page_number", "note")
 
 
@@ -79,12 +79,11 @@ def _(d):
 @query("src_json_dict", "select slug, bulletin_provider, provider_id from detected")
 def _(d):
     from catalog.relations import detected
-    path = scratch_path(d.spark, "detect.json")
+    path = scratch_path(d.spark, "detect") + "/results.jsonl"
     one = F.to_json(F.create_map("slug", F.struct("bulletin_provider", "provider_id")))
     detected(d).select(one.alias("value")).write.text(path)
-    entries = F.map_entries(F.from_json("value", "map<string,struct<bulletin_provider:string,provider_id:string>>"))
-    rows = d.spark.read.text(path).select(F.explode(entries).alias("e"))
-    return rows.select(F.col("e.key").alias("slug"), "e.value.bulletin_provider", "e.value.provider_id")
+    rows = files.json_dict(d.spark, path, "struct<bulletin_provider:string,provider_id:string>")
+    return rows.select("slug", "value.bulletin_provider", "value.provider_id")
 
 
 @query("src_snapshot", "select 'church' as tbl, count(*) as n, sum(id) as total from snap_church union all select 'event', count(*), sum(id % 1000003) from snapshot_event")
@@ -101,22 +100,37 @@ def stored_snapshot(d) -> str:
     return root
 
 
-@query("snk_snapshot", "select 1 as version, count(*) as n_events from snapshot_event union all select 2, count(*) from snapshot_event")
+_SHOWN = ", ".join(snapshot.EVENT_COLUMNS)
+
+
+@query("snk_snapshot", f"select 1 as version, {_SHOWN} from snapshot_event union all select 2, {_SHOWN} from snapshot_event")
 def _(d):
     root = stored_snapshot(d)
     snapshot.refresh(d.church, d.parish, d.bulletin, d.event, root, "2001-01-08T00:00:00Z")
     out = None
     for v in snapshot.published_versions(d.spark, root):
-        one = snapshot.read_version(d.spark, root, v)[1].agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n_events"))
+        one = snapshot.read_version(d.spark, root, v)[1].select(F.lit(v).alias("version"), *snapshot.EVENT_COLUMNS)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("snk_rebuild_tables", """select 'parish' as "table", count(*) as n from parish union all select 'church', count(*) from church
-    union all select 'bulletin', count(*) from bulletin union all select 'event', count(*) from event""")
+_TABLES = {"parish": ("slug", "name", "homepage_url"), "church": ("parish_id", "slug", "name", "city"), "bulletin": ("parish_id", "source_url", "content_hash"),
+           "event": ("church_id", "bulletin_id", "event_type", "date", "start_time", "note")}
+
+
+@query("snk_rebuild_tables", " union all ".join(f"""select '{name}' as "table", id, concat_ws('|', {", ".join(f"coalesce({c}::varchar, '-')" for c in columns)}) as content from {name}"""
+                                                for name, columns in _TABLES.items()))
 def _(d):
     tables = {"parish": d.parish, "church": d.church, "bulletin": d.bulletin, "event": d.event}
-    return load.rebuild_tables(tables, scratch_path(d.spark, "tables"))
+    root = scratch_path(d.spark, "tables")
+    load.rebuild_tables({name: df.limit(0) for name, df in tables.items()}, root)
+    load.rebuild_tables(tables, root)
+    out = None
+    for name, df in load.open_tables(d.spark, root).items():
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _TABLES[name]])
+        one = df.select(F.lit(name).alias("table"), "id", text.alias("content"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("snk_drop_tables", "select true as first, false as second, count(*) as n from parish")

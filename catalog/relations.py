@@ -96,7 +96,7 @@ def _(d):
     unnest(range(1, len(string_split(text, chr(10))) + 1)) as page_no from documents) where page_no <= 10""")
 def _(d):
     pages = d.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "page"))
-    return pages.withColumn("page_no", F.col("pos") + 1).where(filters.page_cap(F.col("page_no"))).select(
+    return pages.withColumn("page_no", F.col("pos") + 1).where(filters.page_cap(F.col("page_no"), filters.MAX_PAGES)).select(
         "doc_id", "page_no", F.md5("page").alias("digest"))
 
 

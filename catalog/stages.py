@@ -270,14 +270,21 @@ def _(d):
     return run(d).manifest.select("bulletin_source_url", "parish_slug", "event_count", "wrong_bulletin")
 
 
-@query("snk_run", "select 'line' as classifier, count(source_url) as n_served, sum(case when wrong then 0 else n_rows end) as n_events from run_status where status in ('hit', 'extracted')")
+# stored runs are read back without rows that name no document
+@query("snk_run", """select * from (select 'event' as kind, s.source_url as bulletin_source_url, 'c-' || c.id || '|' || (8 + n % 4) || ':00 AM' as content from run_status s
+      join church c on 'p-' || c.parish_id = s.parish_slug where status = 'extracted' and not wrong
+    union all select 'event', source_url, 'c-0|7:00 AM' from run_status where status = 'hit' and not wrong
+    union all select 'document', source_url, parish_slug || '|' || (case when wrong then 0 else n_rows end) || '|' || wrong from run_status where status in ('hit', 'extracted')
+    union all select 'run', 'line', count_if(status in ('hit', 'extracted')) || '|' || count_if(status = 'hit') || '|' || count_if(status = 'error') from run_status) where bulletin_source_url is not null""")
 def _(d):
     from belfry.sources.runs import read_runs
     root = scratch_path(d.spark, "run")
     extract_run.write_run(run(d), root, "line", NOW, 0.0)
     events, manifest, summary = read_runs(d.spark, root, ["line"])
-    return manifest.groupBy("classifier").agg(F.count(F.lit(1)).alias("n_served")).join(
-        summary.select("classifier", F.col("events_written").alias("n_events")), "classifier")
+    row = lambda df, kind, key, *parts: df.select(F.lit(kind).alias("kind"), F.col(key).alias("bulletin_source_url"), F.concat_ws("|", *parts).alias("content"))
+    return (row(events, "event", "bulletin_source_url", "church_slug", "start_time")
+            .unionByName(row(manifest, "document", "bulletin_source_url", "parish_slug", "event_count", "wrong_bulletin"))
+            .unionByName(row(summary, "run", "classifier", "bulletins_served", "cache_hits", "errors")))
 
 
 # --- process ---------------------------------------------------------------------------------

@@ -158,6 +158,13 @@ def test_json_sources(spark, scratch):
     path = scratch("dict")
     spark.createDataFrame([('{"s1":{"x":"1"},"s2":{"x":"2"}}',)], "value string").coalesce(1).write.text(path)
     assert [(r["slug"], r["value"]["x"]) for r in files.json_dict(spark, path, "struct<x:string>").orderBy("idx").collect()] == [("s1", "1"), ("s2", "2")]
+    path = scratch("dict") + "/results.jsonl"
+    spark.createDataFrame([('{"s1":{"x":"1"},"s2":{"x":"2"}}',), ("broken",), ('{"s3":{"x":"3"}}',)], "value string").repartition(3).write.text(path)
+    many = files.json_dict(spark, path, "struct<x:string>").collect()
+    assert sorted(r["slug"] for r in many) == ["s1", "s2", "s3"] and len({r["idx"] for r in many}) == 3
+    path = scratch("list") + "/events.jsonl"
+    spark.createDataFrame([('{"church_slug":"a"}',), ('{"church_slug":"b"}',)], "value string").coalesce(1).write.text(path)
+    assert [r["church_slug"] for r in files.json_list(spark, path, schemas.RAW_EVENT).orderBy("idx").collect()] == ["a", "b"]
     path = scratch("out")
     sinks.write_json(spark.createDataFrame([("a", None)], "k string, v string"), path)
     assert spark.read.text(path).first()["value"] == '{"k":"a","v":null}'
