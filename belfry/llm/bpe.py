@@ -58,17 +58,6 @@ class Merger:
         #: lengths, longest first, of the tokens that end in these three characters (or are the last two of them)
         self.ends = {end: tuple(sorted(found | ends.get(end[1:], set()), reverse=True)) for end, found in ends.items()}
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Merge by rank, leftmost first; only for short inputs."""
-        parts = list(symbols)
-        while len(parts) > 1:
-            ranked = [(r, i) for i in range(len(parts) - 1) if (r := self.rank(parts[i], parts[i + 1])) is not None]
-            if not ranked:
-                break
-            _, i = min(ranked)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
     def made(self, token: str) -> tuple[float, str, str] | None:
         """Rank and parts of the merge that makes the token from its symbols; None if they do not become one token."""
         try:
