@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from belfry.llm.bpe import END, ENDED, Kept, Merger, WordsInStep
+from belfry.llm.bpe import END, ENDED, PAIRS_KEPT, Kept, Merger, WordsInStep
 
 WORDS_KEPT, WINDOW = 80_000, 64  # words and pieces whose results are kept (twice as many); longest that are one window
 BLOCK = 1 << 15   # words of neighbouring texts handled at once
@@ -83,6 +83,11 @@ class WordBpe:
         self.table = str.maketrans({chr(b): c for b, c in self.letters.items()})
         self._pieces, self._parts = Kept(WORDS_KEPT), Kept(WORDS_KEPT)
 
+    def forget(self) -> None:
+        """Let kept results go: a worker outlives its task, and other stages need the memory."""
+        self._pieces, self._parts, self.merger._beside = Kept(WORDS_KEPT), Kept(WORDS_KEPT), Kept(PAIRS_KEPT)
+        self.in_step.seams.clear()
+
     def _symbols(self, piece: str) -> str:
         letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.table)
         return letters[:-1] + chr(ENDED + ord(letters[-1]))
@@ -223,6 +228,7 @@ def encoded(text: Column, path: str) -> Column:
                 for row, parts in block:
                     out[row] += [i for part in parts for i in part[0]]
             yield pd.Series([np.array(ids, dtype=np.int32) for ids in out])
+        coder.forget()
 
     return run(text)
 
@@ -264,6 +270,7 @@ def with_codes(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     *[c.slice(first, len(some)) for c in others], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     pa.array(np.diff(ends).astype(np.int64)), pa.array([" ".join(t) for t in shown], pa.string())], names=schema.names)
+        coder.forget()
 
     def portions(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         """Neighbouring texts of a bounded number of characters together, with the place of the first."""
@@ -297,5 +304,6 @@ def coding_digest(text: Column, path: str) -> Column:
                         counts[row] += sum(map(len, ids))
             rows = [(n, *(state.hexdigest() for state in states)) for n, states in zip(counts, hashes)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spelled_sha256"])
+        coder.forget()
 
     return run(text)
