@@ -67,6 +67,33 @@ def test_agreement_is_symmetric(spark):
         agreement.pairs_of(["a"])
 
 
+def test_counts_and_events_are_made_once(spark):
+    """Totals and medians come from kept counts; event rows travel once before they are grouped."""
+    events, manifest = runs(spark, [ev(r, i, f"u{i % 4}", str(i % 3)) for r in "ab" for i in range(30)])
+    counts = agreement.url_counts(events, manifest, ["a", "b"])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert URL not in plan(agreement.pair_metrics(agreement.pair_counts(counts, ["a", "b"])))
+    assert URL not in plan(agreement.run_stats(counts, ["a", "b"]))
+    for df in (agreement.event_rows(events, ["a", "b"]), agreement.first_by_key(events), agreement.key_cells(events, ["a", "b"])):
+        physical = df._jdf.queryExecution().executedPlan().toString()
+        assert physical.count("Exchange") == 1 and "Aggregate" not in physical[physical.index("Exchange"):]
+
+
+def test_report_levels_are_made_once(spark, scratch, monkeypatch):
+    kept = []
+    monkeypatch.setattr(compare, "written", lambda df, name, write=compare.written: kept.append(name) or write(df, name))
+    events, manifest = runs(spark, [ev("a", 0, "u", "8"), ev("b", 0, "u", "8")])
+    report = compare.compare(events, manifest, spark.createDataFrame([], METADATA), ["a", "b"])
+    compare.write_report(report, ["a", "b"], scratch("report"), "now")
+    assert {"report-events", "report-per_bulletin"} <= set(kept)
+
+
+def test_first_event_keeps_missing_parts(spark):
+    rows = [(*ev("a", i, "u", start)[:-1], note) for i, start, note in ((2, "8", "late"), (1, None, "early"), (3, "", "empty"))]
+    first = {r["key"]["start_time"]: r["ev"] for r in agreement.first_by_key(runs(spark, rows)[0]).collect()}
+    assert (first[""]["start_time"], first[""]["note"], first["8"]["note"]) == (None, "early", "late") and len(first) == 2
+
+
 def test_markdown_report(spark):
     events, manifest = runs(spark, [ev("a", 0, "u", "8"), ev("b", 0, "u", "8"), ev("b", 1, "u", "9")])
     meta = spark.createDataFrame([(0, "p", "u", "/f.pdf", None, None, None, "2026-01-04")], METADATA)
