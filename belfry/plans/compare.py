@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -234,8 +234,13 @@ def json_lines(report: Report, names: list[str], generated_at: str) -> DataFrame
 
 
 def write_report(report: Report, names: list[str], path: str, generated_at: str = "") -> None:
-    """Rows per report level, the nested JSON text, and the Markdown text."""
-    for name in ("stats", "pairwise", "one_sided", "per_bulletin", "events"):
-        write_json(getattr(report, name), f"{path}/{name}")
+    """Rows per report level (gzipped JSON lines), the nested JSON text, and the Markdown text.
+
+    Every level is made once and kept: the texts mention events and documents many times.
+    """
+    levels = ("stats", "pairwise", "one_sided", "per_bulletin", "events")
+    report = replace(report, **{name: written(getattr(report, name), f"report-{name}") for name in levels})
+    for name in levels:
+        write_json(getattr(report, name), f"{path}/{name}", "gzip")
     write_lines(json_lines(report, names, generated_at), f"{path}/report.json", JSON_KEY)
     write_lines(markdown(report, names), f"{path}/markdown", LINE_KEY)
