@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from belfry.functions.payload import as_map, get, int_of, items_of, text_of, truthy
+from belfry.functions.payload import as_map, int_of, items_of, text_of, truthy
+from belfry.functions.text import bound
 from belfry.schemas import METADATA, RAW_EVENT
 from belfry.sources.files import path_exists, read_or_empty, variant_rows
 
@@ -39,17 +40,14 @@ def read_runs(spark: SparkSession, root: str, names: list[str]) -> tuple[DataFra
     return events.where(named), manifest.where(named), summary
 
 
-def _objects(rows: DataFrame) -> DataFrame:
-    return rows.select("idx", as_map(F.col("v")).alias("o")).where(F.col("o").isNotNull())
-
-
 def _as_text(v: Column) -> Column:
     """Text as it is, numbers and booleans spelled out."""
     return F.coalesce(text_of(v), F.try_variant_get(v, "$", "string"))
 
 
 def _field(name: str) -> Column:
-    return get(F.col("o"), name)
+    """A field of the object ``v``; null where it has none, and of values that are no objects."""
+    return F.try_variant_get(F.col("v"), f"$.{name}", "variant")
 
 
 def _text_fields(*names: str) -> list[Column]:
@@ -65,7 +63,7 @@ def _document(spark: SparkSession, root: str, name: str, stem: str) -> DataFrame
 def metadata_documents(spark: SparkSession, path: str) -> DataFrame:
     """Document metadata of a JSON file in its order; entries without a text URL are passed over."""
     names = [c.split(" ")[0] for c in METADATA.split(", ")][1:]
-    return _objects(variant_rows(spark, path)).select("idx", *_text_fields(*names)).where("source_url is not null")
+    return variant_rows(spark, path).select("idx", *_text_fields(*names)).where("source_url is not null")
 
 
 def read_run_documents(spark: SparkSession, root: str, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,21 +79,21 @@ def read_run_documents(spark: SparkSession, root: str, names: list[str]) -> tupl
     events, manifests, summaries = [empty["events"]], [empty["manifest"]], [empty["summary"]]
     for name in names:
         run = F.lit(name).alias("classifier")
-        rows = _objects(found[name]).select(
-            "idx", *[_as_text(_field(c)).alias(c) for c in ("church_slug", "event_type", "event_kind", "start_time")],
-            *_text_fields("bulletin_source_url", "day_of_week", "date", "end_time", "note"),
+        rows = bound(found[name], bulletin_source_url=text_of(_field("bulletin_source_url"))).select(
+            "idx", "bulletin_source_url", *[_as_text(_field(c)).alias(c) for c in ("church_slug", "event_type", "event_kind", "start_time")],
+            *_text_fields("day_of_week", "date", "end_time", "note"),
             truthy(_field("cancelled")).alias("cancelled"), int_of(_field("page_number")).alias("page_number"), run)
         events.append(rows.where("bulletin_source_url is not null").select(*empty["events"].columns))
         listed = _document(spark, root, name, "bulletins")
         if listed is not None:
             first = _field("bulletin_source_url")
             url = F.when(truthy(first), text_of(first)).otherwise(text_of(_field("source_url")))
-            rows = _objects(listed).select(url.alias("bulletin_source_url"), *_text_fields("pdf_path", "parish_slug", "published_date"),
+            rows = bound(listed, bulletin_source_url=url).select("bulletin_source_url", *_text_fields("pdf_path", "parish_slug", "published_date"),
                                            int_of(_field("event_count")).cast("bigint").alias("event_count"), truthy(_field("wrong_bulletin")).alias("wrong_bulletin"), run)
             manifests.append(rows.where("bulletin_source_url is not null").select(*empty["manifest"].columns))
         path = f"{root}/{name}/run.json"
         if path_exists(spark, path):
-            whole = spark.read.text(path, wholetext=True).select(as_map(F.try_parse_json("value")).alias("o")).where(F.col("o").isNotNull())
+            whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).where(as_map(F.col("v")).isNotNull())
             counts = ["bulletins_total", "bulletins_served", "cache_hits", "cache_misses", "skipped", "events_written"]
             errors = F.coalesce(int_of(_field("errors")).cast("bigint"), F.size(items_of(_field("errors"))).cast("bigint"))
             rows = whole.select(*_text_fields("classifier_version", "ran_at"), *[int_of(_field(c)).cast("bigint").alias(c) for c in counts],
