@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from belfry.operators import latest
+from belfry.operators.keyfilter import MANY_BITS, likely
 from belfry.plans import snapshot
 from belfry.session import written
 from belfry.sources import versions
@@ -136,6 +137,7 @@ def unseen_hashes(cache_root: str, extract: Callable[[DataFrame], DataFrame]) ->
 # manifest: which directory holds which bucket, the documents it shows, and the log it was made from.
 
 VIEW_BUCKETS = 16
+EVENT_BITS = 27  # 16 MB: some events a shown document
 
 
 def _bucket(column: str):
@@ -150,31 +152,37 @@ def append_events(log_root: str, batch: DataFrame) -> None:
 
     def stored(df: DataFrame) -> str:
         part = versions.fresh("events")
-        df.repartition("bucket").write.partitionBy("bucket").parquet(f"{log_root}/{part}")
+        df.write.partitionBy("bucket").parquet(f"{log_root}/{part}")
         return part
 
-    part = stored(rows)
+    part = stored(rows)  # where it lies: a batch has few splits, and directories are folded into whole buckets
     touched = spark.read.schema(rows.schema).parquet(f"{log_root}/{part}").select("bucket").distinct().collect()  # VIEW_BUCKETS at most
     schema = rows.schema.json()
-    dirs = folded([*held.get("dirs", []), [0, part]], lambda some: stored(_each_once(spark, log_root, some, schema)))
+    dirs = folded([*held.get("dirs", []), [0, part]], lambda some: stored(_each_once(spark, log_root, some, schema).repartition("bucket")))
     last = {**held.get("last", {}), **{str(r["bucket"]): number + 1 for r in touched}}
     versions.commit(spark, log_root, {"dirs": dirs, "schema": schema, "last": last}, number)
 
 
-def _each_once(spark: SparkSession, log_root: str, dirs: list[str], schema: str, buckets: list[int] | None = None) -> DataFrame:
-    """Every event of the directories once, as it arrived first."""
+def _each_once(spark: SparkSession, log_root: str, dirs: list[str], schema: str, buckets: list[int] | None = None,
+               shown: DataFrame | None = None) -> DataFrame:
+    """Every event of the directories once, as it arrived first; with ``shown`` only those that may be of its documents.
+
+    An event may name one document first and another later, so its rows are taken or left together.
+    """
     kind = StructType.fromJson(json.loads(schema))
     rows = reduce(DataFrame.unionByName, [spark.read.schema(kind).parquet(f"{log_root}/{d}") for d in dirs])
     if buckets is not None:
         rows = rows.where(F.col("bucket").isin(buckets))
+    if shown is not None:
+        rows = likely(rows, likely(rows, shown, "bulletin_id", size=MANY_BITS), "id", size=EVENT_BITS)
     columns = [c for c in rows.columns if c not in ("id", "arrival")]
     return rows.groupBy("id").agg(F.min(F.struct("arrival", *columns)).alias("e")).select("id", "e.*").select(*kind.names)
 
 
-def logged_events(spark: SparkSession, log_root: str, buckets: list[int]) -> DataFrame:
-    """The events of some buckets; the other buckets' files are not read."""
+def logged_events(spark: SparkSession, log_root: str, buckets: list[int], shown: DataFrame | None = None) -> DataFrame:
+    """The events of some buckets, or those of them that may be of ``shown`` documents; the other buckets' files are not read."""
     log = versions.latest(spark, log_root)[1]
-    return _each_once(spark, log_root, [d for _, d in log["dirs"]], log["schema"], buckets)
+    return _each_once(spark, log_root, [d for _, d in log["dirs"]], log["schema"], buckets, shown)
 
 
 def published(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +221,7 @@ def publish_view(church: DataFrame, parish: DataFrame, bulletin: DataFrame, log_
     buckets = {str(b): view.get("buckets", {}).get(str(b)) for b in sorted(last)}
     todo = sorted(todo & set(last))
     if todo:
-        rows = logged_events(spark, log_root, todo).join(shown, "bulletin_id").select(*snapshot.EVENT_COLUMNS, "arrival", "bucket")
+        rows = logged_events(spark, log_root, todo, shown).join(shown, "bulletin_id").select(*snapshot.EVENT_COLUMNS, "arrival", "bucket")
         rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/{event_dir}")
         stored = spark.read.schema(rows.schema).parquet(f"{root}/{event_dir}")
         filled = {r["bucket"] for r in stored.select("bucket").distinct().collect()}
