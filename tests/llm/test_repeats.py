@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from belfry.llm import byte_dedup, repeats, suffixes, word_dedup
 
@@ -121,6 +122,30 @@ def test_no_task_judges_more_than_a_bound(spark, monkeypatch):
     compare(docs, byte_dedup.removal_digest(docs), lambda t: expected_bytes(t, 400))
 
 
+def test_gram_hashes_are_polynomials():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 5, 24, 40, 300):
+        units = r.integers(0, 2 ** 63, n).astype(np.uint64)
+        for k in (1, 2, 3, 4, 7, 24, 31, 32):
+            want = np.zeros(max(n - k + 1, 0), dtype=np.uint64)
+            for j in range(k if len(want) else 0):
+                want = want * repeats.MULTIPLIER + units[j:j + len(want)]
+            assert repeats.gram_hashes(units, k).tolist() == repeats.mixed(want).tolist()
+
+
+def _wants(texts, first=0):
+    return pd.DataFrame({"text": texts, "wants": [[{"key": first + i, "digest": b"d%d" % i, "n": 1, "start": i % 5, "size": 2}] for i in range(len(texts))]})
+
+
+def test_strings_of_many_bytes_leave_in_few_batches():
+    """One batch holds the strings of many texts: a batch for each text cost more than all the rest."""
+    texts = [f"{i:05d}" * 20 for i in range(3000)]
+    out = list(repeats.wanted_strings(iter([_wants(texts[:1000]), _wants(texts[1000:], 1000)]), byte_dedup._bytes, byte_dedup._pack, 30))
+    assert len(out) == 1 and len(list(repeats.wanted_strings(iter([]), byte_dedup._bytes, byte_dedup._pack, 30))[0]) == 0
+    assert out[0]["string"].tolist() == [t[j % 5:j % 5 + 31].encode() for t, j in zip(texts, [*range(1000), *range(2000)])]
+    assert out[0]["key"].tolist() == list(range(3000))
+
+
 def test_empty_and_extra_columns(spark, odd_docs):
     assert byte_dedup.removal_digest(odd_docs.limit(0)).count() == 0
     assert word_dedup.removal_digest(odd_docs.limit(0)).count() == 0
