@@ -146,6 +146,14 @@ def test_strings_of_many_bytes_leave_in_few_batches():
     assert out[0]["key"].tolist() == list(range(3000))
 
 
+def test_strings_of_many_words_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(repeats, "BYTES", 1000)
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(200)]
+    out = list(repeats.wanted_strings(iter([_wants(texts)]), word_dedup.WORD.findall, word_dedup._pack, 35))
+    assert 10 < len(out) < 100 and all(sum(map(len, b["string"])) < 1500 for b in out)
+    assert [x for b in out for x in b["string"]] == [" ".join(t.split(" ")[i % 5:i % 5 + 36]).encode() for i, t in enumerate(texts)]
+
+
 def test_empty_and_extra_columns(spark, odd_docs):
     assert byte_dedup.removal_digest(odd_docs.limit(0)).count() == 0
     assert word_dedup.removal_digest(odd_docs.limit(0)).count() == 0
