@@ -1,10 +1,11 @@
 """BPE encoding and decoding of the word-end vocabulary as bounded-lookahead streams.
 
-Text is read word by word (white space never joins tokens).  A piece of a word is a stream of symbols, whose tokens
+Text is read piece by piece (tokens never cross pieces).  A piece is a stream of symbols, whose tokens
 leave once no continuation can change them (:meth:`Merger.stream`); of pieces that end within one window that is at
-their end, and many of them advance in step.  Decoding is a state machine over ids: it gives the library's
+their end, and many of them advance in step.  Blocks hold the pieces of many texts: each different piece is looked up once
+and the ids of the block are one array.  Decoding is a state machine over ids: it gives the library's
 text (token texts joined by one space), and the spelling that the ids stand for, bytes to text as soon as
-characters are complete.  Results of words are kept up to a fixed number.
+characters are complete.  Results of pieces are kept up to a fixed number.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; special strings inside a
 text become their special ids, as in the library; unknown ids raise ``KeyError`` while decoding;
@@ -19,7 +20,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -31,9 +32,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from belfry.llm.bpe import END, ENDED, PAIRS_KEPT, Kept, Merger, WordsInStep
 
-WORDS_KEPT, WINDOW = 80_000, 64  # words and pieces whose results are kept (twice as many); longest that are one window
-BLOCK = 1 << 15   # words of neighbouring texts handled at once
-IDS = 4096        # ids of a longer word handled at once
+PIECES_KEPT, WINDOW = 80_000, 64  # pieces whose results are kept (twice as many); longest that are one window
+BLOCK = 1 << 16   # pieces of neighbouring texts handled at once
+LONG = 1 << 20    # characters of a text whose pieces are all cut at once, and of a piece whose ids are held at once
+IDS = 4096        # ids of a longer piece handled at once
 BATCH_CHARS = 1 << 20  # characters of the texts in one batch of rows
 
 
@@ -49,7 +51,7 @@ def ended(token: str) -> str:
     return token[:-len(END) - 1] + chr(ENDED + ord(token[-len(END) - 1])) if token.endswith(END) and len(token) > len(END) else token
 
 
-Part = tuple[tuple[int, ...], str, str, str]  # ids, ids as text, decoded text, spelling
+Block = tuple[list[tuple[int, int, int]], np.ndarray]  # (number of the text, first and last place of its next ids), ids
 
 
 class WordBpe:
@@ -67,7 +69,6 @@ class WordBpe:
         self.texts = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.runs = regex.compile(r"[^\p{White_Space}]+")
         self.letters = byte_letters()
         of_letter = {c: b for b, c in self.letters.items()}
 
@@ -81,100 +82,104 @@ class WordBpe:
         #: what each id adds to the spelling
         self.raw = {i: raw(t) for i, t in self.texts.items()}
         self.table = str.maketrans({chr(b): c for b, c in self.letters.items()})
-        self._pieces, self._parts = Kept(WORDS_KEPT), Kept(WORDS_KEPT)
+        every = range(max(self.texts, default=-1) + 1)
+        #: what each id adds to the list of ids and to the decoded text (a space before each), and to the spelling
+        self.numbers, self.words, self.spellings = (pa.array(column, pa.binary()) for column in (
+            [b" %d" % i for i in every], [b" " + self.texts[i].encode("utf-8") if i in self.texts else b"" for i in every],
+            [self.raw.get(i, b"") for i in every]))
+        self._pieces = Kept(PIECES_KEPT)
 
     def forget(self) -> None:
         """Let kept results go: a worker outlives its task, and other stages need the memory."""
-        self._pieces, self._parts, self.merger._beside = Kept(WORDS_KEPT), Kept(WORDS_KEPT), Kept(PAIRS_KEPT)
+        self._pieces, self.merger._beside = Kept(PIECES_KEPT), Kept(PAIRS_KEPT)
         self.in_step.seams.clear()
+        pa.default_memory_pool().release_unused()
 
     def _symbols(self, piece: str) -> str:
         letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.table)
         return letters[:-1] + chr(ENDED + ord(letters[-1]))
 
-    def _pieces_of(self, run: str) -> list[str | int]:
-        """Folded pieces of a word, and the ids of special strings in it."""
-        out: list[str | int] = []
-        for part in (self.split_special.split(run) if self.split_special else [run]):
+    def _pieces_of(self, text: str) -> Iterator[list[str | int]]:
+        """Folded pieces of a text, and the ids of special strings in it, many at a time; a piece above ``LONG`` alone."""
+        for part in (self.split_special.split(text) if self.split_special else [text]):
             if part in self.special:
-                out.append(self.special[part])
+                yield [self.special[part]]
                 continue
-            folded = unicodedata.normalize("NFC", part)
-            folded = folded.lower() if folded.isascii() else "".join(c.lower() for c in folded)
-            out += self.pieces.findall(folded)
-        return out
-
-    def _streamed(self, run: str) -> Iterator[int]:
-        """Ids of a long word, as they become final."""
-        for piece in self._pieces_of(run):
-            if isinstance(piece, int):
-                yield piece
+            folded = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+            if len(folded) <= LONG:
+                yield self.pieces.findall(folded)
                 continue
-            for token in self.merger.stream(self._symbols(piece)):
-                yield self.id_of[token]
-
-    def _part(self, ids: Iterable[int], speller: Speller) -> Part:
-        ids = tuple(ids)
-        return ids, " ".join(map(str, ids)), "".join(self.decoded(ids)), speller.read(ids)
-
-    def _learn(self, runs: set[str]) -> dict[str, Part]:
-        """Results of different words of one window."""
-        known = {r: part for r in runs if (part := self._parts.get(r)) is not None}
-        cut = {r: self._pieces_of(r) for r in runs if r not in known}
-        pieces = {p for found in cut.values() for p in found if isinstance(p, str)}
-        ids = {p: held for p in pieces if (held := self._pieces.get(p)) is not None}
-        fresh = [p for p in pieces if p not in ids]
-        short = [p for p in fresh if len(p) <= WINDOW]
-        nodes, counts = self.in_step.encode([self._symbols(p) for p in short])
+            found = (m.group() for m in self.pieces.finditer(folded))
+            while some := list(islice(found, BLOCK)):
+                first = 0
+                for i in [i for i, p in enumerate(some) if len(p) > LONG]:
+                    yield some[first:i]
+                    yield some[i:i + 1]
+                    first = i + 1
+                yield some[first:]
+
+    def _learn(self, pieces: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each of different pieces, and all their ids."""
+        known = [(p,) if isinstance(p, int) else self._pieces.get(p) for p in pieces]
+        fresh = [i for i, ids in enumerate(known) if ids is None]
+        short = [i for i in fresh if len(pieces[i]) <= WINDOW]
+        nodes, counts = self.in_step.encode([self._symbols(pieces[i]) for i in short])
         flat, at = self.id_of_node[nodes].tolist(), 0
-        for piece, n in zip(short, counts.tolist()):
-            ids[piece] = held = tuple(flat[at:at + n])
-            self._pieces.put(piece, held)
+        for i, n in zip(short, counts.tolist()):
+            known[i] = held = tuple(flat[at:at + n])
+            self._pieces.put(pieces[i], held)
             at += n
-        for piece in fresh:  # folding can lengthen a piece
-            if piece not in ids:
-                ids[piece] = tuple(self.id_of[t] for t in self.merger.stream(self._symbols(piece)))
-        for run, found in cut.items():
-            known[run] = part = self._part((i for p in found for i in ((p,) if isinstance(p, int) else ids[p])), Speller(self))
-            self._parts.put(run, part)
-        return known
-
-    def parts(self, texts: Iterable[str]) -> Iterator[list[tuple[int, list[Part]]]]:
-        """Blocks of (number of the text, its next parts); the first three fields of a text's parts are joined by spaces."""
-        held: list[tuple[int, list[str]]] = []
-        size = 0
+        for i in fresh:
+            if known[i] is None:
+                known[i] = array("i", (self.id_of[t] for t in self.merger.stream(self._symbols(pieces[i]))))
+        return np.fromiter(map(len, known), np.int64, len(known)), np.fromiter(chain.from_iterable(known), np.int32)
+
+    def parts(self, texts: Iterable[str]) -> Iterator[Block]:
+        """Ids of all texts in blocks, in the order of the texts."""
+        number: dict[str | int, int] = {}
+        places, rows = array("i"), []
         for row, text in enumerate(texts):
-            found = (m.group() for m in self.runs.finditer(text))
-            while runs := list(islice(found, BLOCK)):
-                held.append((row, runs))
-                size += len(runs)
-                if size >= BLOCK:
-                    yield self._settled(held)
-                    held, size = [], 0
-        yield self._settled(held)
-
-    def _settled(self, held: list[tuple[int, list[str]]]) -> list[tuple[int, list[Part]]]:
-        known = self._learn({r for _, runs in held for r in runs if len(r) <= WINDOW})
-        out = []
-        for row, runs in held:
-            parts: list[Part] = []
-            for run in runs:
-                part = known.get(run)
-                if part is not None:
-                    parts.append(part)
+            for pieces in self._pieces_of(text):
+                if len(pieces) == 1 and isinstance(pieces[0], str) and len(pieces[0]) > LONG:
+                    yield self._settled(number, places, rows)
+                    number, places, rows = {}, array("i"), []
+                    ids = (self.id_of[t] for t in self.merger.stream(self._symbols(pieces[0])))
+                    while some := list(islice(ids, IDS)):
+                        yield [(row, 0, len(some))], np.array(some, dtype=np.int32)
                     continue
-                ids, speller = self._streamed(run), Speller(self)
-                while some := list(islice(ids, IDS)):
-                    parts.append(self._part(some, speller))
-            out.append((row, parts))
-        return out
+                first = len(places)
+                places.extend([number.setdefault(p, len(number)) for p in pieces])
+                rows.append((row, first, len(places)))
+                if len(places) >= BLOCK:
+                    yield self._settled(number, places, rows)
+                    number, places, rows = {}, array("i"), []
+        yield self._settled(number, places, rows)
+
+    def _settled(self, number: dict[str | int, int], places: array, rows: list[tuple[int, int, int]]) -> Block:
+        counts, flat = self._learn(list(number))
+        which = np.frombuffer(places, dtype=np.int32) if places else np.zeros(0, dtype=np.int32)
+        many = counts[which]
+        ends = np.cumsum(many)
+        shift = (np.cumsum(counts) - counts)[which] - (ends - many)
+        ids = flat[np.repeat(shift, many) + np.arange(int(many.sum()))]
+        bound = np.r_[0, ends].tolist()
+        return [(row, bound[a], bound[b]) for row, a, b in rows], ids
 
     def encode(self, text: str) -> Iterator[int]:
         """Ids of a text."""
-        for block in self.parts([text]):
-            for _, parts in block:
-                for part in parts:
-                    yield from part[0]
+        for _, ids in self.parts([text]):
+            yield from ids.tolist()
+
+    @staticmethod
+    def shown(table: pa.Array, block: Block) -> list[bytes]:
+        """What the ids of each of a block's rows add together, by one of the tables."""
+        rows, ids = block
+        if not len(ids):
+            return [b""] * len(rows)
+        taken = table.take(pa.array(ids))
+        _, places, data = taken.buffers()
+        places, data = np.frombuffer(places, dtype=np.int32), memoryview(data)
+        return [bytes(data[places[a]:places[b]]) for _, a, b in rows]
 
     def decoded(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of the library's decoded text."""
@@ -199,7 +204,10 @@ class Speller:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def read(self, ids: list[int]) -> str:
-        return self.state.decode(b"".join(map(self.raw.__getitem__, ids)))
+        return self.take(b"".join(map(self.raw.__getitem__, ids)))
+
+    def take(self, raw: bytes) -> str:
+        return self.state.decode(raw)
 
     def end(self) -> str:
         return self.state.decode(b"", True)
@@ -223,11 +231,11 @@ def encoded(text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = word_bpe(path)
         for batch in batches:
-            out: list[list[int]] = [[] for _ in range(len(batch))]
-            for block in coder.parts(t or "" for t in batch):
-                for row, parts in block:
-                    out[row] += [i for part in parts for i in part[0]]
-            yield pd.Series([np.array(ids, dtype=np.int32) for ids in out])
+            out: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int32)] for _ in range(len(batch))]
+            for rows, ids in coder.parts(t or "" for t in batch):
+                for row, a, b in rows:
+                    out[row].append(ids[a:b])
+            yield pd.Series(list(map(np.concatenate, out)), dtype=object)
         coder.forget()
 
     return run(text)
@@ -260,16 +268,17 @@ def with_codes(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             texts, others = batch.column(batch.num_columns - 1), [batch.column(i) for i in range(batch.num_columns - 1)]
             for first, some in portions(texts):
-                ids, shown = [array("i") for _ in some], [[] for _ in some]
+                counts, flat, decoded_of = np.zeros(len(some), dtype=np.int64), [], [[] for _ in some]
                 for block in coder.parts(some):
-                    for row, parts in block:
-                        ids[row].extend(i for part in parts for i in part[0])
-                        shown[row] += [part[2] for part in parts]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate([np.frombuffer(i, dtype=np.int32) for i in ids]) if ends[-1] else np.zeros(0, dtype=np.int32)
+                    flat.append(block[1])
+                    for (row, a, b), text in zip(block[0], coder.shown(coder.words, block)):
+                        counts[row] += b - a
+                        decoded_of[row].append(text)
+                decoded_of = pa.array([b"".join(t)[1:] for t in decoded_of], pa.binary()).cast(pa.string())
+                ends = np.cumsum(np.r_[0, counts]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    *[c.slice(first, len(some)) for c in others], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                    pa.array(np.diff(ends).astype(np.int64)), pa.array([" ".join(t) for t in shown], pa.string())], names=schema.names)
+                    *[c.slice(first, len(some)) for c in others], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat))),
+                    pa.array(counts), decoded_of], names=schema.names)
         coder.forget()
 
     def portions(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -294,14 +303,15 @@ def coding_digest(text: Column, path: str) -> Column:
         for batch in batches:
             counts = [0] * len(batch)
             hashes = [[hashlib.sha256() for _ in range(3)] for _ in range(len(batch))]
+            spellers = [Speller(coder) for _ in range(len(batch))]
             for block in coder.parts(t or "" for t in batch):
-                for row, parts in block:
-                    if parts:
-                        gap = " " if counts[row] else ""
-                        ids, numbers, texts, spelled = zip(*parts)
-                        for state, text in zip(hashes[row], (gap + " ".join(numbers), gap + " ".join(texts), "".join(spelled))):
-                            state.update(text.encode("utf-8"))
-                        counts[row] += sum(map(len, ids))
+                shown = (coder.shown(table, block) for table in (coder.numbers, coder.words, coder.spellings))
+                for (row, a, b), numbers, words, spelled in zip(block[0], *shown):
+                    of_ids, of_text, of_spelling = hashes[row]
+                    of_ids.update(numbers[not counts[row]:])  # no space before the first
+                    of_text.update(words[not counts[row]:])
+                    of_spelling.update(spellers[row].take(spelled).encode("utf-8"))
+                    counts[row] += b - a
             rows = [(n, *(state.hexdigest() for state in states)) for n, states in zip(counts, hashes)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "spelled_sha256"])
         coder.forget()

@@ -39,6 +39,24 @@ def test_ids_and_decoding(word_path, texts):
         assert "".join(ours.decoded(ids)) == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_pieces_of_a_block_are_looked_up_once(word_path, texts, monkeypatch):
+    """Repeats in a block cost no further look-up; blocks and long pieces of any size give the same ids."""
+    coder = word_bpe.WordBpe(word_path)
+    want = [list(coder.encode(t)) for t in texts]
+    seen, learn = [], coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda pieces: seen.append(len(pieces)) or learn(pieces))
+    blocks = list(coder.parts(["the cat, the CAT. The\tcat"] * 1000))
+    assert seen == [4] and sum(len(ids) for _, ids in blocks) == 8000
+    monkeypatch.setattr(word_bpe, "BLOCK", 7)
+    for long in (50, 1 << 20):
+        monkeypatch.setattr(word_bpe, "LONG", long)
+        got = [[] for _ in texts]
+        for rows, ids in coder.parts(texts):
+            for row, a, b in rows:
+                got[row] += ids[a:b].tolist()
+        assert got == want
+
+
 def test_spelling_comes_back(word_path):
     coder = word_bpe.WordBpe(word_path)
     assert "".join(coder.spelled(coder.encode("hello wörld 🙂 thethethethe"))) == "hello wörld 🙂 thethethethe "
