@@ -154,6 +154,20 @@ def test_strings_of_many_words_leave_in_bounded_batches(monkeypatch):
     assert [x for b in out for x in b["string"]] == [" ".join(t.split(" ")[i % 5:i % 5 + 36]).encode() for i, t in enumerate(texts)]
 
 
+def test_planted_passages_of_over_fifty_words(spark):
+    """Verbatim passages in two documents each are removed whole, other documents stay as they are."""
+    r = random.Random(11)
+    words = lambda n: ["".join(r.choice("aeinorst") for _ in range(r.randrange(2, 9))) for _ in range(n)]
+    texts, sizes = [" ".join(words(200)) for _ in range(60)], {}
+    for i in range(0, 40, 2):
+        passage = words(r.randrange(51, 70))
+        for j in (i, i + 1):
+            own, at = texts[j].split(" "), r.randrange(200)
+            texts[j], sizes[j] = " ".join(own[:at] + passage) + r.choice(" \n\t") + " ".join(own[at:]), len(passage)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {row.doc_id: row.n_removed for row in word_dedup.removal_digest(docs).collect()} == {i: sizes.get(i, 0) for i in range(60)}
+
+
 def test_empty_and_extra_columns(spark, odd_docs):
     assert byte_dedup.removal_digest(odd_docs.limit(0)).count() == 0
     assert word_dedup.removal_digest(odd_docs.limit(0)).count() == 0
