@@ -159,34 +159,46 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def links(docs: DataFrame, similar: float = SIMILAR, counted: bool = False) -> DataFrame:
-    """(a, b): verified pairs of different texts."""
+def linked_roots(docs: DataFrame, similar: float = SIMILAR, counted: bool = False) -> DataFrame:
+    """(key, root): every text with a verified partner and the smallest key it is connected to.
+
+    Later rounds link the roots so far, so every round's components are those of a smaller graph.
+    """
     members = written(bands(docs, counted=counted).distinct(), "dart-bands")
     many = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     open_members = written(members.join(many, "bucket", "left_semi"), "dart-open")
     involved = open_members.select("key").distinct()
     texts = docs.select(_key().alias("key"), "text").join(involved, "key", "left_semi")
     sets = written(_sets(texts).dropDuplicates(["key"]), "dart-sets")
-    found = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    roots = None
     open_members = open_members.withColumn("root", F.col("key"))
     for turn in range(LEADER_ROUNDS):
         order = F.col("key") if turn == 0 else F.xxhash64("bucket", "key")  # later rounds: another leader in every bucket
         leaders = open_members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "key", "root")).alias("first"))
         met = written(open_members.join(leaders.select("bucket", F.col("first.key").alias("leader"), F.col("first.root").alias("theirs")), "bucket")
                       .where("key <> leader"), "dart-met")
-        pairs = met.where("root <> theirs").select("key", "leader").distinct()
+        pairs = met.where("root <> theirs").select("key", "leader", "root", "theirs").distinct()
         scored = (pairs.join(sets, "key").join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("others")), "leader")
-                  .where(jaccard("shingles", "others") >= similar).select(F.col("leader").alias("a"), F.col("key").alias("b")))
-        found = written(found.unionByName(scored), "dart-links")
-        rest = (met.select("bucket", "key").join(components(found), "key", "left")
+                  .where(jaccard("shingles", "others") >= similar).select(F.col("theirs").alias("a"), F.col("root").alias("b")))
+        roots = _led_on(roots, components(scored))
+        rest = (met.select("bucket", "key").join(roots, "key", "left")
                 .select("bucket", "key", F.coalesce("root", "key").alias("root")))
         mixed_buckets = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         open_members = written(rest.join(mixed_buckets, "bucket", "left_semi"), "dart-open")
-    return found.unionByName(_block_links(open_members, sets, similar))
+    return _led_on(roots, components(_block_links(open_members, sets, similar)))
+
+
+def _led_on(roots: DataFrame | None, further: DataFrame) -> DataFrame:
+    """(key, root) after the roots so far were connected as ``further`` (key, root) says."""
+    if roots is None:
+        return further
+    moved = (roots.join(further.select(F.col("key").alias("root"), F.col("root").alias("beyond")), "root", "left")
+             .select("key", F.coalesce("beyond", "root").alias("root")))
+    return written(moved.unionByName(further.join(roots.select("key"), "key", "left_anti")), "roots")
 
 
 def _block_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """(a, b): links that join different classes of a bucket, from all its pairs of different classes.
+    """(a, b): roots of different classes of a bucket that a link joins, from all its pairs of different classes.
 
     Blocks of the bucket's largest class (numbered last) meet the other blocks only.
     """
@@ -209,7 +221,7 @@ def _block_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFra
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, at = [], None
         for batch in batches:
-            for row in zip(*(batch[c] for c in (*place, "key", "root", "shingles"))):
+            for row in zip(*(batch[c] for c in (*place, "root", "shingles"))):
                 if row[:3] != at:
                     yield linked(held)
                     held, at = [], row[:3]
@@ -217,10 +229,10 @@ def _block_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFra
         yield linked(held)
 
     def linked(held: list[tuple]) -> pd.DataFrame:
-        keys = [row[0] for row in held]
-        roots = np.unique(np.array([row[1].hex() for row in held]), return_inverse=True)[1]
-        root = block_classes([np.frombuffer(row[2], dtype=np.uint64) for row in held], roots, similar)
-        return pd.DataFrame([(keys[r], keys[i]) for i, r in enumerate(root) if r != i], columns=["a", "b"])
+        names = [row[0] for row in held]
+        roots = np.unique(np.array([name.hex() for name in names]), return_inverse=True)[1]
+        first = block_classes([np.frombuffer(row[1], dtype=np.uint64) for row in held], roots, similar)
+        return pd.DataFrame({(names[r], names[i]) for i, r in enumerate(first) if roots[r] != roots[i]}, columns=["a", "b"])
 
     return (cells.join(sets, "key").repartition(*place).sortWithinPartitions(*place)
             .mapInPandas(compared, "a binary, b binary"))
@@ -257,21 +269,23 @@ def block_classes(sets: list[np.ndarray], known: np.ndarray, similar: float) ->
 
 def components(pairs: DataFrame) -> DataFrame:
     """(key, root): every linked key with the smallest key it is connected to."""
-    edges = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")),
+                   F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))  # every key is its own neighbour too
+    edges = written(pairs.select(F.explode(both).alias("e")).select("e.a", "e.b").distinct(), "edges")
+    label = written(edges.groupBy("a").agg(F.min("b").alias("root")), "roots")
     while True:
-        around = edges.join(label.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = label.join(around, "a").select("a", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        step = (edges.join(label.select(F.col("a").alias("b"), "root"), "b").groupBy("a")
+                .agg(F.min("root").alias("root"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("old")))
         jump = label.select(F.col("a").alias("root"), F.col("root").alias("beyond"))
-        after = written(step.join(jump, "root", "left").select("a", F.least("root", F.coalesce("beyond", "root")).alias("root"), "old"), "roots")
-        if after.where("root <> old").isEmpty():
-            return after.select(F.col("a").alias("key"), "root")
-        label = after.select("a", "root")
+        after = written(step.join(jump, "root").select("a", "beyond", "root", "old"), "roots")
+        if after.where("beyond <> old").isEmpty():
+            return label.select(F.col("a").alias("key"), "root")
+        label = after.select("a", F.col("beyond").alias("root"))
 
 
 def _class_texts(docs: DataFrame, similar: float, counted: bool) -> DataFrame:
     """(key, root, least, none, n) of every different text: its class, smallest id (none: it has no id), and rows."""
-    roots = components(links(docs.select("text"), similar, counted))
+    roots = linked_roots(docs.select("text"), similar, counted)
     rows = docs.select("doc_id", _key().alias("key"))
     return written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).join(roots, "key", "left")
                    .select("key", "least", F.col("least").isNull().alias("none"), "n", F.coalesce("root", "key").alias("root")), "class-texts")

@@ -93,6 +93,33 @@ def test_links_past_the_leaders(spark, monkeypatch):
     assert {x.doc_id: x.class_id for x in near_dups.near_dup_classes(docs).collect()} == want
 
 
+def test_later_rounds_link_the_roots_so_far(spark, monkeypatch):
+    """What one round connected is not gone through again: later pairs are pairs of different roots."""
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", 4)
+    r = np.random.default_rng(5)
+    texts = {}
+    for d in range(60):
+        words = [f"w{i}" for i in range(120)]
+        for i in r.choice(120, r.integers(0, 7), replace=False):
+            words[i] = f"x{r.integers(0, 4)}"
+        texts[d] = " ".join(words)
+    components, led, rounds = near_dups.components, set(), []
+
+    def spied(pairs):
+        pairs = near_dups.written(pairs, "spied")
+        found = [(bytes(x.a), bytes(x.b)) for x in pairs.collect()]
+        rounds.append(len(found))
+        assert all(a != b and a not in led and b not in led for a, b in found)
+        out = components(pairs)
+        led.update(bytes(x.key) for x in out.where("key <> root").collect())
+        return out
+
+    monkeypatch.setattr(near_dups, "components", spied)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in near_dups.near_dup_classes(docs).collect()} == classes_of(texts)
+    assert len(rounds) == near_dups.LEADER_ROUNDS + 1 and rounds[0] and sum(rounds[1:])
+
+
 def test_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     weights = r.random(200) * 3
