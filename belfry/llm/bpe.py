@@ -262,10 +262,8 @@ class WordsInStep:
             out.append((places[whole], np.full(int(whole.sum()), length), nodes[whole]))
         return tuple(np.concatenate(x) if out else np.zeros(0, dtype=np.int64) for x in (zip(*out) if out else ((), (), ())))
 
-    def _last_tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _last_tokens(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per place of all words together: node and length of the last token there; first and last place of each word."""
-        sizes = np.array(list(map(len, words)), dtype=np.int64)
-        codes = self.code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
         word_end = np.cumsum(sizes)
         start = np.repeat(word_end - sizes, sizes)
         step = np.arange(len(codes)) - start + 1
@@ -296,10 +294,16 @@ class WordsInStep:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nodes of all words' tokens, one word after the other, and how many each word has."""
-        last, taken, start, at = self._last_tokens(words)
-        counts = np.zeros(len(words), dtype=np.int64)
+        sizes = np.array(list(map(len, words)), dtype=np.int64)
+        codes = self.code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+        return self.encode_codes(codes, sizes)
+
+    def encode_codes(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the codes of all symbols and the number of symbols of each word."""
+        last, taken, start, at = self._last_tokens(codes, sizes)
+        counts = np.zeros(len(sizes), dtype=np.int64)
         found = []
-        open_ = np.arange(len(words))
+        open_ = np.arange(len(sizes))
         while len(open_):
             found.append((open_, counts[open_].copy(), last[at[open_]]))
             counts[open_] += 1

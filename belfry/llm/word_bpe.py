@@ -19,8 +19,9 @@ import hashlib
 import json
 import unicodedata
 from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from belfry.llm.bpe import END, ENDED, PAIRS_KEPT, Kept, Merger, WordsInStep
 
 PIECES_KEPT, WINDOW = 80_000, 64  # pieces whose results are kept (twice as many); longest that are one window
-BLOCK = 1 << 16   # pieces of neighbouring texts handled at once
+BLOCK = 1 << 17   # pieces of neighbouring texts handled at once
 LONG = 1 << 20    # characters of a text whose pieces are all cut at once, and of a piece whose ids are held at once
 IDS = 4096        # ids of a longer piece handled at once
 BATCH_CHARS = 1 << 20  # characters of the texts in one batch of rows
@@ -51,6 +52,11 @@ def ended(token: str) -> str:
     return token[:-len(END) - 1] + chr(ENDED + ord(token[-len(END) - 1])) if token.endswith(END) and len(token) > len(END) else token
 
 
+def numbered() -> defaultdict:
+    """Numbers, from 0 in order of appearance, of whatever is asked for."""
+    return defaultdict(count().__next__)
+
+
 Block = tuple[list[tuple[int, int, int]], np.ndarray]  # (number of the text, first and last place of its next ids), ids
 
 
@@ -82,6 +88,8 @@ class WordBpe:
         #: what each id adds to the spelling
         self.raw = {i: raw(t) for i, t in self.texts.items()}
         self.table = str.maketrans({chr(b): c for b, c in self.letters.items()})
+        #: codes of every byte as a symbol, inside a word and at its end
+        self.codes, self.end_codes = (np.array([self.in_step.code[up + ord(self.letters[b])] for b in range(256)], dtype=np.int64) for up in (0, ENDED))
         every = range(max(self.texts, default=-1) + 1)
         #: what each id adds to the list of ids and to the decoded text (a space before each), and to the spelling
         self.numbers, self.words, self.spellings = (pa.array(column, pa.binary()) for column in (
@@ -99,6 +107,16 @@ class WordBpe:
         letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.table)
         return letters[:-1] + chr(ENDED + ord(letters[-1]))
 
+    def _codes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the symbols of all pieces together, and how many symbols each has."""
+        together = "".join(pieces)
+        raw = np.frombuffer(together.encode("utf-8", "replace"), dtype=np.uint8)
+        spelled = pieces if together.isascii() else [p.encode("utf-8", "replace") for p in pieces]
+        sizes = np.fromiter(map(len, spelled), np.int64, len(pieces))
+        codes, last = self.codes[raw], np.cumsum(sizes) - 1
+        codes[last] = self.end_codes[raw[last]]
+        return codes, sizes
+
     def _pieces_of(self, text: str) -> Iterator[list[str | int]]:
         """Folded pieces of a text, and the ids of special strings in it, many at a time; a piece above ``LONG`` alone."""
         for part in (self.split_special.split(text) if self.split_special else [text]):
@@ -120,10 +138,12 @@ class WordBpe:
 
     def _learn(self, pieces: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each of different pieces, and all their ids."""
-        known = [(p,) if isinstance(p, int) else self._pieces.get(p) for p in pieces]
+        known = list(map(self._pieces.young.get, pieces))
+        for i in [i for i, ids in enumerate(known) if ids is None]:
+            known[i] = (pieces[i],) if isinstance(pieces[i], int) else self._pieces.get(pieces[i])
         fresh = [i for i, ids in enumerate(known) if ids is None]
         short = [i for i in fresh if len(pieces[i]) <= WINDOW]
-        nodes, counts = self.in_step.encode([self._symbols(pieces[i]) for i in short])
+        nodes, counts = self.in_step.encode_codes(*self._codes([pieces[i] for i in short]))
         flat, at = self.id_of_node[nodes].tolist(), 0
         for i, n in zip(short, counts.tolist()):
             known[i] = held = tuple(flat[at:at + n])
@@ -136,23 +156,22 @@ class WordBpe:
 
     def parts(self, texts: Iterable[str]) -> Iterator[Block]:
         """Ids of all texts in blocks, in the order of the texts."""
-        number: dict[str | int, int] = {}
-        places, rows = array("i"), []
+        number, places, rows = numbered(), array("i"), []
         for row, text in enumerate(texts):
             for pieces in self._pieces_of(text):
                 if len(pieces) == 1 and isinstance(pieces[0], str) and len(pieces[0]) > LONG:
                     yield self._settled(number, places, rows)
-                    number, places, rows = {}, array("i"), []
+                    number, places, rows = numbered(), array("i"), []
                     ids = (self.id_of[t] for t in self.merger.stream(self._symbols(pieces[0])))
                     while some := list(islice(ids, IDS)):
                         yield [(row, 0, len(some))], np.array(some, dtype=np.int32)
                     continue
                 first = len(places)
-                places.extend([number.setdefault(p, len(number)) for p in pieces])
+                places.extend(map(number.__getitem__, pieces))
                 rows.append((row, first, len(places)))
                 if len(places) >= BLOCK:
                     yield self._settled(number, places, rows)
-                    number, places, rows = {}, array("i"), []
+                    number, places, rows = numbered(), array("i"), []
         yield self._settled(number, places, rows)
 
     def _settled(self, number: dict[str | int, int], places: array, rows: list[tuple[int, int, int]]) -> Block:

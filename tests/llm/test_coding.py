@@ -57,6 +57,16 @@ def test_pieces_of_a_block_are_looked_up_once(word_path, texts, monkeypatch):
         assert got == want
 
 
+def test_symbols_of_many_pieces_at_once(word_path):
+    """Codes by bytes are those of the spelled symbols, piece by piece."""
+    coder = word_bpe.WordBpe(word_path)
+    for pieces in ([], ["the", "a", "0", "'s"], ["thé", "\u4e2d\u6587", "x", "\U0001f600", "\ud800", "\u0130\u00df"]):
+        codes, sizes = coder._codes(pieces)
+        spelled = [coder._symbols(p) for p in pieces]
+        assert sizes.tolist() == [len(x) for x in spelled]
+        assert codes.tolist() == [int(coder.in_step.code[ord(c)]) for c in "".join(spelled)]
+
+
 def test_spelling_comes_back(word_path):
     coder = word_bpe.WordBpe(word_path)
     assert "".join(coder.spelled(coder.encode("hello wörld 🙂 thethethethe"))) == "hello wörld 🙂 thethethethe "
