@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 
+import corpus_pipeline
 from belfry.llm import byte_dedup, repeats, suffixes, word_dedup
 
 
@@ -168,6 +169,23 @@ def test_planted_passages_of_over_fifty_words(spark):
     assert {row.doc_id: row.n_removed for row in word_dedup.removal_digest(docs).collect()} == {i: sizes.get(i, 0) for i in range(60)}
 
 
+def test_pipeline_cuts_passages_of_over_fifty_words(spark):
+    """Passages of 51 words and fewer than 400 bytes leave both of their documents; the rest of each stays."""
+    r = random.Random(12)
+    words = lambda n: ["".join(r.choice("aeinorst") for _ in range(r.randrange(3, 9))) for _ in range(n)]
+    texts, want = [" ".join(words(200)) for _ in range(30)], {}
+    for i in range(0, 20, 2):
+        passage = " ".join(words(51))
+        assert 200 < len(passage) < 400
+        for j, (left, right) in ((i, "(["), (i + 1, "{}")):  # other neighbours in either document
+            own, at = texts[j].split(" "), r.randrange(200)
+            before, after = " ".join(own[:at]) + left, right + " ".join(own[at:])
+            texts[j], want[j] = before + passage + after, before + after
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {row.doc_id: (row.text, row.n_chars) for row in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert got == {i: (want.get(i, t), len(want.get(i, t))) for i, t in enumerate(texts)}
+
+
 def test_empty_and_extra_columns(spark, odd_docs):
     assert byte_dedup.removal_digest(odd_docs.limit(0)).count() == 0
     assert word_dedup.removal_digest(odd_docs.limit(0)).count() == 0
