@@ -1,10 +1,14 @@
 """What a query does not need is not written, moved or parsed; the rows stay the same."""
 
+import gzip
+import json
+import os
+
 from pyspark.sql import functions as F
 
 from belfry.functions import payload, text
 from belfry.operators import keyfilter
-from belfry.plans import load, process, snapshot
+from belfry.plans import compare, load, process, snapshot
 from belfry.schemas import BULLETIN, CHURCH, EVENT, METADATA, RAW_EVENT
 from belfry.sources.files import variant_rows
 from belfry.streaming import ingest
@@ -87,3 +91,42 @@ def test_log_rows_of_other_documents_do_not_move_but_still_count(spark, scratch)
     got = ingest.logged_events(spark, log, every, shown).join(shown, "bulletin_id").select("id", "arrival")
     assert sorted(got.collect()) == sorted(want.collect()) and {r["id"] for r in got.collect()} == {2, 4}
     assert "__at" in plan_of(got)
+
+
+RUN_EVENT = f"classifier string, idx bigint, {RAW_EVENT}"
+
+
+def read_gzipped(folder):
+    names = sorted(n for n in os.listdir(folder) if n.startswith("part"))
+    assert names and all(n.endswith(".gz") for n in names)
+    return "".join(gzip.open(f"{folder}/{n}", "rt", encoding="utf-8").read() for n in names)
+
+
+def test_report_leaves_its_gzipped_files_and_nothing_else(spark, scratch):
+    """Texts are sorted as narrow rows and written compressed; what was kept to write them, shuffles too, goes again."""
+    row = lambda run, i, day=None, start="8", church="c", note=None: (run, i, church, "u", "mass", "weekly", day, None, start, None, None, i, note)
+    rows = [row("a", 1, "Monday"), row("b", 2, "Monday", note="é"), row("a", 3, ""), row("a", 4), row("a", 5, start=None), row("a", 6, church=None), row("b", 7, start="9")]
+    meta = spark.createDataFrame([(0, "p", "u", None, None, None, None, "2026-01-04"), (1, "o", "v", "/v", None, None, None, None)], METADATA)
+    manifest = spark.createDataFrame([("a", "v"), ("b", "v")], "classifier string, bulletin_source_url string")
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    report = compare.compare(spark.createDataFrame(rows, RUN_EVENT), manifest, meta, ["a", "b"])
+    path = scratch("compared")
+    compare.write_report(report, ["a", "b"], path, "now", "gzip")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+    here = path.removeprefix("file:")
+    kept = ("report-events-", "report-per_bulletin-", "report-places-", "report-placed-", "report-stats-", "report-pairwise-", "report-one_sided-")
+    assert not [n for n in os.listdir(os.path.dirname(here)) if n.startswith(kept)]
+    assert sorted(os.listdir(here)) == ["events", "markdown", "one_sided", "pairwise", "per_bulletin", "report.json", "stats"]
+    empty, full = json.loads(read_gzipped(f"{here}/report.json"))["pairwise"][0]["per_bulletin"]
+    assert (empty["bulletin_source_url"], empty["same"], empty["only_in_a"], empty["only_in_b"]) == ("v", [], [], [])
+    assert [(e["a"]["page_number"], e["b"]["page_number"], e["b"]["note"], e["a"]["cancelled"]) for e in full["same"]] == [(1, 2, "é", False)]
+    # the missing church and start count as empty text in the order and are missing in the event; an empty day comes before a missing one
+    assert [(e["page_number"], e["church_slug"], e["day_of_week"], e["start_time"]) for e in full["only_in_a"]] == [
+        (6, None, None, "8"), (5, "c", None, None), (3, "c", "", "8"), (4, "c", None, "8")]
+    assert [e["page_number"] for e in full["only_in_b"]] == [7]
+    lines = read_gzipped(f"{here}/markdown").splitlines()
+    assert lines[lines.index("#### p - 2026-01-04"):] == [
+        "#### p - 2026-01-04", "- Source URL: u", "- Counts: same 1, only a 4, only b 1, Jaccard 0.1667", "", "**Same**", "- c | mass weekly | Monday | 8 | page 1",
+        "", "**Only a**", "- mass weekly | 8 | page 6", "- c | mass weekly | page 5", "- c | mass weekly | 8 | page 3", "- c | mass weekly | 8 | page 4",
+        "", "**Only b**", "- c | mass weekly | 9 | page 7"]
+    assert lines[lines.index("#### o"):][:7] == ["#### o", "- Source URL: v", "- Source PDF: `/v`", "- Counts: same 0, only a 0, only b 0, Jaccard 1.0", "", "**Same**", "- None"]
