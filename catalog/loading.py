@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from belfry import schemas
 from belfry.plans import load, snapshot
-from belfry.session import scratch_path
+from belfry.session import scratch_path, shuffles_freed
 from belfry.sources import documents as docs
 from belfry.sources import files, pages, sinks, versions
 from catalog.registry import define, query
@@ -64,7 +64,8 @@ def _(d):
 @query("src_json_list", "select idx, church_slug, bulletin_source_url, date, start_time, cancelled, page_number, note from raw_event")
 def _(d):
     path = scratch_path(d.spark, "events") + "/events.jsonl"
-    sinks.write_json(d.raw_event.withColumnRenamed("idx", "source_idx"), path)
+    with shuffles_freed(d.spark):
+        sinks.write_json(d.view("raw_event").withColumnRenamed("idx", "source_idx"), path, "gzip")
     rows = files.json_list(d.spark, path, f"source_idx bigint, {schemas.RAW_EVENT}").drop("idx")
     return rows.select(F.col("source_idx").alias("idx"), "church_slug", "bulletin_source_url", "date", "start_time", "cancelled", "page_number", "note")
 

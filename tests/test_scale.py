@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ from belfry.plans import compare, load, process, snapshot
 from belfry.schemas import BULLETIN, CHURCH, EVENT, METADATA, RAW_EVENT
 from belfry.sources.files import variant_rows
 from belfry.streaming import ingest
-from catalog.registry import Domain
+from catalog import loading
+from catalog.registry import QUERIES, Domain
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,3 +132,20 @@ def test_report_leaves_its_gzipped_files_and_nothing_else(spark, scratch):
         "", "**Only a**", "- mass weekly | 8 | page 6", "- c | mass weekly | page 5", "- c | mass weekly | 8 | page 3", "- c | mass weekly | 8 | page 4",
         "", "**Only b**", "- c | mass weekly | 9 | page 7"]
     assert lines[lines.index("#### o"):][:7] == ["#### o", "- Source URL: v", "- Source PDF: `/v`", "- Counts: same 0, only a 0, only b 0, Jaccard 1.0", "", "**Same**", "- None"]
+
+
+def test_json_list_is_written_gzipped_and_its_table_is_not(spark, scratch, monkeypatch):
+    """Events go straight into gzipped lines; every row comes back, those with missing parts and repeated ones, too."""
+    day = datetime(1998, 3, 4)
+    line = lambda order, number, part, flag="N", shipped=day: (order, part, 3, number, 5.0, 10.5, flag, shipped)
+    lines = [line(1, 1, 4), line(1, 2, 5, "R"), line(2, 7, 6), line(2, 7, 6), line(None, 3, 7), line(3, 3, None), line(3, 4, 9, None), line(9, 1, 4), line(1, 3, 4, "N", None)]
+    folder, path = scratch("tables"), scratch("lines") + "/events.jsonl"
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, "
+                                 "l_shipdate timestamp").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, 10), (2, 11), (3, None), (None, 12)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{folder}/orders.parquet")
+    monkeypatch.setattr(loading, "scratch_path", lambda spark, name: os.path.dirname(path))
+    rows = QUERIES["src_json_list"](spark, folder)
+    want = Domain(spark, folder).view("raw_event").select(*rows.columns)
+    assert rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty() and rows.count() == 7
+    assert read_gzipped(path.removeprefix("file:")).count("\n") == 7
+    assert not [key for key in Domain._written if key[1] == folder]
